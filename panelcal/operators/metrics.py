@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from panelcal.functions.expressions import asymmetric_penalty, covered, interval_score, uniform
 from panelcal.operators.ranks import distributed_rank
 from panelcal.schema import ENTITY, ContractError, require
+from panelcal.session import stored
 
 NONFINITE = "nonfinite_on_raw_support"
 POINT_METRICS = ("rmse", "mae", "signed_error", "nasa_score")
@@ -167,6 +168,7 @@ def bootstrap_intervals(
     elif mode == "multinomial":
         if len(entity) != 1:
             raise ContractError("multinomial draws need one entity column")
+        base = stored(base, "bootstrap-rows")
         ordered = distributed_rank(base, keys, entity[0], [], out="_at", slices=64)
         sizes = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.first("_seed").alias("_seed"))
         picks = (

@@ -10,7 +10,7 @@ from panelcal.operators.features import temporal_features
 from panelcal.plans import sql
 from panelcal.plans.panels import events_panel, lineitem_panel
 from panelcal.plans.workloads import Design, progress_predictor, scored_predictions
-from panelcal.session import configure
+from panelcal.session import configure, stored
 
 SEEDS = (13, 37)
 ALPHAS = (0.10, 0.25)
@@ -35,12 +35,12 @@ def with_next(panel: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
 
 
 def event_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    panel = with_next(events(spark, sf_dir))
+    panel = stored(with_next(stored(events(spark, sf_dir), "events")), "events-next")
     return scored_predictions(panel, EVENTS_DESIGN, progress_predictor(), name="events")
 
 
 def line_predictions(spark: SparkSession, sf_dir: str, design: Design = LINES_DESIGN, **options) -> DataFrame:
-    panel = with_next(lines(spark, sf_dir), ("domain",))
+    panel = stored(with_next(stored(lines(spark, sf_dir), "lines"), ("domain",)), "lines-next")
     return scored_predictions(panel, design, progress_predictor(), keep=["domain"], name="lines", **options)
 
 
