@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator, Sequence
+from urllib.parse import quote
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,8 +26,10 @@ def _digest(path: str) -> str:
     """SHA-256 of a file of any size in constant memory, through its own file system."""
     from pyarrow import fs
 
-    uri = path.replace("file:/", "file:///", 1) if path.startswith("file:/") and not path.startswith("file://") else path
-    system, inner = fs.FileSystem.from_uri(uri)
+    if path.startswith("file:"):
+        system, inner = fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
+    else:
+        system, inner = fs.FileSystem.from_uri(quote(path, safe=":/@?=&%"))
     total = hashlib.sha256()
     with system.open_input_stream(inner) as stream:
         while block := stream.read(BLOCK):
@@ -34,7 +37,15 @@ def _digest(path: str) -> str:
     return total.hexdigest()
 
 
-def file_inventory(spark: SparkSession, path: str | Sequence[str], pattern: str | None = None) -> DataFrame:
+def file_name(path: Column | str, depth: int = 1) -> Column:
+    """Last ``depth`` parts of a path: part files of different folders may share their name."""
+    parts = F.split(path, "/")
+    return F.concat_ws("/", F.slice(parts, -depth, depth))
+
+
+def file_inventory(
+    spark: SparkSession, path: str | Sequence[str], pattern: str | None = None, *, depth: int = 1
+) -> DataFrame:
     """Path, bytes and SHA-256 of every file below ``path``.
 
     The listing reads no content. Digests are computed one file per row by streaming, so a file
@@ -52,7 +63,7 @@ def file_inventory(spark: SparkSession, path: str | Sequence[str], pattern: str
     parts = max(spark.sparkContext.defaultParallelism, 2)
     spread = listed.repartition(parts, "path")
     return spread.mapInPandas(digest, "path string, bytes bigint, sha256 string").withColumn(
-        "filename", F.element_at(F.split("path", "/"), -1)
+        "filename", file_name("path", depth)
     )
 
 
@@ -61,10 +72,10 @@ def read_registry(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(REGISTRY_SCHEMA).json(path)
 
 
-def content_counts(parsed: DataFrame) -> DataFrame:
+def content_counts(parsed: DataFrame, *, depth: int = 1) -> DataFrame:
     """Rows and distinct entities per scanned file (a scan with ``location`` or kept rejects)."""
     return (
-        parsed.groupBy(F.element_at(F.split("file", "/"), -1).alias("filename"))
+        parsed.groupBy(file_name(F.url_decode("file"), depth).alias("filename"))
         .agg(F.count(F.lit(1)).alias("rows"), F.count_distinct(ENTITY).alias("entities"))
     )
 

@@ -42,6 +42,11 @@ def read_predictions(spark: SparkSession, path: str, *, fmt: str = "parquet", sc
     return reader.load(path)
 
 
+def in_schema_order(predictions: DataFrame, schema: str = PREDICTION_SCHEMA) -> DataFrame:
+    """Columns in the declared order, as positional formats (CSV) need them."""
+    return predictions.select(*[part.split()[0] for part in schema.split(",")])
+
+
 def check_predictions(predictions: DataFrame, cell: Sequence[str]) -> DataFrame:
     """Not empty, and one row per entity and cell."""
     empty = predictions.agg(F.count(F.lit(1)).alias("_n")).select(
