@@ -170,7 +170,7 @@ def leaf_table(rows: DataFrame, probabilities: Sequence[float], label: str = "la
     """Quantiles of the label per (tree, leaf), from label counts (capped labels take few values)."""
     counts = rows.groupBy("tree", "leaf", label).agg(F.count(F.lit(1)).alias("_c"))
     wanted = F.array(*[F.lit(float(p)) for p in probabilities])
-    return counts.groupBy("tree", "leaf").agg(F.percentile(label, wanted, "_c").alias("quantiles"))
+    return counts.groupBy("tree", "leaf").agg(F.percentile(label, wanted, F.col("_c")).alias("quantiles"))
 
 
 def fit_leaf_quantiles(

@@ -324,18 +324,31 @@ def regime_models(
     )
 
 
-def reservoir_audit(
-    predictions: DataFrame, cells: DataFrame, keys: Sequence[str], *, scale: float = RUL_CAP, slices: int = 64
-) -> dict[str, DataFrame]:
-    """Exact audit: the calibration rows are the reservoir, the validation rows the evaluation."""
+def audit_grid(predictions: DataFrame, cells: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Declared cells against the reservoirs: the calibration rows of each key."""
     store = predictions.filter(F.col("role") == split.CALIBRATION)
-    evaluation = predictions.filter(F.col("role") == split.VALIDATION)
     sizes = store.groupBy(*keys).agg(F.count(F.lit(1)).alias("reservoir_size"))
-    grid = stored(reservoir.cell_grid(cells, sizes), "audit-grid")
-    distribution = reservoir.quantile_distribution(store, grid, keys, slices=slices)
-    outcomes = stored(
+    return stored(reservoir.cell_grid(cells, sizes), "audit-grid")
+
+
+def audit_outcomes(
+    predictions: DataFrame, grid: DataFrame, keys: Sequence[str], *, scale: float = RUL_CAP, slices: int = 64
+) -> DataFrame:
+    """Every possible quantile with its probability and its outcome on the validation rows."""
+    store = predictions.filter(F.col("role") == split.CALIBRATION)
+    evaluation = predictions.filter(F.col("role") == split.VALIDATION)
+    distribution = stored(reservoir.quantile_distribution(store, grid, keys, slices=slices), "audit-distribution")
+    return stored(
         reservoir.quantile_outcomes(distribution, evaluation, keys, scale=scale, slices=slices), "audit-outcomes"
     )
+
+
+def reservoir_audit(
+    predictions: DataFrame, cells: DataFrame, keys: Sequence[str], *, scale: float = RUL_CAP, slices: int = 64
+) -> dict[str, DataFrame]:
+    """All tables of the exact audit: the calibration rows are the reservoir, validation evaluates."""
+    grid = audit_grid(predictions, cells, keys)
+    outcomes = audit_outcomes(predictions, grid, keys, scale=scale, slices=slices)
     return {
         "cells": grid,
         "outcomes": outcomes,
