@@ -14,12 +14,14 @@ from pyspark.sql import functions as F
 from panelcal.functions.expressions import col
 
 _TABLE_SIZE = 256
+# One foldable text instead of 256 literal nodes in every expression that uses the table.
+_TABLE = "cast(split('" + ",".join(repr(math.lgamma(i + 1.0)) for i in range(_TABLE_SIZE)) + "', ',') as array<double>)"
 
 
 def ln_factorial(n: Column | str) -> Column:
     """ln(n!) for a non-negative integer column."""
     k = col(n).cast("bigint")
-    table = F.array(*[F.lit(math.lgamma(i + 1.0)) for i in range(_TABLE_SIZE)])
+    table = F.expr(_TABLE)
     x = k.cast("double") + F.lit(1.0)
     series = (
         (x - 0.5) * F.log(x)
@@ -51,13 +53,16 @@ def beta_cdf(x: Column | str, a: Column | str, b: Column | str) -> Column:
     n = p + q - F.lit(1)
     point = col(x).cast("double")
 
-    def term(acc: Column, j: Column) -> Column:
-        rest = (n - j).cast("double")
-        left = F.when(j == 0, F.lit(0.0)).otherwise(j.cast("double") * F.log(point))
-        right = F.when(rest == 0, F.lit(0.0)).otherwise(rest * F.log(F.lit(1.0) - point))
-        return acc + F.exp(ln_choose(n, j) + left + right)
+    # Each log term follows from the one before it; only the first needs factorials.
+    odds = F.log(point) - F.log(F.lit(1.0) - point)
+    first = ln_choose(n, p) + p.cast("double") * F.log(point) + (n - p).cast("double") * F.log(F.lit(1.0) - point)
+    start = F.struct(F.lit(0.0).alias("s"), first.alias("l"))
 
-    inside = F.least(F.lit(1.0), F.aggregate(F.sequence(p, n), F.lit(0.0), term))
+    def add(acc: Column, j: Column) -> Column:
+        step = F.log((n - j).cast("double") / (j + 1).cast("double")) + odds
+        return F.struct((acc["s"] + F.exp(acc["l"])).alias("s"), (acc["l"] + step).alias("l"))
+
+    inside = F.least(F.lit(1.0), F.aggregate(F.sequence(p, n), start, add, lambda acc: acc["s"]))
     return F.when(point <= 0, F.lit(0.0)).when(point >= 1, F.lit(1.0)).otherwise(inside)
 
 

@@ -86,7 +86,9 @@ def _ranked(
             rank = F.least(F.col("requested_rank"), F.col("n"))
         return asked.withColumn("rank", rank.cast("bigint"))
 
-    found = order_statistics(rows, groups, "quantile", wanted, bounded_cells=bounded_cells)
+    found = order_statistics(
+        rows, groups, "quantile", wanted, bounded_cells=bounded_cells, all_valid=policy != INFINITE
+    )
     return found.select(
         *by,
         "alpha",

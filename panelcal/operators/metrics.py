@@ -161,9 +161,12 @@ def bootstrap_intervals(
     names = list(m)
     draws = F.explode(F.sequence(F.lit(0), F.lit(resamples - 1)))
     if mode == "poisson":
-        weighted = base.withColumn("_b", draws).withColumn("_w", _poisson_weight(uniform("_seed", "_b", *entity)))
-        samples = weighted.filter("_w > 0").groupBy(*keys, "_b").agg(
-            *[(F.sum(F.col(f"_{n}") * F.col("_w")) / F.sum("_w")).alias(n) for n in names]
+        # The hash is a column of its own, so that its thirteen uses do not repeat it.
+        drawn = base.withColumn("_b", draws).withColumn("_u", uniform("_seed", "_b", *entity))
+        weighted = drawn.withColumn("_w", _poisson_weight(F.col("_u")))
+        total = F.nullif(F.sum("_w"), F.lit(0))
+        samples = weighted.groupBy(*keys, "_b").agg(
+            *[(F.sum(F.col(f"_{n}") * F.col("_w")) / total).alias(n) for n in names]
         )
     elif mode == "multinomial":
         if len(entity) != 1:

@@ -25,9 +25,10 @@ SLICES = 1024
 
 
 def _sketch(value: str, steps: range, whole: int, accuracy: int) -> Column:
-    """Approximate quantiles at k / whole (parsed as one text, not one call per literal)."""
-    listed = ", ".join(f"{k / whole!r}D" for k in steps)
-    return F.expr(f"percentile_approx(`{value}`, array({listed}), {accuracy})")
+    """Approximate quantiles at k / whole. The list is one foldable text: a thousand literal
+    nodes would be analysed again with every later transformation of the plan."""
+    listed = ",".join(repr(k / whole) for k in steps)
+    return F.expr(f"percentile_approx(`{value}`, cast(split('{listed}', ',') as array<double>), {accuracy})")
 
 
 def order_statistics(
@@ -38,6 +39,7 @@ def order_statistics(
     *,
     tie: Sequence[str] = (),
     bounded_cells: bool = False,
+    all_valid: bool = False,
 ) -> DataFrame:
     """Value at exact ranks per group.
 
@@ -45,7 +47,8 @@ def order_statistics(
     same columns, further key columns and ``rank`` (1-based; rows with a null rank or a rank
     outside 1..n are returned with a null value). ``tie`` columns order equal values and are
     returned too. ``bounded_cells`` says that ``by`` counts a declared grid, not data, so the
-    requests may be broadcast; otherwise Spark picks the join.
+    requests may be broadcast; otherwise Spark picks the join. ``all_valid`` says that every
+    rank lies in 1..n, which saves the join that restores the others.
     """
     by = list(by)
     sizes = rows.groupBy(*by).agg(
@@ -92,15 +95,17 @@ def order_statistics(
         .filter((F.col("_upto") >= F.col("rank")) & (F.col("_upto") - F.col("_c") < F.col("rank")))
         .select(
             *keys,
+            "rank",
             F.when(inside, F.col("_v")).otherwise(F.raise_error(F.lit("rank outside its bracket"))).alias(value),
             *[F.col(f"_t_{t}").alias(t) for t in tie],
         )
     )
+    if all_valid:
+        return picked
     join_keys = [k for k in keys if k != "n"]
+    found = picked.select(*join_keys, value, *tie)
     left = requests.drop("_pivots")
-    if not join_keys:
-        return left.crossJoin(picked.drop("n"))
-    return left.join(picked.drop("n"), join_keys, "left")
+    return left.join(found, join_keys, "left") if join_keys else left.crossJoin(found)
 
 
 def _slice_of(value: Column, pivots: Column, slices: int) -> Column:

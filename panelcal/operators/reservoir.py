@@ -12,6 +12,7 @@ import math
 from collections.abc import Sequence
 from decimal import Decimal
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -27,6 +28,7 @@ from panelcal.functions.beta import (
 from panelcal.functions.expressions import cell_key, rank_regime, requested_rank, severe_threshold
 from panelcal.operators.ranks import count_and_sum_up_to, distributed_rank, running_totals
 from panelcal.schema import ENTITY, ContractError
+from panelcal.session import local_rows, stored
 
 EVALUATED = "evaluate"
 EXCLUDED_UNATTAINABLE = "excluded_unattainable"
@@ -40,7 +42,7 @@ def declared_cells(spark: SparkSession, cells: Sequence[tuple[str, int, float]])
     """Declared (role, n_cal, alpha) rows."""
     if any(n < 1 or not 0 < a < 1 for _, n, a in cells):
         raise ContractError("an audit cell needs n_cal >= 1 and alpha strictly between 0 and 1")
-    return spark.createDataFrame([(r, int(n), float(a)) for r, n, a in cells], CELL_SCHEMA)
+    return local_rows(spark, [(r, int(n), float(a)) for r, n, a in cells], CELL_SCHEMA)
 
 
 def cell_grid(cells: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -78,7 +80,8 @@ def cell_grid(cells: DataFrame, sizes: DataFrame) -> DataFrame:
 def binomials(spark: SparkSession, limit: int = EXACT_LIMIT) -> DataFrame:
     """C(m, k) for m <= limit as DECIMAL(38, 0): (limit + 1)(limit + 2) / 2 rows."""
     rows = [(m, k, Decimal(math.comb(m, k))) for m in range(limit + 1) for k in range(m + 1)]
-    return spark.createDataFrame(rows, "m bigint, k bigint, c decimal(38,0)")
+    frame = pd.DataFrame(rows, columns=["m", "k", "c"])
+    return spark.createDataFrame(frame, "m bigint, k bigint, c decimal(38,0)")
 
 
 def position_masses(positions: DataFrame, grid: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -339,9 +342,12 @@ def discrepancies(
 ) -> DataFrame:
     """Five signed or absolute distances per cell and reference; excluded cells stay as rows."""
     cells = [*keys, "cell_id", "n_cal", "alpha"]
-    finite = weighted_distribution(outcomes, cells, value="coverage")
-    binomial = weighted_distribution(beta_binomial(grid, keys, endpoints=endpoints), cells, value="coverage")
-    beta = beta_reference(grid, keys)
+    # Small tables that several branches read: a few rows per cell.
+    finite = stored(weighted_distribution(outcomes, cells, value="coverage"), "audit-finite")
+    binomial = stored(
+        weighted_distribution(beta_binomial(grid, keys, endpoints=endpoints), cells, value="coverage"), "audit-binomial"
+    )
+    beta = stored(beta_reference(grid, keys), "audit-beta")
     own = moments(finite, cells).select(
         *cells,
         F.col("mean").alias("finite_mean_coverage"),

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from panelcal.functions.expressions import hash_bits, uniform_int
 from panelcal.operators.ranks import order_statistics
 from panelcal.schema import CYCLE, ENTITY, ContractError
+from panelcal.session import local_rows
 
 # Fixed values of the evaluation protocol.
 SEEDS = (13, 37, 73, 101, 137)
@@ -31,14 +32,14 @@ CONDITION_SCHEMA = "condition string, cap int, min_observed int, lower_fraction
 def seed_table(spark: SparkSession, seeds: Sequence[int] = SEEDS) -> DataFrame:
     if any(s < 0 for s in seeds):
         raise ContractError("seeds must be nonnegative")
-    return spark.createDataFrame([(int(s),) for s in seeds], "seed int")
+    return local_rows(spark, [(int(s),) for s in seeds], "seed int")
 
 
 def condition_table(spark: SparkSession, conditions: Sequence[tuple] = CONDITIONS) -> DataFrame:
     for _, cap, least, low, high in conditions:
         if cap <= 0 or least < 1 or not 0 < low <= high <= 1:
             raise ContractError("invalid cut-point condition")
-    return spark.createDataFrame([tuple(c) for c in conditions], CONDITION_SCHEMA)
+    return local_rows(spark, [tuple(c) for c in conditions], CONDITION_SCHEMA)
 
 
 def assign_roles(
@@ -73,7 +74,7 @@ def assign_roles(
         )
         return sizes.withColumn("_b", F.explode(ranks)).select("seed", "n", "_pivots", "_b.bound", "_b.rank")
 
-    found = order_statistics(keyed, ["seed"], "_h", bounds, tie=[id_column], bounded_cells=True)
+    found = order_statistics(keyed, ["seed"], "_h", bounds, tie=[id_column], bounded_cells=True, all_valid=True)
     ends = found.groupBy("seed").agg(
         *[
             F.max(F.when(F.col("bound") == b, F.struct(F.col("_h"), F.col(id_column)))).alias(f"_{b}")

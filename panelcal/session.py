@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -45,6 +46,21 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/panelcal/{name}-{uuid.uuid4().hex}"
 
 
+def local_rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A declared table as a local relation: its size is known to the planner, and no Python
+    worker is started to read it."""
+    columns = [part.strip().split(" ", 1) for part in re.split(r",(?![^(]*\))", schema)]
+
+    def literal(value: object, kind: str) -> str:
+        if value is None:
+            return f"cast(null as {kind})"
+        text = "'" + value.replace("'", "\\'") + "'" if isinstance(value, str) else repr(value) if isinstance(value, float) else str(value)
+        return f"cast({text}{'D' if isinstance(value, float) else ''} as {kind})"
+
+    listed = ", ".join("(" + ", ".join(literal(v, k) for v, (_, k) in zip(row, columns, strict=True)) + ")" for row in rows)
+    return spark.sql(f"SELECT * FROM VALUES {listed} AS t({', '.join(n for n, _ in columns)})")
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: later stages read the same rows even after an executor is lost."""
     spark = df.sparkSession
