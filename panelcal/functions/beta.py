@@ -36,15 +36,22 @@ def ln_factorial(n: Column | str) -> Column:
     )
 
 
+def _ln_ratio(top: list[Column], bottom: list[Column]) -> Column:
+    """ln of a ratio of factorials, as one fold so that the series appears once in the plan."""
+    terms = [F.struct(c.cast("bigint").alias("n"), F.lit(1.0).alias("sign")) for c in top]
+    terms += [F.struct(c.cast("bigint").alias("n"), F.lit(-1.0).alias("sign")) for c in bottom]
+    return F.aggregate(F.array(*terms), F.lit(0.0), lambda acc, t: acc + t["sign"] * ln_factorial(t["n"]))
+
+
 def ln_choose(n: Column | str, k: Column | str) -> Column:
     top, pick = col(n), col(k)
-    return ln_factorial(top) - ln_factorial(pick) - ln_factorial(top - pick)
+    return _ln_ratio([top], [pick, top - pick])
 
 
 def ln_beta(a: Column | str, b: Column | str) -> Column:
     """ln B(a, b) for positive integers."""
     p, q = col(a), col(b)
-    return ln_factorial(p - 1) + ln_factorial(q - 1) - ln_factorial(p + q - 1)
+    return _ln_ratio([p - 1, q - 1], [p + q - 1])
 
 
 def beta_cdf(x: Column | str, a: Column | str, b: Column | str) -> Column:
