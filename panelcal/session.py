@@ -17,6 +17,9 @@ SESSION_CONF = {
     # 21 sensors x 10 derived columns is beyond the default of 100 fields.
     "spark.sql.codegen.maxFields": "400",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # A union that reports its children's partitioning can meet a join whose other side was
+    # re-planned to another partition count ("Can't zip RDDs"); a plain union cannot.
+    "spark.sql.unionOutputPartitioning": "false",
 }
 
 
