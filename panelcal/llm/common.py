@@ -7,6 +7,7 @@ from itertools import accumulate, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,7 +22,7 @@ Texts = list[bytes | None]
 
 def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, Texts]]:
     """The texts of an Arrow string column as UTF-8 bytes, a few MB at a time."""
-    sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(column), 0))
+    sizes = np.asarray(pc.fill_null(pc.binary_length(column), 0))
     start, held = 0, 0
     for i, n in enumerate(sizes):
         if held and held + n > limit:

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panelcal.llm.neardup import with_components
 from panelcal.llm.sharding import shard_rows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,3 +39,9 @@ def op1_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     placed = shard_rows(digest, ["doc_id", "text_crc32", "size"], shards=8, seed=20)
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query
+def op4_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate classes of documents: 4-word shingles, at most 4 differing bits."""
+    return with_components(table(spark, sf_dir, "documents"), words=4, radius=4)
