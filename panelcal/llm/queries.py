@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panelcal.llm import langid, quality
 from panelcal.llm.neardup import with_components
 from panelcal.llm.sharding import shard_rows
 
@@ -45,3 +46,19 @@ def op1_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate classes of documents: 4-word shingles, at most 4 differing bits."""
     return with_components(table(spark, sf_dir, "documents"), words=4, radius=4)
+
+
+@query
+def op2_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document by a model learned from labelled, not held-out ones."""
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs.where(~held_out()), table(spark, sf_dir, "labels"))
+    return quality.with_score(docs, model, keep=["doc_id"]).select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
+@query
+def op5_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from text and language of those not held out."""
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs.where(~held_out()))
+    return langid.with_language(docs, model, keep=["doc_id"]).select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "languages")
