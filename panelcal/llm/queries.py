@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelcal.llm import langid, quality
+from panelcal.llm import fingerprints, langid, pii, quality
 from panelcal.llm.neardup import with_components
 from panelcal.llm.sharding import shard_rows
 
@@ -62,3 +62,25 @@ def op5_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.fit(docs.where(~held_out()))
     return langid.with_language(docs, model, keep=["doc_id"]).select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "languages")
+
+
+#: Key of the pseudonyms in the registered query and the pipeline; a user keeps a secret one.
+PII_KEY = b"change me: 32 bytes of secret key"
+
+
+@query
+def op9_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its personal data replaced, and what was found where."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.pseudonymise(docs, PII_KEY).select("doc_id", "text", F.size("pii").alias("n_found"), "pii")
+
+
+@query
+def op10_simhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document, of its edited text and of the next document, and their likeness."""
+    made = fingerprints.edited_pairs(table(spark, sf_dir, "documents"))
+    near = lambda other: F.lit(1.0) - fingerprints.distance("fp", other) / F.lit(64.0)
+    return made.select(
+        "doc_id", "n_chars", "edited_sha256", fingerprints.hexed("fp").alias("fingerprint"), fingerprints.hexed("edited_fp").alias("edited_fingerprint"),
+        near("edited_fp").alias("near_edited"), near("next_fp").alias("near_next"),
+    )

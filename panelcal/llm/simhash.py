@@ -10,9 +10,11 @@ def vote(hashes: np.ndarray, weights: np.ndarray | None = None) -> int:
     """64-bit fingerprint: a bit is set if the hashes that have it hold over half of the weight."""
     bits = np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
     if weights is None:
-        held, total = bits.sum(axis=0, dtype=np.int64), len(hashes)
+        # Sums of up to 255 rows fit a byte each.
+        held = np.add.reduceat(bits, np.arange(0, len(bits), 255), axis=0, dtype=np.uint8).sum(axis=0, dtype=np.int64)
+        total = len(hashes)
     else:
-        held, total = weights @ bits, weights.sum()
+        held, total = weights.astype(np.float64) @ bits, weights.sum()
     return int.from_bytes(np.packbits(2 * held > total).tobytes(), "big")
 
 
