@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelcal.llm import fingerprints, langid, pii, quality
+from panelcal.llm import fingerprints, langid, packing, pii, quality
 from panelcal.llm.neardup import with_components
 from panelcal.llm.sharding import shard_rows
 
@@ -84,3 +84,15 @@ def op10_simhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_chars", "edited_sha256", fingerprints.hexed("fp").alias("fingerprint"), fingerprints.hexed("edited_fp").alias("edited_fingerprint"),
         near("edited_fp").alias("near_edited"), near("next_fp").alias("near_next"),
     )
+
+
+def tokenizer_path() -> str:
+    from public_tokenizers import path
+
+    return path("word_bpe_49k.json")
+
+
+@query
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, tokenized, in sequences of at most 4096 tokens."""
+    return packing.packed(table(spark, sf_dir, "documents"), tokenizer_path(), capacity=4096)
