@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelcal.llm import fingerprints, langid, mixing, packing, pii, quality
+from panelcal.llm import fingerprints, langid, mixing, neighbours, packing, pii, quality
 from panelcal.llm.neardup import with_components
 from panelcal.llm.sharding import shard_rows
 
@@ -152,3 +152,10 @@ def op7_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op7_pfair_mix"] = OP7_SQL
+
+
+@query
+def op6_collision_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors of every 20th vector, by inner product."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return neighbours.nearest(vectors, vectors.where("vec_id % 20 = 0"), k=20)
