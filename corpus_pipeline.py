@@ -1,12 +1,65 @@
-"""documents -> packed training sequences: filter, deduplicate, pseudonymise, mix, pack."""
+"""documents -> packed training sequences: filter, deduplicate, pseudonymise, mix, pack.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written and read again as the
+next one's ``docs``; all but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from panelcal.llm import mixing, neardup, packing, pii, quality
 from panelcal.llm.common import saved
+from panelcal.llm.queries import PII_KEY, held_out, table, tokenizer_path
+
+#: Sources keep their shares to this power: large ones give way to small ones.
+TEMPERATURE = 0.7
+
+
+def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects what the classifier, learned from the labelled and not held-out of these documents, scores below 0.7."""
+    model = quality.fit(docs.where(~held_out()), table(spark, sf_dir, "labels"))
+    return quality.with_score(docs, model).where("predicted = 1").select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near copies stays: five-word shingles, similarity 0.8 or more."""
+    return neardup.one_per_class(docs)
+
+
+def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data and secrets give way to pseudonyms of the same format."""
+    found = pii.pseudonymise(docs, PII_KEY)
+    return found.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources interleaved by tempered weights; every document is there, those of small sources again until the largest is used up.
+
+    A written file holds whole stretches of the schedule, in its order.
+    """
+    ids = docs.select("doc_id", "source", F.xxhash64("text").alias("__h"))
+    mixed = mixing.mix(ids, mixing.tempered_weights(docs, TEMPERATURE), by=["doc_id", "__h"])
+    once = docs.withColumn("__h", F.xxhash64("text")).dropDuplicates(["doc_id", "__h"]).drop("source")
+    placed = mixed.join(once.select(*[F.col(c).alias(f"__{c}") for c in once.columns]), F.col("doc_id").eqNullSafe(F.col("__doc_id")) & F.col("__h").eqNullSafe(F.col("____h")))
+    named = placed.select(*[F.col(c if c in ("doc_id", "source") else f"__{c}").alias(c) for c in docs.columns], "slot", "place")
+    stretch = F.expr(f"slot div {mixing.RESOLUTION // 10}")
+    return named.repartition(stretch).sortWithinPartitions("slot", "place").select(*docs.columns)
+
+
+def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces of every document and where each lies in which sequence of 4096."""
+    return packing.packed(docs, tokenizer_path(), capacity=4096)
+
 
-STAGES: list = []
+STAGES = [
+    ("quality filter", quality_filter),
+    ("near duplicates", near_duplicates),
+    ("pseudonyms", pseudonyms),
+    ("mixture", mixture),
+    ("packed sequences", packed_sequences),
+]
 
 #: The classifier, the fingerprints and the tokenizer are beyond SQL; tests compare with brute force.
 ORACLE_SQL = None

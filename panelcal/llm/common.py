@@ -64,7 +64,7 @@ def with_text_columns(
                 columns = [pa.array(x, type=t) if not isinstance(x, (pa.Array, pa.ChunkedArray)) else x.cast(t) for x, t in zip(made, arrow.types[len(stay) :], strict=True)]
                 yield pa.RecordBatch.from_arrays([x.cast(t) for x, t in zip(old, arrow.types, strict=False)] + columns, schema=arrow)
 
-    return df.select(*[F.col(f"`{c}`") for c in stay], F.col(text).alias("__text")).mapInArrow(run, schema)
+    return df.select(*[F.col(f"`{c}`") for c in stay], F.col(text).alias("__whole text")).mapInArrow(run, schema)
 
 
 class WordTable:

@@ -8,7 +8,7 @@ sorted by Gray rank and factored into a tree: an upper node keeps the bits that
 share (pattern and mask). The self-search walks pairs of nodes from the top; the differences of
 the shared bits are a lower bound for all pairs below, so whole groups are pruned by it, and groups
 that are already one class, or can only be linked, are settled without being opened.
-A cell returns a link per member at most, so that n close copies give n links and not n squared.
+A cell returns links that span its classes, so that n close copies give n links and not n squared.
 """
 
 from __future__ import annotations
@@ -17,12 +17,14 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 from panelcal.llm.common import Texts, components, saved, with_text_columns
-from panelcal.llm.simhash import fingerprint, signed
+from panelcal.llm.simhash import fingerprint, shingle_hashes, signed, vote
 
 RADIUS = 4
 BLOCKS = 6
@@ -59,19 +61,25 @@ class Forest:
 
     def __init__(self, n: int) -> None:
         self.root = np.arange(n)
+        self.used: list[tuple[np.ndarray, np.ndarray]] = []
 
     def link(self, i: np.ndarray, j: np.ndarray) -> None:
+        """Join the sets of i and j pairwise; ``used`` gets the pairs that joined two sets."""
         while len(i):
             a, b = self.root[i], self.root[j]
             apart = a != b
             i, j, a, b = i[apart], j[apart], a[apart], b[apart]
-            np.minimum.at(self.root, np.maximum(a, b), np.minimum(a, b))
+            high, low = np.maximum(a, b), np.minimum(a, b)
+            np.minimum.at(self.root, high, low)
+            won = np.flatnonzero(self.root[high] == low)
+            won = won[np.unique(high[won], return_index=True)[1]]
+            self.used.append((i[won], j[won]))
             while not np.array_equal(up := self.root[self.root], self.root):
                 self.root = up
 
 
 def cell_links(cells: np.ndarray, values: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links (value, class representative) that connect all values of a cell within ``radius`` bits."""
+    """Pairs of values within ``radius`` bits that connect all such pairs of a cell: one less than members, for each class."""
     order = np.lexsort((gray_rank(values), cells))
     cells, f = cells[order], values[order]
     n = len(f)
@@ -132,8 +140,8 @@ def cell_links(cells: np.ndarray, values: np.ndarray, radius: int) -> tuple[np.n
             x, y = first[level][a][pair] + k // right[pair], first[level][b][pair] + k % right[pair]
             keep = x <= y
             stack.append((level - 1, x[keep], y[keep]))
-    linked = np.flatnonzero(forest.root != np.arange(n))
-    return f[linked], f[forest.root[linked]]
+    i, j = (np.concatenate(x) for x in zip(*forest.used, strict=True))
+    return f[i], f[j]
 
 
 def in_cells(fingerprints: DataFrame, radius: int, blocks: int) -> DataFrame:
@@ -145,7 +153,7 @@ def in_cells(fingerprints: DataFrame, radius: int, blocks: int) -> DataFrame:
 
 
 def links(fingerprints: DataFrame, radius: int = RADIUS, blocks: int | None = None) -> DataFrame:
-    """Links (a, b) between distinct fingerprints that connect all within ``radius`` bits of each other."""
+    """Pairs (a, b) of distinct fingerprints within ``radius`` bits that connect all such pairs."""
     blocks = blocks or radius + 2
     spread = in_cells(fingerprints, radius, blocks)
     # Cells beyond a tile; at most (members / TILE) of them, so that Spark may broadcast them if small.
@@ -208,3 +216,66 @@ def with_components(docs: DataFrame, words: int = 4, radius: int = RADIUS, text:
     prints = saved(with_fingerprints(docs, words, text, [id_col]), "doc-fingerprints")
     classes = near_classes(prints, radius, id_col=id_col)
     return prints.join(classes, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def with_word_fingerprints(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
+    """``fp`` over the distinct words of a text: an edit of a few words in a hundred moves few bits."""
+
+    def make():
+        def run(texts: Texts) -> list:
+            hashes = [np.unique(shingle_hashes(t, 1)) for t in texts]
+            return [np.array([signed(vote(h)) if len(h) else 0 for h in hashes], np.int64)]
+
+        return run
+
+    return with_text_columns(docs, make, "fp bigint", text, keep)
+
+
+def with_shingle_sets(docs: DataFrame, words: int, text: str, keep: list[str]) -> DataFrame:
+    """``shingles``: the distinct shingle hashes of a text, sorted, as packed 64-bit numbers."""
+    return with_text_columns(docs, lambda: lambda texts: [[np.unique(shingle_hashes(t, words)).tobytes() for t in texts]], "shingles binary", text, keep)
+
+
+def similarity(a: str, b: str) -> Column:
+    """Share of common shingles of two packed sets; 1 for two empty ones."""
+
+    @pandas_udf("double")
+    def jaccard(x: pd.Series, y: pd.Series) -> pd.Series:
+        out = []
+        for p, q in zip(x, y, strict=True):
+            u, v = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
+            both = len(np.intersect1d(u, v, assume_unique=True))
+            out.append(both / max(1, len(u) + len(v) - both) if len(u) or len(v) else 1.0)
+        return pd.Series(out, dtype=float)
+
+    return jaccard(a, b)
+
+
+def one_per_class(docs: DataFrame, words: int = 5, least: float = 0.8, radius: int = 6, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """The rows of ``docs`` less near copies: one row of each class of similar texts stays, that of the smallest id.
+
+    Candidates are texts whose fingerprints over distinct words differ in at most ``radius`` bits; a candidate pair
+    is a link if its sets of ``words``-word shingles, over whole texts, have a similarity of ``least`` or more. A class is what links and
+    equal texts connect. Null and wordless texts are equal texts. Of rows equal in id and text one stays; rows of null id
+    stay only where their class has no other. Columns are those of ``docs``; an empty table gives no rows.
+    """
+    blank = F.coalesce(F.col(text), F.lit(""))
+    key = F.when(F.trim(F.translate(blank, "\t\n\x0b\x0c\r", "     ")) == "", F.lit(0)).otherwise(F.xxhash64(blank))
+    keyed = docs.withColumn("__text", key)
+    prints = with_word_fingerprints(keyed, text, [id_col, "__text"])
+    nodes = saved(prints.groupBy("__text", "fp").agg(F.min(id_col).alias("low")), "texts")
+    # Each fingerprint stands for its smallest text; the other texts of a fingerprint are candidates with that one.
+    heads = saved(nodes.groupBy("fp").agg(F.min("__text").alias("head")), "heads")
+    near = links(heads.select("fp"), radius, radius + 2)
+    across = near.join(heads.select(F.col("fp").alias("a"), F.col("head").alias("x")), "a").join(heads.select(F.col("fp").alias("b"), F.col("head").alias("y")), "b").select("x", "y")
+    same = nodes.join(heads, "fp").where("__text != head").select(F.col("__text").alias("x"), F.col("head").alias("y"))
+    pairs = saved(across.unionByName(same).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "pairs")
+    wanted = pairs.select(F.explode(F.array("x", "y")).alias("__text")).distinct()
+    texts = keyed.join(nodes.groupBy("__text").agg(F.min("low").alias("low")).join(wanted, "__text"), "__text").where(F.col(id_col).eqNullSafe(F.col("low")))
+    sets = saved(with_shingle_sets(texts, words, text, ["__text"]).dropDuplicates(["__text"]), "shingle-sets")
+    met = pairs.join(sets.select(F.col("__text").alias("x"), F.col("shingles").alias("p")), "x").join(sets.select(F.col("__text").alias("y"), F.col("shingles").alias("q")), "y")
+    roots = components(met.where(similarity("p", "q") >= least).select("x", "y"), "x", "y")
+    rooted = nodes.join(roots, nodes["__text"] == roots.node, "left").select("__text", F.coalesce("root", "__text").alias("root"), "low")
+    stays = rooted.groupBy("root").agg(F.min_by("__text", F.struct(F.col("low").isNull(), "low", "__text")).alias("__text"), F.min("low").alias("low"))
+    kept = keyed.join(stays.select("__text", "low"), "__text").where(F.col(id_col).eqNullSafe(F.col("low")))
+    return kept.dropDuplicates(["__text"]).select(*docs.columns)
