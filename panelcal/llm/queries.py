@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelcal.llm import fingerprints, langid, mixing, neighbours, packing, pii, quality
+from panelcal.llm import fingerprints, langid, mixing, neighbours, packing, pii, quality, repeats
 from panelcal.llm.neardup import with_components
 from panelcal.llm.sharding import shard_rows
 
@@ -159,3 +159,10 @@ def op6_collision_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest vectors of every 20th vector, by inner product."""
     vectors = table(spark, sf_dir, "embeddings")
     return neighbours.nearest(vectors, vectors.where("vec_id % 20 = 0"), k=20)
+
+
+@query
+def op8_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the bytes that strings of 200 bytes which also start elsewhere cover."""
+    left = repeats.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return left.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
