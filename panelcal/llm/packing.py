@@ -32,6 +32,8 @@ UNFOLDED = regex.compile("[^\x00-\u012f\u0131-\u024f]|<\\|")
 #: Marks that end a run without joining its last word.
 MARKS = ",.!?;:*&$%#|()\"-"
 KNOWN_CHUNKS = 500_000
+#: What a Python worker remembers from task to task: ids of runs and of their words, by vocabulary.
+CACHES: dict[str, tuple[dict[str, bytes], dict[str, bytes]]] = {}
 #: A special token of the vocabulary and its id, used as a separator.
 MARK = ("<|endoftext|>", 49407)
 
@@ -167,11 +169,18 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[Pattern]:
     return fixed + best_fit(rest, capacity)
 
 
+def byte_letters() -> dict[int, int]:
+    """The code point that stands for each byte in a byte-level vocabulary: itself if printable, else 256 on in order."""
+    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in printable]
+    return {b: b for b in printable} | {b: 256 + i for i, b in enumerate(others)}
+
+
 def token_bytes(tokenizer_path: str):
     """A function from a text to its ids as little-endian 32-bit words.
 
     Tokens never reach over white space, so the ids of a text are those of its runs of other characters, and each
-    distinct run is tokenized once per task. A text with a character that only some take for white space goes whole.
+    distinct run is tokenized once per worker while it is remembered. A text with a character that only some take for white space goes whole.
     """
     from tokenizers import Tokenizer
 
@@ -179,17 +188,20 @@ def token_bytes(tokenizer_path: str):
     mark, mark_id = MARK
     if tokenizer.token_to_id(mark) != mark_id:
         raise ValueError(f"the vocabulary lacks {mark} as {mark_id}")
-    known: dict[str, bytes] = {}
+    known, bases = CACHES.setdefault(tokenizer_path, ({}, {}))
+    model = tokenizer.model
+    letters = {b: chr(c) for b, c in byte_letters().items()}
 
     def ids(text: str) -> np.ndarray:
         return np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
-    bases: dict[str, bytes] = {}
-
     def encode_all(chunks: list[str]) -> None:
-        """Many runs in one call, with the special token, which is split off first, between them."""
+        """Plain words by the model alone; others many in one call, with the special token, which is split off first, between them."""
+        words = [c for c in chunks if c.isalpha() and c == c.lower() and not UNFOLDED.search(c)]
+        for c in words:  # the normalizer and the splitter leave such a word as it is
+            bases[c] = np.array([t.id for t in model.tokenize("".join(map(letters.__getitem__, c.encode())))], "<u4").tobytes()
         bases.update((c, ids(c).tobytes()) for c in chunks if mark in c)
-        plain = [c for c in chunks if mark not in c]
+        plain = [c for c in chunks if c not in bases]
         for i in range(0, len(plain), 2000):
             part = plain[i : i + 2000]
             found = ids(mark.join(part))
