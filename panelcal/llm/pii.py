@@ -44,7 +44,7 @@ PATTERN = regex.compile(
   | (?P<date>(?<![\w/.-])(?:[0-9]{4}(?P<s>[-/.])[0-9]{2}(?P=s)[0-9]{2}|[0-9]{2}(?P<r>[-/.])[0-9]{2}(?P=r)[0-9]{4})(?![\w]|[-/.][0-9]))
   | (?P<ssn>(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w]|-[0-9]))
   | (?P<phone>(?<![\w+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}(?:[ .-][0-9]{2,4})?(?![\w]|-[0-9])
-      | (?<![\w+])\+[0-9]{8,15}(?![\w]))
+      | (?<![\w+])\+[0-9]{1,3}(?:[ .-]?\(?[0-9]{1,8}\)?){1,5}(?![\w]|-[0-9]))
   | (?P<card>(?<![\w-])(?:[0-9]{13,19}|[0-9]{4}(?P<c>[ -])[0-9]{4}(?P=c)[0-9]{4}(?P=c)[0-9]{1,7}|[0-9]{4}(?P<a>[ -])[0-9]{6}(?P=a)[0-9]{5})(?![\w]|-[0-9]))
     """,
     regex.VERBOSE,

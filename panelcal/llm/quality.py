@@ -83,6 +83,8 @@ def counts(text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
 
 def train(texts: Texts, labels: list[int], epochs: int = 6, rate: float = 1.0, seed: int = 1) -> Model:
     """Stochastic gradient descent, a document a step, with a rate that falls to zero."""
+    if not texts:
+        return Model(np.zeros((BUCKETS, DIMENSION), np.float32), np.zeros((DIMENSION, 2), np.float32), np.zeros(2, np.float32))
     rng = np.random.default_rng(seed)
     vectors = ((rng.random((BUCKETS, DIMENSION)) - 0.5) / DIMENSION).astype(np.float32)
     weights = ((rng.random((DIMENSION, 2)) - 0.5) / DIMENSION).astype(np.float32)
