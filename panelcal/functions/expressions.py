@@ -47,8 +47,8 @@ def uniform_int(low: Column, high: Column, *key: Column | str | int) -> Column:
 
 
 def uniform(*key: Column | str | int) -> Column:
-    """Double in [0, 1) chosen by the hash of ``key``."""
-    return hash_bits(*key, digits=8) / F.lit(4294967296.0)
+    """Double in [0, 1) chosen by 52 bits of the hash of ``key``."""
+    return hash_bits(*key, digits=13) / F.lit(float(1 << 52))
 
 
 # --- conformal pieces

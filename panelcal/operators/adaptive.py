@@ -39,28 +39,21 @@ def check_parameters(alphas: Sequence[float], gamma: float, low: float, high: fl
 
 
 def smallest_covering_score(center: np.ndarray, truth: np.ndarray) -> np.ndarray:
-    """Least double s with center - s <= truth <= center + s in floating arithmetic.
+    """Least double s >= 0 with center - s <= truth <= center + s in floating arithmetic.
 
-    The absolute residual is within a few ulps of it; bounds are compared exactly as an
-    interval would be.
+    Rounding is monotone, so what covers is an upper set, and the bit patterns of doubles from zero to
+    infinity are ordered as they are: 64 halvings find the least one, however far it is from the residual.
     """
-    s = np.abs(truth - center)
-
-    def covers(v: np.ndarray) -> np.ndarray:
-        return (truth >= center - v) & (truth <= center + v)
-
-    for _ in range(64):
-        short = ~covers(s)
-        if not short.any():
-            break
-        s = np.where(short, np.nextafter(s, np.inf), s)
+    low = np.full(len(center), -1, np.int64)
+    high = np.full(len(center), np.array(np.inf).view(np.int64), np.int64)
     for _ in range(64):
-        lower = np.maximum(np.nextafter(s, -np.inf), 0.0)
-        spare = covers(lower) & (lower < s)
-        if not spare.any():
-            break
-        s = np.where(spare, lower, s)
-    return s
+        middle = low + (high - low) // 2
+        v = np.maximum(middle, 0).view(np.float64)
+        covers = (middle >= 0) & (truth >= center - v) & (truth <= center + v)
+        open_ = high - low > 1
+        high = np.where(open_ & covers, middle, high)
+        low = np.where(open_ & ~covers, middle, low)
+    return high.view(np.float64)
 
 
 @F.pandas_udf(T.DoubleType())

@@ -8,12 +8,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelcal.functions.expressions import asymmetric_penalty, covered, interval_score, uniform
+from panelcal.functions.expressions import asymmetric_penalty, covered, interval_score, is_finite, uniform
 from panelcal.operators.ranks import distributed_rank
 from panelcal.schema import ENTITY, ContractError, require
 from panelcal.session import stored
 
 NONFINITE = "nonfinite_on_raw_support"
+PENDING = "pending"
 POINT_METRICS = ("rmse", "mae", "signed_error", "nasa_score")
 INTERVAL_METRICS = ("coverage", "mean_width", "normalized_interval_score")
 
@@ -68,11 +69,21 @@ def point_variants(rows: DataFrame, cell: Sequence[str]) -> DataFrame:
     )
 
 
-def _measures(truth: str, lower: str, upper: str, alpha: str | float, scale: float) -> dict[str, Column]:
+def _scale(scale: float | str) -> Column:
+    """A number, or the column that holds each row's scale."""
+    if isinstance(scale, str):
+        value = F.col(scale).cast("double")
+        return F.when(value > 0, value).otherwise(F.raise_error(F.lit("the target scale must be positive")))
+    if scale <= 0:
+        raise ContractError("the target scale must be positive")
+    return F.lit(float(scale))
+
+
+def _measures(truth: str, lower: str, upper: str, alpha: str | float, scale: float | str) -> dict[str, Column]:
     return {
         "coverage": covered(truth, lower, upper).cast("double"),
         "mean_width": F.col(upper) - F.col(lower),
-        "normalized_interval_score": interval_score(truth, lower, upper, alpha) / F.lit(float(scale)),
+        "normalized_interval_score": interval_score(truth, lower, upper, alpha) / _scale(scale),
     }
 
 
@@ -80,15 +91,13 @@ def interval_metrics(
     rows: DataFrame,
     cell: Sequence[str],
     *,
-    scale: float,
+    scale: float | str,
     truth: str = "y_true",
     lower: str = "lower",
     upper: str = "upper",
     alpha: str = "alpha",
 ) -> DataFrame:
-    """Coverage (closed bounds), mean width, and mean interval score over ``scale``."""
-    if scale <= 0:
-        raise ContractError("the target scale must be positive")
+    """Coverage (closed bounds), mean width, and mean interval score over ``scale`` (a number or a column)."""
     keys = list(cell) if alpha in cell else [*cell, alpha]
     m = _measures(truth, lower, upper, alpha, scale)
     guard = F.when(F.col(lower) > F.col(upper), F.raise_error(F.lit("lower bound above upper bound"))).otherwise(m["coverage"])
@@ -120,7 +129,7 @@ def metrics_long(metrics: DataFrame, cell: Sequence[str], names: Sequence[str],
 def _poisson_weight(u: Column) -> Column:
     """Poisson(1) by inversion: the number of cumulative probabilities at or below ``u``."""
     total, mass, steps = 0.0, math.exp(-1.0), []
-    for k in range(1, 14):
+    for k in range(1, 20):  # what lies beyond has less than 2^-52
         total += mass
         steps.append(F.when(u >= F.lit(total), 1).otherwise(0))
         mass /= k
@@ -134,7 +143,7 @@ def bootstrap_intervals(
     rows: DataFrame,
     cell: Sequence[str],
     *,
-    scale: float,
+    scale: float | str,
     seed: str | int = "seed",
     resamples: int = 2000,
     confidence: float = 0.95,
@@ -151,14 +160,21 @@ def bootstrap_intervals(
     number, and an equi-join on it fetches the row. ``poisson`` gives every (row, resample) a
     Poisson(1) weight instead: the same limit, and only per-resample sums are shuffled, which
     is the mode for cells of many millions of entities.
+
+    A cell with an unbounded interval (an unattainable rank) has no bounds: its rows stay, with nulls and
+    ``bootstrap_status`` pending.
     """
-    if resamples < 1 or not 0 < confidence < 1 or scale <= 0:
+    if resamples < 1 or not 0 < confidence < 1:
         raise ContractError("invalid bootstrap parameters")
     keys = list(cell) if alpha in cell else [*cell, alpha]
     m = _measures(truth, lower, upper, alpha, scale)
     seed_col = F.col(seed) if isinstance(seed, str) else F.lit(seed)
     base = rows.select(*keys, *entity, seed_col.alias("_seed"), *[c.alias(f"_{n}") for n, c in m.items()])
     names = list(m)
+    metric = F.explode(F.array(*[F.lit(n) for n in names])).alias("metric")
+    bounded = is_finite("_mean_width")
+    cells = base.groupBy(*keys).agg(F.every(bounded).alias("_bounded")).select(*keys, "_bounded", metric)
+    base = base.filter(bounded)
     draws = F.explode(F.sequence(F.lit(0), F.lit(resamples - 1)))
     if mode == "poisson":
         # The hash is a column of its own, so that its thirteen uses do not repeat it.
@@ -189,7 +205,14 @@ def bootstrap_intervals(
     tail = (1.0 - confidence) / 2.0
     pairs = F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).alias("v")) for n in names])
     long = samples.select(*keys, F.explode(pairs).alias("_m")).select(*keys, "_m.*")
-    return long.groupBy(*keys, "metric").agg(
+    found = long.groupBy(*keys, "metric").agg(
         F.expr(f"percentile(v, {tail}D)").alias("bootstrap_ci_lower"),
         F.expr(f"percentile(v, {1.0 - tail}D)").alias("bootstrap_ci_upper"),
     )
+    return cells.join(found, [*keys, "metric"], "left").select(
+        *keys,
+        "metric",
+        F.when(F.col("_bounded"), F.col("bootstrap_ci_lower")).alias("bootstrap_ci_lower"),
+        F.when(F.col("_bounded"), F.col("bootstrap_ci_upper")).alias("bootstrap_ci_upper"),
+        F.when(F.col("_bounded"), "numeric").otherwise(PENDING).alias("bootstrap_status"),
+    )

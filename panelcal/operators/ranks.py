@@ -198,9 +198,10 @@ def distributed_rank(
     parts = groups.select(*by, value, "_h", F.coalesce(F.sum("_c").over(part), F.lit(0)).alias("_inside"))
     positions = value_positions(rows, by, value, slices=slices).select(*by, value, "position_min")
     inner = Window.partitionBy(*by, value, "_h").orderBy(*([hashed] if tie else []), *(tie or [F.lit(0)]))
+    # Positions meet the parts, of which a value has 4096 at most; the rows meet both by the part.
+    placed = parts.join(positions, [*by, value])
     return (
-        keyed.join(parts, [*by, value, "_h"])
-        .join(positions, [*by, value])
+        keyed.join(placed, [*by, value, "_h"])
         .withColumn(out, F.col("position_min") - 1 + F.col("_inside") + F.row_number().over(inner))
         .drop("_h", "_inside", "position_min")
     )

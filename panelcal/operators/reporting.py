@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelcal.functions.expressions import rank_regime, requested_rank
+from panelcal.functions.expressions import is_finite
 from panelcal.operators import metrics
 from panelcal.operators.quality import differs
 from panelcal.schema import ENTITY
@@ -81,11 +82,15 @@ def point_rows(predictions: DataFrame, cell: Sequence[str]) -> DataFrame:
 
 
 def interval_rows(
-    intervals: DataFrame, cell: Sequence[str], *, scale: float, resamples: int, confidence: float = 0.95, mode: str = "poisson"
+    intervals: DataFrame, cell: Sequence[str], *, scale: float | str, resamples: int, confidence: float = 0.95, mode: str = "poisson"
 ) -> DataFrame:
     """Interval metrics per cell and alpha with bootstrap bounds, long."""
     keys = [*cell, "alpha"]
-    long = metrics.metrics_long(metrics.interval_metrics(intervals, cell, scale=scale), keys, metrics.INTERVAL_METRICS)
+    found = metrics.interval_metrics(intervals, cell, scale=scale)
+    # An unattainable cell keeps its rows, as pending ones.
+    known = is_finite("mean_width")
+    found = found.select(*keys, "n_endpoints", *[F.when(known, F.col(m)).alias(m) for m in metrics.INTERVAL_METRICS], F.lit(metrics.PENDING).alias("_state"))
+    long = metrics.metrics_long(found, keys, metrics.INTERVAL_METRICS, status="_state")
     bounds = metrics.bootstrap_intervals(
         intervals, cell, scale=scale, resamples=resamples, confidence=confidence, mode=mode
     )
@@ -93,7 +98,7 @@ def interval_rows(
         {
             "bootstrap_resamples": F.lit(resamples),
             "bootstrap_confidence_level": F.lit(confidence),
-            "target_scale": F.lit(float(scale)),
+            "target_scale": F.lit(None if isinstance(scale, str) else float(scale)).cast("double"),
         }
     )
 

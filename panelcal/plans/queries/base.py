@@ -52,11 +52,11 @@ def event_ctes(*more: str) -> list[str]:
     return [sql.EVENTS, sql.roles("ev", SEEDS), sql.cuts("ev", PRIMARY), sql.predictions("ev"), *more]
 
 
-def line_ctes(*more: str, train_where: str = "TRUE", conditions=PRIMARY, seeds=SEEDS) -> list[str]:
+def line_ctes(*more: str, train_where: str = "TRUE", target_where: str = "FALSE", conditions=PRIMARY, seeds=SEEDS) -> list[str]:
     return [
         sql.LINES,
         sql.roles("li", seeds),
         sql.cuts("li", conditions),
-        sql.predictions("li", extra="domain", train_where=train_where),
+        sql.predictions("li", extra="domain", train_where=train_where, target_where=target_where),
         *more,
     ]

@@ -32,9 +32,11 @@ _BAND_ALPHA = 0.25
 _BANDS = f"""
 leaf AS (SELECT seed, condition, bucket, quantile_cont(y, {_BAND_ALPHA / 2}) AS lo, quantile_cont(y, {1 - _BAND_ALPHA / 2}) AS hi
   FROM trained GROUP BY ALL),
-banded AS (SELECT e.seed, e.condition, e.role, e.entity_id, CAST(e.rul_capped AS DOUBLE) AS y_true, lo, hi,
-    greatest(lo - e.rul_capped, e.rul_capped - hi, 0) AS score
-  FROM ends e JOIN leaf l ON l.seed = e.seed AND l.condition = e.condition AND l.bucket = CAST(floor(e.cycle / 10) AS BIGINT)),
+everywhere AS (SELECT seed, condition, quantile_cont(y, {_BAND_ALPHA / 2}) AS lo, quantile_cont(y, {1 - _BAND_ALPHA / 2}) AS hi
+  FROM trained GROUP BY ALL),
+banded AS (SELECT e.seed, e.condition, e.role, e.entity_id, CAST(e.rul_capped AS DOUBLE) AS y_true, coalesce(l.lo, a.lo) AS lo, coalesce(l.hi, a.hi) AS hi,
+    greatest(coalesce(l.lo, a.lo) - e.rul_capped, e.rul_capped - coalesce(l.hi, a.hi), 0) AS score
+  FROM ends e JOIN everywhere a ON a.seed = e.seed AND a.condition = e.condition LEFT JOIN leaf l ON l.seed = e.seed AND l.condition = e.condition AND l.bucket = CAST(floor(e.cycle / 10) AS BIGINT)),
 bcal AS (SELECT *, row_number() OVER (PARTITION BY seed, condition ORDER BY score) AS rk, count(*) OVER (PARTITION BY seed, condition) AS n
   FROM banded WHERE role = 'calibration'),
 bq AS (SELECT seed, condition, score AS quantile, n FROM bcal WHERE rk = CAST(ceil((n + 1) * (1 - {_BAND_ALPHA})) AS BIGINT))
@@ -58,14 +60,15 @@ def quantile_band_intervals(spark, sf_dir):
     grid = grid_table(panel, design)
     bucket = F.floor(F.col(CYCLE) / 10).cast("bigint")
     train = training_rows(panel.drop("next_cycle"), ends.roles, entity_lives(panel), grid)
-    # One leaf per seed, condition and bucket.
-    leaves = leaf_table(
-        train.select(F.struct("seed", "condition").alias("tree"), bucket.alias("leaf"), F.col("rul_capped").cast("double").alias("label")),
-        (_BAND_ALPHA / 2, 1 - _BAND_ALPHA / 2),
-    ).select("tree.seed", "tree.condition", F.col("leaf").alias("bucket"), "quantiles")
+    # One leaf per seed, condition and bucket; an endpoint in a bucket without training rows gets the band of all of them.
+    labelled = train.select(F.struct("seed", "condition").alias("tree"), F.explode(F.array(bucket, F.lit(-1).cast("bigint"))).alias("leaf"), F.col("rul_capped").cast("double").alias("label"))
+    leaves = leaf_table(labelled, (_BAND_ALPHA / 2, 1 - _BAND_ALPHA / 2)).select("tree.seed", "tree.condition", F.col("leaf").alias("bucket"), "quantiles")
+    everywhere = leaves.filter("bucket = -1").select("seed", "condition", F.col("quantiles").alias("all_quantiles"))
     rows = (
         ends.rows.withColumn("bucket", bucket)
-        .join(leaves, ["seed", "condition", "bucket"])
+        .join(everywhere, ["seed", "condition"])
+        .join(leaves, ["seed", "condition", "bucket"], "left")
+        .withColumn("quantiles", F.coalesce("quantiles", "all_quantiles"))
         .withColumn("band_lower", F.col("quantiles")[0])
         .withColumn("band_upper", F.col("quantiles")[1])
         .withColumn("alpha", F.lit(_BAND_ALPHA))
@@ -247,7 +250,7 @@ def _cell_metrics_sql(keys: str) -> str:
 
 
 def _cell_metrics(intervals, cell):
-    found = metrics.interval_metrics(intervals, cell, scale=125)
+    found = metrics.interval_metrics(intervals, cell, scale="cap")
     return found.select(*cell, "alpha", "n_endpoints", r("coverage"), r("mean_width"), r("normalized_interval_score"))
 
 
@@ -259,12 +262,13 @@ def _cell_metrics(intervals, cell):
             sql.INTERVALS,
             sql.SCORED,
             train_where="p.domain = 'EUROPE'",
+            target_where="p.domain <> 'EUROPE'",
         ),
         _cell_metrics_sql("domain, seed, condition, model, alpha"),
     ),
 )
 def domain_shift_matrix(spark, sf_dir):
-    """Fit and calibrated on one region, evaluated on all five."""
+    """Fit and calibrated on one region; evaluated on its validation entities and on all of the other four."""
     panel = stored(base.with_next(stored(base.lines(spark, sf_dir), "lines"), ("domain",)), "lines-next")
     intervals = shift_matrix(panel, base.LINES_DESIGN, progress_predictor(), base.is_source())
     return _cell_metrics(intervals, ["domain", *CELL])
@@ -278,7 +282,7 @@ def domain_shift_matrix(spark, sf_dir):
     ),
 )
 def sensitivity_conditions(spark, sf_dir):
-    design = base.Design(seeds=base.SEEDS, conditions=split.CONDITIONS, alphas=(0.25, 0.40), domains=base.DOMAINS)
+    design = base.Design(seeds=base.SEEDS, conditions=split.CONDITIONS, alphas=(0.25, 0.40), domains=base.DOMAINS, policy="infinite")
     _, intervals = split_conformal(base.line_predictions(spark, sf_dir, design), design)
     return _cell_metrics(intervals, CELL)
 
@@ -288,7 +292,7 @@ def sensitivity_conditions(spark, sf_dir):
 )
 def adaptive_shift(spark, sf_dir):
     """Adaptive intervals per region from one source calibration: coverage per cell."""
-    predictions = base.line_predictions(spark, sf_dir)
+    predictions = base.line_predictions(spark, sf_dir, train_filter=base.is_source())
     trace = adaptive_conformal(predictions, base.LINES_DESIGN, source=base.is_source())
     return _cell_metrics(stored(trace, "trace"), ["domain", *CELL])
 

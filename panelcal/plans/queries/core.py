@@ -158,7 +158,7 @@ def split_conformal_intervals(spark, sf_dir):
 )
 def interval_metrics(spark, sf_dir):
     _, intervals = split_conformal(base.event_predictions(spark, sf_dir), base.EVENTS_DESIGN)
-    found = metrics.interval_metrics(intervals, CELL, scale=125)
+    found = metrics.interval_metrics(intervals, CELL, scale="cap")
     return found.select(*CELL, "alpha", "n_endpoints", r("coverage"), r("mean_width"), r("normalized_interval_score"))
 
 
@@ -223,38 +223,43 @@ def _bootstrap_sql(mode: str) -> str:
     resamples = base.EVENTS_DESIGN.resamples
     draws = f"draws AS (SELECT CAST(range AS BIGINT) AS b FROM range({resamples}))"
     if mode == "multinomial":
-        u = sql.HEX8.format(key="seed || ':' || b || ':' || j")
-        samples = f"""numbered AS (SELECT *, row_number() OVER (PARTITION BY seed, condition, model, alpha ORDER BY entity_id) AS pos FROM scored),
-sizes AS (SELECT seed, condition, model, alpha, count(*) AS n FROM scored GROUP BY ALL),
-picks AS (SELECT seed, condition, model, alpha, b, CAST(floor({u} / CAST(4294967296 AS DOUBLE) * n) AS BIGINT) + 1 AS pos
+        u = sql.HEX13.format(key="seed || ':' || b || ':' || j")
+        samples = f"""numbered AS (SELECT *, row_number() OVER (PARTITION BY seed, condition, model, alpha ORDER BY entity_id) AS pos FROM bounded),
+sizes AS (SELECT seed, condition, model, alpha, count(*) AS n FROM bounded GROUP BY ALL),
+picks AS (SELECT seed, condition, model, alpha, b, CAST(floor({u} / CAST(4503599627370496 AS DOUBLE) * n) AS BIGINT) + 1 AS pos
   FROM (SELECT s.*, b, CAST(unnest(range(n)) AS BIGINT) AS j FROM sizes s CROSS JOIN draws)),
 samples AS (SELECT seed, condition, model, alpha, b, avg(hit) AS coverage, avg(width) AS mean_width, avg(nis) AS normalized_interval_score
   FROM picks JOIN numbered USING (seed, condition, model, alpha, pos) GROUP BY ALL)"""
     else:
-        u = sql.HEX8.format(key="seed || ':' || b || ':' || entity_id")
+        u = sql.HEX13.format(key="seed || ':' || b || ':' || entity_id")
         bounds, total, mass = [], 0.0, 0.36787944117144233
-        for k in range(1, 14):
+        for k in range(1, 20):
             total += mass
             bounds.append(f"CASE WHEN u >= CAST({total!r} AS DOUBLE) THEN 1 ELSE 0 END")
             mass /= k
-        samples = f"""weighted AS (SELECT *, {' + '.join(bounds)} AS w FROM (SELECT s.*, b, {u} / CAST(4294967296 AS DOUBLE) AS u FROM scored s CROSS JOIN draws)),
+        samples = f"""weighted AS (SELECT *, {' + '.join(bounds)} AS w FROM (SELECT s.*, b, {u} / CAST(4503599627370496 AS DOUBLE) AS u FROM bounded s CROSS JOIN draws)),
 samples AS (SELECT seed, condition, model, alpha, b, sum(hit * w) / sum(w) AS coverage, sum(width * w) / sum(w) AS mean_width,
   sum(nis * w) / sum(w) AS normalized_interval_score FROM weighted WHERE w > 0 GROUP BY ALL)"""
     long = " UNION ALL ".join(
         f"SELECT seed, condition, model, alpha, '{m}' AS metric, {m} AS v FROM samples" for m in metrics.INTERVAL_METRICS
     )
+    bounded = "bounded AS (SELECT * FROM scored WHERE isfinite(width))"
+    found = f"""found AS (SELECT seed, condition, model, alpha, metric, {sql.r('quantile_cont(v, 0.025)')} AS low,
+        {sql.r('quantile_cont(v, 0.975)')} AS high FROM long GROUP BY ALL)"""
+    cells = f"""cells AS (SELECT seed, condition, model, alpha, bool_and(isfinite(width)) AS bounded, metric FROM scored
+        CROSS JOIN (SELECT unnest({list(metrics.INTERVAL_METRICS)}) AS metric) GROUP BY ALL)"""
     return sql.query(
-        base.event_ctes(sql.quantiles(base.ALPHAS), sql.INTERVALS, sql.SCORED, draws, samples, f"long AS ({long})"),
-        f"""SELECT seed, condition, model, alpha, metric, {sql.r('quantile_cont(v, 0.025)')} AS bootstrap_ci_lower,
-        {sql.r('quantile_cont(v, 0.975)')} AS bootstrap_ci_upper FROM long GROUP BY ALL""",
+        base.event_ctes(sql.quantiles(base.ALPHAS), sql.INTERVALS, sql.SCORED, bounded, draws, samples, f"long AS ({long})", found, cells),
+        """SELECT seed, condition, model, alpha, metric, CASE WHEN bounded THEN low END AS bootstrap_ci_lower,
+        CASE WHEN bounded THEN high END AS bootstrap_ci_upper, CASE WHEN bounded THEN 'numeric' ELSE 'pending' END AS bootstrap_status
+        FROM cells LEFT JOIN found USING (seed, condition, model, alpha, metric)""",
     )
 
 
 def _bootstrap(spark, sf_dir, mode):
     _, intervals = split_conformal(base.event_predictions(spark, sf_dir), base.EVENTS_DESIGN)
-    finite = intervals.filter(F.col("quantile") < float("inf"))
-    found = metrics.bootstrap_intervals(finite, CELL, scale=125, resamples=base.EVENTS_DESIGN.resamples, mode=mode)
-    return found.select(*CELL, "alpha", "metric", r("bootstrap_ci_lower"), r("bootstrap_ci_upper"))
+    found = metrics.bootstrap_intervals(intervals, CELL, scale="cap", resamples=base.EVENTS_DESIGN.resamples, mode=mode)
+    return found.select(*CELL, "alpha", "metric", r("bootstrap_ci_lower"), r("bootstrap_ci_upper"), "bootstrap_status")
 
 
 @register("bootstrap_multinomial", _bootstrap_sql("multinomial"))

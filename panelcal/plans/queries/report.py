@@ -159,9 +159,8 @@ def stored_metric_check(spark, sf_dir):
 def cross_run_report(spark, sf_dir):
     """Whole report: point and interval rows per seed, then the summary over seeds."""
     predictions, intervals = _rows(spark, sf_dir)
-    finite = intervals.filter(F.col("quantile") < float("inf"))
     points = reporting.point_rows(predictions.filter(F.col("role") == split.VALIDATION), _CELLS).withColumn("alpha", F.lit(None).cast("double"))
-    bands = reporting.interval_rows(finite, _CELLS, scale=125, resamples=base.LINES_DESIGN.resamples).withColumn(
+    bands = reporting.interval_rows(intervals, _CELLS, scale=125, resamples=base.LINES_DESIGN.resamples).withColumn(
         "prediction_variant", F.lit(None).cast("string")
     )
     shared = ["result_type", "run_id", *_CELLS, "prediction_variant", "alpha", "metric", "value"]

@@ -7,6 +7,7 @@ tables; it shares no code with the operators it checks.
 from __future__ import annotations
 
 HEX8 = "CAST('0x' || substr(md5({key}), 1, 8) AS BIGINT)"
+HEX13 = "CAST('0x' || substr(md5({key}), 1, 13) AS BIGINT)"
 HEX15 = "CAST('0x' || substr(md5({key}), 1, 15) AS BIGINT)"
 
 EVENTS = """
@@ -71,13 +72,17 @@ cuts AS (SELECT seed, condition, cap, entity_id, lo + {key} % (hi - lo + 1) AS c
 """
 
 
-def predictions(panel: str, *, extra: str = "", train_where: str = "TRUE") -> str:
-    """Endpoint predictions of the two progress baselines; ``extra`` lists carried columns."""
+def predictions(panel: str, *, extra: str = "", train_where: str = "TRUE", target_where: str = "FALSE") -> str:
+    """Endpoint predictions of the two progress baselines; ``extra`` lists carried columns.
+
+    Entities of ``target_where`` are all evaluated, whatever their role.
+    """
     carried = f"{extra}, " if extra else ""
     return f"""
-ends AS (SELECT p.*, c.seed, c.condition, c.cap, r.role, least(p.rul_raw, c.cap) AS rul_capped
-  FROM cuts c JOIN roles r ON r.seed = c.seed AND r.entity_id = c.entity_id AND r.role <> 'base_train'
-  JOIN {panel} p ON p.entity_id = c.entity_id AND p.cycle = c.cut),
+ends AS (SELECT p.*, c.seed, c.condition, c.cap, CASE WHEN {target_where} THEN 'validation' ELSE r.role END AS role,
+    least(p.rul_raw, c.cap) AS rul_capped
+  FROM cuts c JOIN roles r ON r.seed = c.seed AND r.entity_id = c.entity_id
+  JOIN {panel} p ON p.entity_id = c.entity_id AND p.cycle = c.cut WHERE r.role <> 'base_train' OR {target_where}),
 trained AS (SELECT g.seed, g.condition, CAST(floor(p.cycle / 10) AS BIGINT) AS bucket, CAST(least(p.rul_raw, g.cap) AS DOUBLE) AS y
   FROM grid g JOIN roles r ON r.seed = g.seed AND r.role = 'base_train'
   JOIN {panel} p ON p.entity_id = r.entity_id WHERE {train_where}),
@@ -121,7 +126,7 @@ intervals AS (SELECT p.*, q.alpha, q.quantile, p.pred - q.quantile AS lower, p.p
 
 SCORED = """
 scored AS (SELECT *, CASE WHEN y_true >= lower AND y_true <= upper THEN 1.0 ELSE 0.0 END AS hit, upper - lower AS width,
-    ((upper - lower) + (2 / alpha) * (greatest(lower - y_true, 0) + greatest(y_true - upper, 0))) / 125 AS nis
+    ((upper - lower) + (2 / alpha) * (greatest(lower - y_true, 0) + greatest(y_true - upper, 0))) / cap AS nis
   FROM intervals)
 """
 

@@ -37,8 +37,9 @@ class Design:
     domains: tuple[str, ...] = ()
 
     @property
-    def scale(self) -> float:
-        return float(self.conditions[0][1])
+    def scale(self) -> str:
+        """Interval scores are divided by the cap of their own condition."""
+        return "cap"
 
 
 @dataclass
@@ -60,19 +61,26 @@ def entity_lives(panel: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     return last_cycles(panel, [*keep, ENTITY])
 
 
-def prepare_endpoints(panel: DataFrame, design: Design, *, keep: Sequence[str] = (), name: str = "design") -> Endpoints:
+def prepare_endpoints(
+    panel: DataFrame, design: Design, *, keep: Sequence[str] = (), source: Column | None = None, name: str = "design"
+) -> Endpoints:
     """Roles, cuts and prefix endpoints of every held-out entity.
 
+    Entities outside ``source`` (a condition on the columns of ``keep``) are never trained on, so all of
+    them are held out, as validation entities.
+
     ``panel`` carries ``next_cycle``. Truth is the full trajectory's remaining life, whatever
     the prefix shows. ``keep`` are per-entity columns (a domain) to carry along.
     """
     lives = stored(entity_lives(panel, keep), f"{name}-lives")
     roles = stored(split.assign_roles(lives, design.seeds), f"{name}-roles")
-    held_out = roles.filter(F.col("role") != split.TRAIN)
+    here = F.coalesce(source, F.lit(False)) if source is not None else F.lit(True)
     cuts = (
         split.cut_points(lives.select(ENTITY, "last_cycle"), grid_table(panel, design))
-        .join(held_out, ["seed", ENTITY])
+        .join(roles, ["seed", ENTITY])
         .join(lives, ENTITY)
+        .withColumn("role", F.when(here, F.col("role")).otherwise(split.VALIDATION))
+        .filter(F.col("role") != split.TRAIN)
     )
     cuts = stored(cuts, f"{name}-cuts")
     inputs = panel.drop(*keep)
@@ -164,9 +172,9 @@ def scored_predictions(
     """Fit on training entities, predict the endpoints of all others, clip and score.
 
     ``train_filter`` restricts the entities that are trained on and calibrated with (a source
-    domain); the fit is not repeated for the others. Written once.
+    domain); the fit is not repeated for the others, all of which are evaluated. Written once.
     """
-    ends = prepare_endpoints(panel, design, keep=keep, name=name)
+    ends = prepare_endpoints(panel, design, keep=keep, source=train_filter, name=name)
     life = entity_lives(panel)
     base = panel.filter(train_filter) if train_filter is not None else panel
     train = training_rows(base.drop(*keep, "next_cycle"), ends.roles, life, grid_table(panel, design))

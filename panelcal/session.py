@@ -8,6 +8,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from panelcal.schema import ContractError
+
 # Settings the library relies on. They are safe to set on a live session.
 SESSION_CONF = {
     "spark.sql.session.timeZone": "UTC",
@@ -33,12 +35,15 @@ def configure(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """Folder that every executor can read: ``spark.checkpoint.dir`` of the session.
 
-    Only a session without that setting (local tests) gets a temporary folder.
+    Without that setting a local master gets a temporary folder; on a cluster the executors would each
+    write to their own disk, so there it is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir", None
     )
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ContractError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="spark-panelcal-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", found)
     return found

@@ -71,3 +71,13 @@ def test_parameters_and_policy(spark):
     with pytest.raises(Exception, match="unattainable"):
         trace(spark, (1, 2), [1], [1], 0.1, policy="raise")
     assert trace(spark, (1, 2), [1], [99], 0.1, policy="infinite")[0][2:] == (float("inf"), False)
+
+
+def test_threshold_far_below_the_residual():
+    """Around 100, values far below an ulp of it already cover its next double."""
+    center, truth = np.array([100.0, 100.0, -3.0, 1e300, 0.0]), np.array([np.nextafter(100, 200), 100.0, 5.0, -1e300, 5e-324])
+    s = adaptive.smallest_covering_score(center, truth)
+    assert ((truth >= center - s) & (truth <= center + s)).all()
+    below = np.nextafter(s, -np.inf)
+    short = (below < 0) | (truth < center - below) | (truth > center + below)
+    assert short.all() and s[1] == 0.0 and s[0] < 1e-14

@@ -95,3 +95,22 @@ def test_rank_plan_has_no_window_over_all_rows(skewed):
     plan = ranks.distributed_rank(df, [], "v", ["id"], slices=32)._jdf.queryExecution().executedPlan().toString()
     windows = [line for line in plan.splitlines() if "Window [row_number" in line]
     assert windows and all("_h" in line for line in windows)
+
+
+def test_a_value_of_nearly_all_rows_is_spread_over_tasks(spark):
+    """Broadcasts and re-planning off: no task of the last stage holds the rows of the hot value."""
+    from pyspark.sql import functions as F
+
+    rows = spark.range(40_000).select(F.col("id"), F.when(F.col("id") % 100 == 0, F.col("id")).otherwise(7).alias("v"))
+    saved = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    try:
+        for k, v in {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "16"}.items():
+            spark.conf.set(k, v)
+        ranked = ranks.distributed_rank(rows, [], "v", ["id"])
+        sizes = [r[1] for r in ranked.groupBy(F.spark_partition_id()).count().collect()]
+        assert max(sizes) < 40_000 / 4
+        got = [r[0] for r in ranked.select("rank").orderBy("rank").collect()]
+    finally:
+        for k, v in saved.items():
+            spark.conf.set(k, v)
+    assert got == list(range(1, 40_001))

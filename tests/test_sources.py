@@ -101,3 +101,15 @@ def test_sinks_refuse_to_overwrite(spark, tmp_path):
         runs.write_table(df, str(tmp_path / "x"), partition_by=["nope"])
     sums = runs.write_report({"metrics": df}, str(tmp_path / "report"))
     assert sums.count() >= 1
+
+
+def test_no_machine_local_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    from panelcal.schema import ContractError
+    from panelcal.session import shared_dir
+
+    conf = SimpleNamespace(get=lambda key, default=None: default)
+    cluster = SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="spark://host:7077", getConf=lambda: conf))
+    with pytest.raises(ContractError):
+        shared_dir(cluster)
