@@ -15,6 +15,7 @@ from decimal import Decimal
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from panelcal.functions.beta import (
     beta_cdf,
@@ -33,7 +34,9 @@ from panelcal.session import local_rows, stored
 EVALUATED = "evaluate"
 EXCLUDED_UNATTAINABLE = "excluded_unattainable"
 EXCLUDED_DEGENERATE = "excluded_degenerate"
-EXACT_LIMIT = 120  # C(120, 60) still fits DECIMAL(38, 0)
+DECIMAL_DIGITS = 38
+EXACT, BEYOND_DECIMAL = "exact", "beyond_decimal"
+LISTED = 120  # reservoirs of up to so many scores get their positions listed one by one
 ENDPOINTS = 100  # fixed value: evaluation endpoints of the beta-binomial reference
 CELL_SCHEMA = "role string, n_cal bigint, alpha double"
 
@@ -51,7 +54,6 @@ def cell_grid(cells: DataFrame, sizes: DataFrame) -> DataFrame:
     ``sizes`` holds the reservoir keys and ``reservoir_size``. Cells without a distribution
     stay as rows with their status.
     """
-    spark = cells.sparkSession
     n, size = F.col("n_cal"), F.col("reservoir_size")
     rank = requested_rank("n_cal", "alpha")
     evaluated = F.col("status") == EVALUATED
@@ -69,28 +71,34 @@ def cell_grid(cells: DataFrame, sizes: DataFrame) -> DataFrame:
         .withColumn("support_position_max", F.when(evaluated, size - n + F.col("requested_rank")))
         .withColumn("finite_population_factor", (size - n) / (size - F.lit(1)))
     )
-    exact = binomials(spark).select(F.col("m").alias("reservoir_size"), F.col("k").alias("n_cal"), F.col("c").alias("_c"))
-    return (
-        grid.join(F.broadcast(exact), ["reservoir_size", "n_cal"], "left")
-        .withColumn("combination_count", F.when(evaluated, F.col("_c")))
-        .drop("_c")
+    count = F.when(evaluated, exact_choose("reservoir_size", "n_cal"))
+    return grid.withColumn("combination_count", count).withColumn(
+        "combination_status", F.when(evaluated, F.when(F.col("combination_count").isNull(), BEYOND_DECIMAL).otherwise(EXACT))
     )
 
 
-def binomials(spark: SparkSession, limit: int = EXACT_LIMIT) -> DataFrame:
-    """C(m, k) for m <= limit as DECIMAL(38, 0): (limit + 1)(limit + 2) / 2 rows."""
-    rows = [(m, k, Decimal(math.comb(m, k))) for m in range(limit + 1) for k in range(m + 1)]
-    frame = pd.DataFrame(rows, columns=["m", "k", "c"])
-    return spark.createDataFrame(frame, "m bigint, k bigint, c decimal(38,0)")
+@F.pandas_udf(T.DecimalType(38, 0))
+def exact_choose(m: pd.Series, k: pd.Series) -> pd.Series:
+    """C(m, k) as DECIMAL(38, 0); null where it does not fit, whatever m is."""
+
+    def choose(m: int, k: int) -> Decimal | None:
+        if not 0 <= k <= m:
+            return Decimal(0)
+        # Decided on logarithms first, so that no number of thousands of digits is made.
+        if math.lgamma(m + 1) - math.lgamma(k + 1) - math.lgamma(m - k + 1) > math.log(10) * DECIMAL_DIGITS + 1:
+            return None
+        found = math.comb(m, k)
+        return Decimal(found) if found < 10**DECIMAL_DIGITS else None
+
+    return pd.Series([None if pd.isna(a) or pd.isna(b) else choose(int(a), int(b)) for a, b in zip(m, k, strict=True)], dtype=object)
 
 
 def position_masses(positions: DataFrame, grid: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Probability (and exact multiplicity up to the DECIMAL limit) of every support position.
+    """Probability (and exact multiplicity wherever the number of subsets fits DECIMAL(38, 0)) of every support position.
 
     ``positions`` holds the reservoir keys and ``position``; its rows meet the declared cells by
     broadcast, so the work is spread like the reservoir itself.
     """
-    spark = grid.sparkSession
     r, n, size, k = (F.col(c) for c in ("requested_rank", "n_cal", "reservoir_size", "position"))
     cells = [*keys, "cell_id"]
     evaluated = grid.filter(F.col("status") == EVALUATED)
@@ -102,15 +110,8 @@ def position_masses(positions: DataFrame, grid: DataFrame, keys: Sequence[str])
     peak = logged.groupBy(*cells).agg(F.max("_l").alias("_peak"))
     raw = logged.join(peak, cells).withColumn("_w", F.exp(F.col("_l") - F.col("_peak")))
     mass = raw.groupBy(*cells).agg(F.sum("_w").alias("_sum"))
-    table = binomials(spark)
-    first = table.select(F.col("m").alias("_m1"), F.col("k").alias("_k1"), F.col("c").alias("_c1"))
-    second = table.select(F.col("m").alias("_m2"), F.col("k").alias("_k2"), F.col("c").alias("_c2"))
     exact = F.col("combination_count").isNotNull()
-    out = (
-        raw.join(mass, cells)
-        .join(F.broadcast(first), (F.col("_m1") == k - 1) & (F.col("_k1") == r - 1), "left")
-        .join(F.broadcast(second), (F.col("_m2") == size - k) & (F.col("_k2") == n - r), "left")
-    )
+    out = raw.join(mass, cells).withColumn("_c1", exact_choose(k - 1, r - 1)).withColumn("_c2", exact_choose(size - k, n - r))
     multiplicity = F.when(exact, (F.col("_c1") * F.col("_c2")).cast("decimal(38,0)"))
     probability = F.when(
         exact, multiplicity.cast("double") / F.col("combination_count").cast("double")
@@ -129,8 +130,8 @@ def quantile_distribution(
 ) -> DataFrame:
     """Distribution of the calibration quantile; equal doubles merge, one ulp apart stays apart.
 
-    ``position_multiplicities`` maps positions to their exact multiplicities; it is null beyond
-    the DECIMAL limit, so the list it is built from has at most that many entries.
+    ``multiplicity`` is exact wherever the number of subsets fits DECIMAL(38, 0), whatever the reservoir's size.
+    ``position_multiplicities`` lists them by position for reservoirs of up to ``LISTED`` scores, so the list is bounded.
     """
     keys = list(keys)
     values = reservoir.select(*keys, *tie, F.col(score).cast("double").alias("quantile"))
@@ -141,7 +142,7 @@ def quantile_distribution(
         F.min("position").alias("position_min"),
         F.max("position").alias("position_max"),
         F.to_json(
-            F.map_from_entries(F.sort_array(F.collect_list(F.when(F.col("multiplicity").isNotNull(), entry))))
+            F.map_from_entries(F.sort_array(F.collect_list(F.when(F.col("multiplicity").isNotNull() & (F.col("reservoir_size") <= LISTED), entry))))
         ).alias("position_multiplicities"),
         F.sum("multiplicity").cast("decimal(38,0)").alias("multiplicity"),
         F.max("combination_count").alias("combination_count"),

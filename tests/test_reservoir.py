@@ -136,3 +136,23 @@ def test_empirical_wasserstein(spark):
     x, y = np.repeat([1.0, 3.0], 3), np.repeat([2.0, 2.0, 6.0], 2)
     got = res.empirical_wasserstein(left, right, [], "v", slices=4).first().wasserstein_1
     assert got == pytest.approx(np.mean(np.abs(np.sort(x) - np.sort(y))))
+
+
+def test_exact_multiplicities_of_a_large_reservoir(spark):
+    """C(1000, 5) fits DECIMAL(38, 0), C(1000, 400) does not: the first is exact, the second says so."""
+    from math import comb
+
+    store = spark.createDataFrame([(i, float(i // 2)) for i in range(1000)], "entity_id long, score double")
+    cells = res.declared_cells(spark, [("primary", 5, 0.4), ("primary", 400, 0.1)])
+    sizes = spark.createDataFrame([(1000,)], "reservoir_size long")
+    grid = res.cell_grid(cells, sizes)
+    status = {r.n_cal: (r.combination_count, r.combination_status) for r in grid.collect()}
+    assert int(status[5][0]) == comb(1000, 5) and status[5][1] == "exact" and status[400] == (None, "beyond_decimal")
+    found = res.quantile_distribution(store, grid, []).collect()
+    small = {r["quantile"]: r for r in found if r.n_cal == 5}
+    rank = 4
+    for q, row in small.items():
+        positions = [p for p in (2 * int(q) + 1, 2 * int(q) + 2) if rank <= p <= 1000 - 5 + rank]
+        assert int(row.multiplicity) == sum(comb(p - 1, rank - 1) * comb(1000 - p, 5 - rank) for p in positions)
+    assert sum(int(r.multiplicity) for r in small.values()) == comb(1000, 5)
+    assert abs(sum(r.probability for r in found if r.n_cal == 400) - 1) < 1e-9
