@@ -61,7 +61,8 @@ class Forest:
 
     def __init__(self, n: int) -> None:
         self.root = np.arange(n)
-        self.used: list[tuple[np.ndarray, np.ndarray]] = []
+        none = np.zeros(0, np.int64)
+        self.used = [(none, none)]
 
     def link(self, i: np.ndarray, j: np.ndarray) -> None:
         """Join the sets of i and j pairwise; ``used`` gets the pairs that joined two sets."""
