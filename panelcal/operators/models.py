@@ -8,7 +8,7 @@ from pyspark.ml import Model, Pipeline
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelcal.functions.expressions import is_finite
@@ -20,12 +20,14 @@ POINT_MODELS = ("mean", "ridge", "hist_gradient_boosting")
 RIDGE_ALPHA = 1.0
 
 
-def checked_training(rows: DataFrame, features: Sequence[str], label: str) -> DataFrame:
+def checked_training(rows: DataFrame, features: Sequence[str], label: str, keep: Sequence[str] = ()) -> DataFrame:
     """Training rows; a missing or infinite label or feature fails the job that reads them."""
-    require(rows, [*features, label])
-    bad = ~is_finite(label)
-    value = F.when(bad, F.raise_error(F.lit("labels must be finite"))).otherwise(F.col(label).cast("double"))
-    return rows.select(*[F.col(f).cast("double").alias(f) for f in features], value.alias("label"))
+    require(rows, [*features, label, *keep])
+
+    def finite(name: str, what: str) -> Column:
+        return F.when(is_finite(name), F.col(name).cast("double")).otherwise(F.raise_error(F.lit(f"{what} must be finite")))
+
+    return rows.select(*[finite(f, "features").alias(f) for f in features], finite(label, "labels").alias("label"), *keep)
 
 
 class MeanModel:
@@ -105,9 +107,7 @@ def fit_boosting(
 ) -> ColumnsModel:
     """Gradient boosted trees with squared loss. ``holdout`` names a boolean column that marks the
     rows of held-out entities for early stopping."""
-    train = checked_training(rows, features, label)
-    if holdout:
-        train = rows.select(*[F.col(f).cast("double").alias(f) for f in features], F.col(label).cast("double").alias("label"), holdout)
+    train = checked_training(rows, features, label, [holdout] if holdout else [])
     trees = GBTRegressor(
         featuresCol="_x",
         labelCol="label",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -123,7 +123,7 @@ def unmatched(left: DataFrame, right: DataFrame, keys: Sequence[str], rule: str)
 
 
 def mass_rules(distribution: DataFrame, cell: Sequence[str], *, tolerance: float = 1e-12) -> DataFrame:
-    """Probabilities sum to one; integer multiplicities sum to the number of subsets."""
+    """Probabilities sum to one; integer multiplicities sum to the number of subsets where that is known."""
     sums = distribution.groupBy(*cell).agg(
         F.sum("probability").alias("p"),
         F.sum("multiplicity").alias("m"),
@@ -135,7 +135,7 @@ def mass_rules(distribution: DataFrame, cell: Sequence[str], *, tolerance: float
         {
             "mass sums to one": F.abs(F.col("p") - 1.0) > tolerance,
             "no negative mass": F.col("negative") > 0,
-            "multiplicities sum to the subset count": F.coalesce(F.col("m") != F.col("c"), F.lit(False)),
+            "multiplicities sum to the subset count": F.coalesce(F.col("m") != F.col("c"), F.col("c").isNotNull()),
         },
     )
 
@@ -144,9 +144,3 @@ def differs(stored: Column, again: Column, *, tolerance: float = 1e-11) -> Colum
     """Bad: a stored metric that its recomputation does not reproduce."""
     gap = F.greatest(tolerance * F.greatest(F.abs(stored), F.abs(again)), F.lit(tolerance))
     return F.abs(stored - again) > gap
-
-
-def assert_columns(df: DataFrame, columns: Iterable[str]) -> None:
-    missing = [c for c in columns if c not in df.columns]
-    if missing:
-        raise ContractError(f"missing columns: {missing}")

@@ -14,10 +14,9 @@ from panelcal.operators.quality import differs
 from panelcal.schema import ENTITY
 
 PENDING = "pending"
-SUMMARY_KEYS = ("result_type", "experiment", "target", "condition", "model", "prediction_variant", "alpha", "metric")
 
 
-def summarise(rows: DataFrame, keys: Sequence[str] = SUMMARY_KEYS, *, sources: Sequence[str] = ("run_id",)) -> DataFrame:
+def summarise(rows: DataFrame, keys: Sequence[str], *, sources: Sequence[str] = ("run_id",)) -> DataFrame:
     """Mean, sample standard deviation, minimum and maximum over seeds.
 
     A group with any pending (null) value has pending statistics: the value is neither zero
@@ -61,7 +60,10 @@ def rank_diagnostics(trace: DataFrame, keys: Sequence[str], *, policy: str) -> D
 
 
 def weighted_rank_diagnostics(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Pointwise weighted quantiles have no integer rank: those fields stay pending (null)."""
+    """Pointwise weighted quantiles have no integer rank: those fields stay pending (null).
+
+    The two status texts are fixed values of the report format.
+    """
     none = F.lit(None)
     return rows.groupBy(*keys).agg(
         F.max("n_cal").alias("n_cal"),

@@ -23,8 +23,8 @@ MIN_OBSERVED, LOWER_FRACTION, UPPER_FRACTION = 30, 0.40, 0.90
 CONDITIONS = (
     ("primary", 125, 30, 0.40, 0.90),
     ("cap_130", 130, 30, 0.40, 0.90),
-    ("early_cut", 125, 30, 0.40, 0.65),
-    ("late_cut", 125, 30, 0.65, 0.90),
+    ("early_calibration", 125, 30, 0.40, 0.65),
+    ("late_calibration", 125, 30, 0.65, 0.90),
 )
 CONDITION_SCHEMA = "condition string, cap int, min_observed int, lower_fraction double, upper_fraction double"
 

@@ -62,4 +62,4 @@ def check_same_features(fitted: Sequence[str], given: Sequence[str]) -> None:
     """The columns at transform time are those of the fit."""
     missing, extra = set(fitted) - set(given), set(given) - set(fitted)
     if missing or extra:
-        raise ContractError(f"feature schema differs: missing={sorted(missing)}, extra={sorted(extra)}")
+        raise ContractError(f"the fit has columns {sorted(missing)} that these rows lack, and lacks their {sorted(extra)}")

@@ -7,8 +7,11 @@ from collections.abc import Iterator, Sequence
 from urllib.parse import quote
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from panelcal.schema import ENTITY
 
@@ -136,14 +139,30 @@ def compare_artifacts(declared: DataFrame, observed: DataFrame) -> DataFrame:
 def set_digest(rows: DataFrame, tree: Sequence[str], path: str, digest: str) -> DataFrame:
     """One digest per tree over its sorted (path, digest) pairs.
 
-    The definition is one hash over one sorted text, so a tree's pairs meet in one group; they
-    are run manifests, some hundred bytes each.
+    The definition is one hash over one sorted text, which is sequential per tree. The pairs are sorted by
+    Spark, which spills, and hashed one after the other, so no tree is held in memory.
     """
     pair = F.concat(F.col(path), F.lit("\0"), F.col(digest), F.lit("\n"))
-    return rows.groupBy(*tree).agg(
-        F.count(F.lit(1)).alias("members"),
-        F.sha2(F.concat_ws("", F.array_sort(F.collect_list(pair))).cast("binary"), 256).alias("set_sha256"),
-    )
+    keyed = rows.select(*tree, pair.alias("_pair")).where("_pair is not null")
+    schema = T.StructType([*keyed.schema.fields[:-1], T.StructField("members", T.LongType()), T.StructField("set_sha256", T.StringType())])
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = to_arrow_schema(schema)
+        key, members, state = None, 0, hashlib.sha256()
+        for batch in batches:
+            done = []
+            for *k, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if k != key:
+                    if key is not None:
+                        done.append((*key, members, state.hexdigest()))
+                    key, members, state = k, 0, hashlib.sha256()
+                members += 1
+                state.update(text.encode())
+            yield pa.RecordBatch.from_arrays([pa.array([d[i] for d in done], t) for i, t in enumerate(types.types)], schema=types)
+        if key is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((*key, members, state.hexdigest()), types.types, strict=True)], schema=types)
+
+    return keyed.repartition(*tree).sortWithinPartitions(*tree, "_pair").mapInArrow(fold, schema)
 
 
 def matrix_gaps(actual: DataFrame, contract: DataFrame, keys: Sequence[str]) -> DataFrame:
