@@ -24,7 +24,7 @@ WIDTH = 2.7
 THRESHOLD = 0.72
 FIRST_RADIUS, RATIO = 0.3, 1.1
 #: Distinct vectors and queries of a block.
-BLOCK_VECTORS, BLOCK_QUERIES = 60000, 256
+BLOCK_VECTORS, BLOCK_QUERIES = 60000, 512
 SEED = 11
 
 
@@ -35,6 +35,7 @@ class Index:
         rng = np.random.default_rng(SEED)
         d = vectors.shape[1]
         self.vectors, self.largest = vectors, largest
+        self.short = vectors.astype(np.float32)
         self.directions = rng.standard_normal((d + 1, PROJECTIONS))
         norms = (vectors * vectors).sum(axis=1)
         lifted = np.column_stack([vectors, np.sqrt(np.maximum(largest**2 - norms, 0))])
@@ -67,10 +68,10 @@ class Index:
             if len(new):
                 seen[new] = True
                 found = np.concatenate([found, new])
-                products = np.concatenate([products, self.vectors[new] @ query])
+                products = np.concatenate([products, self.short[new] @ query.astype(np.float32)])
                 if len(found) > 4 * k:
-                    # Ties with the k-th stay, for the caller to order; the slack covers rounding.
-                    keep = products >= np.partition(products, len(products) - k)[len(products) - k] - 1e-9 * self.largest * norm
+                    # Ties with the k-th stay, for the caller to order; the slack covers single precision.
+                    keep = products >= np.partition(products, len(products) - k)[len(products) - k] - 1e-4 * self.largest * norm
                     found, products = found[keep], products[keep]
             if len(found) >= min(k, n):
                 kth = np.partition(products, len(products) - min(k, n))[len(products) - min(k, n)]
