@@ -219,7 +219,7 @@ def endpoint_evaluation(spark, sf_dir):
     return metrics.evaluate_endpoints(rows, ["seed", "model"]).select("seed", "model", "n_endpoints", r("rmse"), r("mae"))
 
 
-def _bootstrap_sql(mode: str) -> str:
+def _bootstrap_ctes(mode: str) -> list[str]:
     resamples = base.EVENTS_DESIGN.resamples
     draws = f"draws AS (SELECT CAST(range AS BIGINT) AS b FROM range({resamples}))"
     if mode == "multinomial":
@@ -248,8 +248,12 @@ samples AS (SELECT seed, condition, model, alpha, b, sum(hit * w) / sum(w) AS co
         {sql.r('quantile_cont(v, 0.975)')} AS high FROM long GROUP BY ALL)"""
     cells = f"""cells AS (SELECT seed, condition, model, alpha, bool_and(isfinite(width)) AS bounded, metric FROM scored
         CROSS JOIN (SELECT unnest({list(metrics.INTERVAL_METRICS)}) AS metric) GROUP BY ALL)"""
+    return base.event_ctes(sql.quantiles(base.ALPHAS), sql.INTERVALS, sql.SCORED, bounded, draws, samples, f"long AS ({long})", found, cells)
+
+
+def _bootstrap_sql(mode: str) -> str:
     return sql.query(
-        base.event_ctes(sql.quantiles(base.ALPHAS), sql.INTERVALS, sql.SCORED, bounded, draws, samples, f"long AS ({long})", found, cells),
+        _bootstrap_ctes(mode),
         """SELECT seed, condition, model, alpha, metric, CASE WHEN bounded THEN low END AS bootstrap_ci_lower,
         CASE WHEN bounded THEN high END AS bootstrap_ci_upper, CASE WHEN bounded THEN 'numeric' ELSE 'pending' END AS bootstrap_status
         FROM cells LEFT JOIN found USING (seed, condition, model, alpha, metric)""",
@@ -272,8 +276,26 @@ def bootstrap_poisson(spark, sf_dir):
     return _bootstrap(spark, sf_dir, "poisson")
 
 
-@register("split_conformal_report")
+_VALUES = " UNION ALL ".join(
+    f"SELECT seed, condition, model, alpha, '{m}' AS metric, count(*) AS n_endpoints, avg({c}) AS value FROM scored GROUP BY ALL"
+    for m, c in zip(metrics.INTERVAL_METRICS, ("hit", "width", "nis"), strict=True)
+)
+
+
+@register(
+    "split_conformal_report",
+    sql.query(
+        [*_bootstrap_ctes("poisson"), f"vals AS ({_VALUES})"],
+        f"""SELECT seed, condition, model, alpha, metric, n_endpoints, CASE WHEN bounded THEN {sql.r('value')} END AS value,
+        CASE WHEN bounded THEN 'numeric' ELSE 'pending' END AS metric_status, CASE WHEN bounded THEN low END AS bootstrap_ci_lower,
+        CASE WHEN bounded THEN high END AS bootstrap_ci_upper, CASE WHEN bounded THEN 'numeric' ELSE 'pending' END AS bootstrap_status
+        FROM cells JOIN vals USING (seed, condition, model, alpha, metric) LEFT JOIN found USING (seed, condition, model, alpha, metric)""",
+    ),
+)
 def split_conformal_report(spark, sf_dir):
-    """End to end: intervals, metrics and bootstrap bounds, long."""
+    """End to end: intervals, metrics and bootstrap bounds, long; unattainable cells stay as pending rows."""
     _, intervals = split_conformal(base.event_predictions(spark, sf_dir), base.EVENTS_DESIGN)
-    return interval_report(intervals, base.EVENTS_DESIGN, CELL)
+    found = interval_report(intervals, base.EVENTS_DESIGN, CELL)
+    return found.select(
+        *CELL, "alpha", "metric", "n_endpoints", r("value"), "metric_status", r("bootstrap_ci_lower"), r("bootstrap_ci_upper"), "bootstrap_status"
+    )

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelcal.functions.expressions import RUL_CAP, clip
-from panelcal.operators import adaptive, conformal, metrics, models, reservoir, split, weights
+from panelcal.operators import adaptive, conformal, models, reporting, reservoir, split, weights
 from panelcal.operators.features import feature_names, kept_sensors, sensor_variances, temporal_features
 from panelcal.operators.labels import endpoints_at, last_cycles, score_endpoints
 from panelcal.operators.regimes import RegimeScaler, fit_regime_scaler, scale_by_regime
@@ -204,13 +204,9 @@ def split_conformal(predictions: DataFrame, design: Design, *, source: Column |
 
 def interval_report(intervals: DataFrame, design: Design, cell: Sequence[str]) -> DataFrame:
     """Interval metrics per cell and alpha with bootstrap bounds, long."""
-    found = metrics.interval_metrics(intervals, cell, scale=design.scale)
-    keys = [*cell, "alpha"]
-    long = metrics.metrics_long(found, keys, metrics.INTERVAL_METRICS)
-    bounds = metrics.bootstrap_intervals(
+    return reporting.interval_rows(
         intervals, cell, scale=design.scale, resamples=design.resamples, confidence=design.confidence, mode=design.bootstrap
     )
-    return long.join(bounds, [*keys, "metric"])
 
 
 def shift_matrix(panel: DataFrame, design: Design, predictor, source: Column, *, name: str = "shift") -> DataFrame:
