@@ -19,6 +19,9 @@ SLICE_BYTES = 4_000_000
 
 Texts = list[bytes | None]
 
+#: What an operator remembers from task to task in a Python worker; the next operator's first task there frees it.
+RECALL: dict[str, tuple[dict, ...]] = {}
+
 
 def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, Texts]]:
     """The texts of an Arrow string column as UTF-8 bytes, a few MB at a time."""
@@ -55,6 +58,7 @@ def with_text_columns(
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        RECALL.clear()
         function = make()
         for batch in batches:
             column = batch.column(batch.num_columns - 1)

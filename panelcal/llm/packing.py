@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from panelcal.llm.common import number_rows, saved, slices
+from panelcal.llm.common import RECALL, number_rows, saved, slices
 
 CAPACITY = 4096
 END_ID = 1
@@ -32,8 +32,6 @@ UNFOLDED = regex.compile("[^\x00-\u012f\u0131-\u024f]|<\\|")
 #: Marks that end a run without joining its last word.
 MARKS = ",.!?;:*&$%#|()\"-"
 KNOWN_CHUNKS = 500_000
-#: What a Python worker remembers from task to task: ids of runs and of their words, by vocabulary.
-CACHES: dict[str, tuple[dict[str, bytes], dict[str, bytes]]] = {}
 #: A special token of the vocabulary and its id, used as a separator.
 MARK = ("<|endoftext|>", 49407)
 
@@ -188,7 +186,7 @@ def token_bytes(tokenizer_path: str):
     mark, mark_id = MARK
     if tokenizer.token_to_id(mark) != mark_id:
         raise ValueError(f"the vocabulary lacks {mark} as {mark_id}")
-    known, bases = CACHES.setdefault(tokenizer_path, ({}, {}))
+    known, bases = RECALL.setdefault(tokenizer_path, ({}, {}))  # ids of runs and of their words
     model = tokenizer.model
     letters = {b: chr(c) for b, c in byte_letters().items()}
 
