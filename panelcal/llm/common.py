@@ -36,6 +36,11 @@ def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, Te
         yield start, column.slice(start).cast(pa.binary()).to_pylist()
 
 
+def forget() -> None:
+    """Free what the worker's last operator remembered."""
+    RECALL.clear()
+
+
 def with_text_columns(
     df: DataFrame,
     make: Callable[[], Callable[[Texts], list]],
@@ -58,7 +63,7 @@ def with_text_columns(
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        RECALL.clear()
+        forget()
         function = make()
         for batch in batches:
             column = batch.column(batch.num_columns - 1)
