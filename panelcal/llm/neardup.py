@@ -34,6 +34,8 @@ FANOUT = 8
 TILE = 1 << 16
 #: Pairs of nodes looked at in one vector step.
 STEP = 1 << 19
+#: Texts of at most so many distinct words are compared by their shingles, whatever their fingerprints.
+FEW = 0
 
 
 def with_fingerprints(docs: DataFrame, words: int = 4, text: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -79,15 +81,21 @@ class Forest:
                 self.root = up
 
 
-def cell_links(cells: np.ndarray, values: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of values within ``radius`` bits that connect all such pairs of a cell: one less than members, for each class."""
+def cell_links(cells: np.ndarray, values: np.ndarray, radius: int, classes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of values within ``radius`` bits that connect all such pairs of a cell: one less than members, for each class.
+
+    With given ``classes``, every pair within ``radius`` bits whose classes differ.
+    """
     order = np.lexsort((gray_rank(values), cells))
     cells, f = cells[order], values[order]
     n = len(f)
     forest = Forest(n)
-    near = (cells[1:] == cells[:-1]) & (np.bitwise_count(f[1:] ^ f[:-1]) <= radius)
-    i = np.flatnonzero(near)
-    forest.link(i, i + 1)
+    if classes is not None:
+        forest.root = np.unique(classes[order], return_inverse=True)[1]
+    else:
+        near = (cells[1:] == cells[:-1]) & (np.bitwise_count(f[1:] ^ f[:-1]) <= radius)
+        i = np.flatnonzero(near)
+        forest.link(i, i + 1)
     # Levels from the leaves up: pattern, shared bits, cell, first child.
     pattern, mask, cell = [f], [np.full(n, ~np.uint64(0))], [cells]
     first: list[np.ndarray] = [np.arange(n + 1)]
@@ -125,8 +133,11 @@ def cell_links(cells: np.ndarray, values: np.ndarray, radius: int) -> tuple[np.n
         apart = np.bitwise_count((pattern[level][a] ^ pattern[level][b]) & both)
         open_ = (apart <= radius) & ~((whole[a] == whole[b]) & (whole[a] >= 0))
         a, b, both, apart = a[open_], b[open_], both[open_], apart[open_]
+        if classes is not None and not level:
+            forest.used.append((a, b))
+            continue
         sure = np.bitwise_count(~both) + apart <= radius  # every pair below is linked
-        if sure.any():
+        if classes is None and sure.any():
             for x, y in ((a[sure], b[sure]), (a[sure], a[sure]), (b[sure], b[sure])):
                 size = leaf[level][x + 1] - leaf[level][x]
                 start = np.repeat(leaf[level][x], size)
@@ -146,17 +157,21 @@ def cell_links(cells: np.ndarray, values: np.ndarray, radius: int) -> tuple[np.n
 
 
 def in_cells(fingerprints: DataFrame, radius: int, blocks: int) -> DataFrame:
-    """(table, key, fp): each fingerprint once per choice of ``blocks - radius`` of its blocks."""
+    """(table, key, fp, class): each fingerprint once per choice of ``blocks - radius`` of its blocks."""
     cuts = [round(64 * i / blocks) for i in range(blocks + 1)]
     masks = [sum(((1 << (cuts[b + 1] - cuts[b])) - 1) << cuts[b] for b in chosen) for chosen in combinations(range(blocks), blocks - radius)]
     keys = F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("key")) for t, m in enumerate(masks)])
-    return fingerprints.select("fp", F.explode(keys).alias("c")).select("c.t", "c.key", "fp")
+    return fingerprints.select("fp", "class", F.explode(keys).alias("c")).select("c.t", "c.key", "fp", "class")
 
 
 def links(fingerprints: DataFrame, radius: int = RADIUS, blocks: int | None = None) -> DataFrame:
-    """Pairs (a, b) of distinct fingerprints within ``radius`` bits that connect all such pairs."""
+    """Pairs (a, b) of distinct fingerprints within ``radius`` bits that connect all such pairs.
+
+    If there is a column ``class`` (long): all pairs within ``radius`` bits of different classes, some repeatedly.
+    """
     blocks = blocks or radius + 2
-    spread = in_cells(fingerprints, radius, blocks)
+    given = "class" in fingerprints.columns
+    spread = in_cells(fingerprints if given else fingerprints.withColumn("class", F.lit(0).cast("long")), radius, blocks)
     # Cells beyond a tile; at most (members / TILE) of them, so that Spark may broadcast them if small.
     hot = saved(spread.groupBy("t", "key").count().where(F.col("count") > TILE), "hot-cells")
     tiles = F.ceil(F.coalesce("count", F.lit(1)) / TILE).cast("int")
@@ -165,7 +180,7 @@ def links(fingerprints: DataFrame, radius: int = RADIUS, blocks: int | None = No
         .withColumn("tiles", tiles)
         .withColumn("own", F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-        .select("t", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp")
+        .select("t", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp", "class")
     )
     placed = dealt.repartition("t", "key", "i", "j").sortWithinPartitions("t", "key", "i", "j")
 
@@ -176,12 +191,12 @@ def links(fingerprints: DataFrame, radius: int = RADIUS, blocks: int | None = No
             cells = np.cumsum(new)
             several = np.bincount(cells)[cells] > 1
             rows, cells = rows[several], cells[several]
-            a, b = cell_links(cells, rows[:, 4].view(np.uint64), radius) if len(rows) else (np.zeros(0, np.uint64),) * 2
+            a, b = cell_links(cells, rows[:, 4].copy().view(np.uint64), radius, rows[:, 5] if given else None) if len(rows) else (np.zeros(0, np.uint64),) * 2
             return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
 
         held: list[np.ndarray] = []
         for batch in batches:
-            rows = np.column_stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(5)])
+            rows = np.column_stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(6)])
             held.append(rows)
             if sum(map(len, held)) > 4 * TILE:  # up to the last cell that is surely complete
                 rows = np.concatenate(held)
@@ -220,21 +235,33 @@ def with_components(docs: DataFrame, words: int = 4, radius: int = RADIUS, text:
 
 
 def with_word_fingerprints(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
-    """``fp`` over the distinct words of a text: an edit of a few words in a hundred moves few bits."""
+    """``fp`` over the distinct words of a text (an edit of a few words in a hundred moves few bits), and how many those are."""
 
     def make():
         def run(texts: Texts) -> list:
             hashes = [np.unique(shingle_hashes(t, 1)) for t in texts]
-            return [np.array([signed(vote(h)) if len(h) else 0 for h in hashes], np.int64)]
+            return [np.array([signed(vote(h)) if len(h) else 0 for h in hashes], np.int64), list(map(len, hashes))]
 
         return run
 
-    return with_text_columns(docs, make, "fp bigint", text, keep)
+    return with_text_columns(docs, make, "fp bigint, distinct int", text, keep)
 
 
 def with_shingle_sets(docs: DataFrame, words: int, text: str, keep: list[str]) -> DataFrame:
-    """``shingles``: the distinct shingle hashes of a text, sorted, as packed 64-bit numbers."""
-    return with_text_columns(docs, lambda: lambda texts: [[np.unique(shingle_hashes(t, words)).tobytes() for t in texts]], "shingles binary", text, keep)
+    """``shingles``: the distinct shingle hashes of a text, sorted, as packed 64-bit numbers; ``n``: how many.
+
+    ``items``: the same as an array, for texts of at most ``FEW`` distinct words alone.
+    """
+
+    def make():
+        def run(texts: Texts) -> list:
+            sets = [np.unique(shingle_hashes(t, words)) for t in texts]
+            items = [h.view(np.int64) if len(set((t or b"").lower().split())) <= FEW else None for t, h in zip(texts, sets, strict=True)]
+            return [[h.tobytes() for h in sets], list(map(len, sets)), items]
+
+        return run
+
+    return with_text_columns(docs, make, "shingles binary, n int, items array<bigint>", text, keep)
 
 
 def similarity(a: str, b: str) -> Column:
@@ -252,31 +279,93 @@ def similarity(a: str, b: str) -> Column:
     return jaccard(a, b)
 
 
+def shared_prefixes(sets: DataFrame, least: float) -> DataFrame:
+    """(item, text, n): shingles such that any two of these sets with a similarity of ``least`` or more share one.
+
+    Of the n shingles of a set, rarest first, the first n - ceil(least n) + 1. Those of one set alone are left out, so a common
+    line is met only in sets that are little else.
+    """
+    each = sets.where("items is not null").select("__text", "n", F.explode("items").alias("item"))
+    shared = each.groupBy("item").agg(F.count("*").alias("met")).where("met > 1")
+    some = each.join(shared, "item").groupBy("__text", "n").agg(F.array_sort(F.collect_list(F.struct("met", "item"))).alias("met"))
+    length = F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1 - (F.col("n") - F.size("met"))
+    first = some.withColumn("length", length.cast("int")).where("length > 0")
+    return first.select(F.explode(F.slice("met", 1, F.col("length"))).alias("m"), "__text", "n").select("m.item", "__text", "n")
+
+
+def hubs(near: DataFrame) -> DataFrame:
+    """(node, hub): of each component of links between fingerprints, the member nearest to the majority of all in each bit."""
+    member = saved(components(near, "a", "b"), "near-groups")
+    held = member.groupBy("root").agg(F.count("*").alias("size"), *[F.sum(F.shiftright("node", b).bitwiseAND(F.lit(1))).alias(f"b{b}") for b in range(64)])
+    bits = [F.when(2 * F.col(f"b{b}") > F.col("size"), F.lit(signed(1 << b))).otherwise(F.lit(0)) for b in range(64)]
+    middle = bits[0]
+    for bit in bits[1:]:
+        middle = middle.bitwiseOR(bit)
+    apart = F.bit_count(F.col("node").bitwiseXOR(F.col("middle")))
+    found = member.join(held.select("root", middle.alias("middle")), "root").groupBy("root").agg(F.min_by("node", F.struct(apart, F.col("node"))).alias("hub"))
+    return member.join(found, "root").where("node != hub").select("node", "hub")
+
+
 def one_per_class(docs: DataFrame, words: int = 5, least: float = 0.8, radius: int = 6, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` less near copies: one row of each class of similar texts stays, that of the smallest id.
 
-    Candidates are texts whose fingerprints over distinct words differ in at most ``radius`` bits; a candidate pair
+    Candidates are texts whose fingerprints over distinct words differ in at most ``radius`` bits, and all similar texts
+    of at most ``FEW`` distinct words each (fingerprints of those move too far with a word); a candidate pair
     is a link if its sets of ``words``-word shingles, over whole texts, have a similarity of ``least`` or more. A class is what links and
     equal texts connect. Null and wordless texts are equal texts. Of rows equal in id and text one stays; rows of null id
     stay only where their class has no other. Columns are those of ``docs``; an empty table gives no rows.
+
+    Pairs that span the candidates, and each group's pairs with its hub, are verified first. Of the classes that these
+    make, every candidate pair across two is verified then, so that no link is missed and close copies cost no square.
     """
     blank = F.coalesce(F.col(text), F.lit(""))
     key = F.when(F.trim(F.translate(blank, "\t\n\x0b\x0c\r", "     ")) == "", F.lit(0)).otherwise(F.xxhash64(blank))
     keyed = docs.withColumn("__text", key)
     prints = with_word_fingerprints(keyed, text, [id_col, "__text"])
-    nodes = saved(prints.groupBy("__text", "fp").agg(F.min(id_col).alias("low")), "texts")
-    # Each fingerprint stands for its smallest text; the other texts of a fingerprint are candidates with that one.
+    nodes = saved(prints.groupBy("__text", "fp", "distinct").agg(F.min(id_col).alias("low")), "texts")
+    # Each fingerprint stands for its smallest text first; the other texts of a fingerprint are candidates with that one.
     heads = saved(nodes.groupBy("fp").agg(F.min("__text").alias("head")), "heads")
-    near = links(heads.select("fp"), radius, radius + 2)
-    across = near.join(heads.select(F.col("fp").alias("a"), F.col("head").alias("x")), "a").join(heads.select(F.col("fp").alias("b"), F.col("head").alias("y")), "b").select("x", "y")
+    near = saved(links(heads.select("fp"), radius, radius + 2), "near")
+    ends = near.unionByName(hubs(near).toDF("a", "b"))
+    across = ends.join(heads.select(F.col("fp").alias("a"), F.col("head").alias("x")), "a").join(heads.select(F.col("fp").alias("b"), F.col("head").alias("y")), "b").select("x", "y")
     same = nodes.join(heads, "fp").where("__text != head").select(F.col("__text").alias("x"), F.col("head").alias("y"))
-    pairs = saved(across.unionByName(same).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "pairs")
-    wanted = pairs.select(F.explode(F.array("x", "y")).alias("__text")).distinct()
+    pairs = saved(ordered(across.unionByName(same)), "pairs")
+    wanted = pairs.select(F.explode(F.array("x", "y")).alias("__text")).unionByName(nodes.where(F.col("distinct") <= FEW).select("__text")).distinct()
     texts = keyed.join(nodes.groupBy("__text").agg(F.min("low").alias("low")).join(wanted, "__text"), "__text").where(F.col(id_col).eqNullSafe(F.col("low")))
     sets = saved(with_shingle_sets(texts, words, text, ["__text"]).dropDuplicates(["__text"]), "shingle-sets")
-    met = pairs.join(sets.select(F.col("__text").alias("x"), F.col("shingles").alias("p")), "x").join(sets.select(F.col("__text").alias("y"), F.col("shingles").alias("q")), "y")
-    roots = components(met.where(similarity("p", "q") >= least).select("x", "y"), "x", "y")
+    prefixes = saved(shared_prefixes(sets, least), "prefixes")
+    stars = prefixes.join(prefixes.groupBy("item").agg(F.min("__text").alias("y")), "item").select(F.col("__text").alias("x"), "y").where("x != y")
+    first = saved(verified(ordered(pairs.unionByName(stars)), sets, least), "first-links")
+    roots = components(first, "x", "y")
+    classed = saved(nodes.join(roots, nodes["__text"] == roots.node, "left").select("__text", "fp", F.coalesce("root", "__text").alias("class")), "classes")
+    # A fingerprint of several classes is a class of its own for the search.
+    marked = classed.groupBy("fp").agg(F.min("class").alias("low"), F.max("class").alias("high"))
+    crossing = links(marked.select("fp", F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(F.xxhash64(F.lit("mixed"), "fp")).alias("class")), radius, radius + 2).distinct()
+    side = lambda end, name, kind: classed.select(F.col("fp").alias(end), F.col("__text").alias(name), F.col("class").alias(kind))
+    other = crossing.join(side("a", "x", "c"), "a").join(side("b", "y", "d"), "b").where("c != d").select("x", "y")
+    several = marked.where("low != high").select("fp")
+    inside = several.join(side("fp", "x", "c"), "fp").join(side("fp", "y", "d"), "fp").where("c < d").select("x", "y")
+    few = prefixes.join(classed.select("__text", "class"), "__text")
+    split = few.groupBy("item").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low != high").select("item")
+    mixed = saved(few.join(split, "item"), "mixed-prefixes")
+    part = lambda name, kind, size: mixed.select("item", F.col("__text").alias(name), F.col("class").alias(kind), F.col("n").alias(size))
+    met = part("x", "c", "k").join(part("y", "d", "m"), "item").where("c < d").where(F.least("k", "m") >= F.greatest("k", "m") * least - 1e-9).select("x", "y")
+    rest = ordered(other.unionByName(inside).unionByName(met)).join(pairs, ["x", "y"], "left_anti")
+    roots = components(first.unionByName(verified(rest, sets, least)), "x", "y")
     rooted = nodes.join(roots, nodes["__text"] == roots.node, "left").select("__text", F.coalesce("root", "__text").alias("root"), "low")
     stays = rooted.groupBy("root").agg(F.min_by("__text", F.struct(F.col("low").isNull(), "low", "__text")).alias("__text"), F.min("low").alias("low"))
     kept = keyed.join(stays.select("__text", "low"), "__text").where(F.col(id_col).eqNullSafe(F.col("low")))
     return kept.dropDuplicates(["__text"]).select(*docs.columns)
+
+
+def ordered(pairs: DataFrame) -> DataFrame:
+    """Each pair (x, y) once, the smaller first."""
+    return pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+
+
+def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The pairs whose sets have a similarity of ``least`` or more; those whose sizes rule it out are not compared."""
+    size = lambda end, name: sets.select(F.col("__text").alias(end), F.col("n").alias(name))
+    fit = pairs.join(size("x", "k"), "x").join(size("y", "m"), "y").where(F.least("k", "m") >= F.greatest("k", "m") * least - 1e-9).select("x", "y")
+    met = fit.join(sets.select(F.col("__text").alias("x"), F.col("shingles").alias("p")), "x").join(sets.select(F.col("__text").alias("y"), F.col("shingles").alias("q")), "y")
+    return met.where(similarity("p", "q") >= least).select("x", "y")

@@ -95,3 +95,25 @@ def test_empty_documents(spark, tmp_path):
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def classes_left(texts):
+    """Positions of the texts that are first in their class of similar texts."""
+    root = list(range(len(texts)))
+    for i, j in sorted((i, j) for i, a in enumerate(texts) for j, b in enumerate(texts) if i < j and similar(a, b) >= 0.8):
+        a, b = root[i], root[j]
+        root = [min(a, b) if x in (a, b) else x for x in root]
+    return {i for i, x in enumerate(root) if i == x}
+
+
+def test_copies_of_one_base_meet_it_and_not_only_each_other(spark):
+    """Copies are like their base and seldom like each other, so most of the pairs that span a group are no links."""
+    r = random.Random(11)
+    texts = []
+    for _ in range(3):
+        base = prose(r, 500)
+        texts += [base] + [edited(r, base, 9) for _ in range(40)]
+    r.shuffle(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {x.doc_id for x in one_per_class(docs).collect()}
+    assert got == classes_left(texts)
