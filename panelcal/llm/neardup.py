@@ -35,7 +35,7 @@ TILE = 1 << 16
 #: Pairs of nodes looked at in one vector step.
 STEP = 1 << 19
 #: Texts of at most so many distinct words are compared by their shingles, whatever their fingerprints.
-FEW = 0
+FEW = 128
 
 
 def with_fingerprints(docs: DataFrame, words: int = 4, text: str = "text", keep: list[str] | None = None) -> DataFrame:

@@ -117,3 +117,13 @@ def test_copies_of_one_base_meet_it_and_not_only_each_other(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
     got = {x.doc_id for x in one_per_class(docs).collect()}
     assert got == classes_left(texts)
+
+
+def test_short_copies_are_found(spark):
+    """One word more moves the fingerprint of a short text beyond the radius about every other time."""
+    r = random.Random(17)
+    texts = [t for n in (13, 20, 30, 40) for _ in range(20) for b in [prose(r, n)] for t in (b, b + " " + prose(r, 1))]
+    r.shuffle(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {x.doc_id for x in one_per_class(docs).collect()}
+    assert got == classes_left(texts) and len(got) <= 80
