@@ -53,3 +53,16 @@ def test_rows(spark):
     assert by[1].text is None and by[1].pii == [] and by[2].text == "" and by[None].text == by[3].text != "mail x@y.org"
     assert [tuple(x) for x in by[3].pii] == [("email", 5, 7)] and by[4].pii[0].start == 200_000
     assert pseudonymise(docs.limit(0), KEY).count() == 0
+
+
+def test_long_secrets_are_replaced_to_their_end():
+    for n in (200, 201, 1000, 60_000):
+        for value, text in ((v := "eyJ0" + "aB3.x_Yz" * (n // 8 + 1))[:n], "set token={} and go"), ((w := "sk-" + "a1B2c3D4" * (n // 8 + 1))[:n], "use {} here"):
+            new, found = replaced(text.format(value), KEY)
+            assert [(k, length) for k, _, length in found] == [("secret", n)]
+            made = new[text.index("{") : text.index("{") + n]
+            assert new == text.format(made) and pseudonym("secret", made, KEY, back=True) == value
+            # No stretch of the old value is left in clear.
+            assert all(value[i : i + 40] != made[i : i + 40] for i in range(4, n - 40, 40)) and value[-12:] != made[-12:]
+    # Short ones keep their pseudonyms: one piece, keyed as ever.
+    assert len(replaced("token=" + "x1" * 50, KEY)[1]) == 1
