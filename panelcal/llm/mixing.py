@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 
 from panelcal.llm.common import number_rows, saved
 
-#: Slots after which the schedule repeats; weights are whole multiples of 1 / RESOLUTION.
+#: Slots after which the schedule of few sources repeats; weights are whole multiples of 1 / RESOLUTION.
 RESOLUTION = 1000
+#: Slots per source up to which a period grows for the sake of sources that would have less than one slot.
+SLOTS_PER_SOURCE = 16
 BLOCK_ROWS = 16
 
 
@@ -31,8 +33,8 @@ def tempered_weights(docs: DataFrame, temperature: float, source: str = "source"
 def shares(weights: DataFrame, resolution: int = RESOLUTION) -> DataFrame:
     """(source, idx, share): whole shares that sum to ``resolution``, at least one each, largest remainders first.
 
-    Shares that would be zero are one, at the cost of the source of the largest share. Sources are few (no more than the
-    resolution, which is checked), so they are ranked in one task.
+    Shares that would be zero are one, at the cost of the others in proportion to what they have beyond one. Sources are few
+    (no more than the resolution, which is checked), so they are ranked in one task.
     """
     some = weights.where("weight > 0").groupBy("source").agg(F.sum("weight").cast("decimal(38,0)").alias("weight"))
     n = some.count()
@@ -47,14 +49,31 @@ def shares(weights: DataFrame, resolution: int = RESOLUTION) -> DataFrame:
         (F.col("weight") * resolution % total).alias("rest"),
     )
     floored = raw.select("source", "idx", F.greatest("whole", F.lit(1)).alias("share"), F.when(F.col("whole") > 0, F.col("rest")).otherwise(-1).alias("rest"))
-    ranked = floored.select(
-        "source", "idx", "share",
-        (F.lit(resolution) - F.sum("share").over(every)).alias("lack"),
+    lacking = floored.select("source", "idx", "share", "rest", (F.lit(resolution) - F.sum("share").over(every)).alias("lack"), F.sum(F.col("share") - 1).over(every).alias("beyond"))
+    # Products of two counts of slots; what is taken sums to the lack, and no source has less than is taken from it.
+    taken = lacking.select(
+        "source", "idx", "share", "rest", "lack",
+        F.expr("if(lack < 0, (share - 1) * -lack div beyond, 0)").alias("taken"),
+        F.expr("if(lack < 0, (share - 1) * -lack % beyond, 0)").alias("left"),
+    )
+    ranked = taken.select(
+        "source", "idx", "share", "lack", "taken",
+        (-F.col("lack") - F.sum("taken").over(every)).alias("more"),
         F.row_number().over(Window.orderBy(F.desc("rest"), "idx")).alias("by_rest"),
-        F.row_number().over(Window.orderBy(F.desc("share"), "idx")).alias("by_share"),
+        F.row_number().over(Window.orderBy(F.desc("left"), F.desc("share"), "idx")).alias("by_left"),
     )
-    given = F.when(F.col("lack") >= 0, (F.col("by_rest") <= F.col("lack")).cast("long")).otherwise(F.when(F.col("by_share") == 1, F.col("lack")).otherwise(0))
-    return ranked.select("source", "idx", (F.col("share") + given).cast("long").alias("share"))
+    given = F.when(F.col("lack") >= 0, (F.col("by_rest") <= F.col("lack")).cast("long")).otherwise(-F.col("taken") - (F.col("by_left") <= F.col("more")).cast("long"))
+    share = (F.col("share") + given).cast("long")
+    return ranked.select("source", "idx", F.when(share >= 1, share).otherwise(F.raise_error(F.lit("a source has no slot")).cast("long")).alias("share"))
+
+
+def fitting_resolution(weights: DataFrame) -> int:
+    """Slots of a period in which the smallest weight has a whole one: ``RESOLUTION`` at least, ``SLOTS_PER_SOURCE`` per source at most.
+
+    Where that most is reached, sources of less than a slot get one; all together they take less than one in ``SLOTS_PER_SOURCE``.
+    """
+    n, total, smallest = weights.where("weight > 0").groupBy("source").agg(F.sum("weight").cast("decimal(38,0)").alias("weight")).agg(F.count("*"), F.sum("weight"), F.min("weight")).first()
+    return max(RESOLUTION, min(-(-int(total) // int(smallest)), SLOTS_PER_SOURCE * n)) if n else RESOLUTION
 
 
 def schedule(shared: DataFrame, resolution: int = RESOLUTION) -> DataFrame:
@@ -83,7 +102,7 @@ def mix(
     by: list[str],
     source: str = "source",
     block_rows: int = BLOCK_ROWS,
-    resolution: int = RESOLUTION,
+    resolution: int | None = None,
     until: str = "all",
 ) -> DataFrame:
     """Every scheduled row of ``docs`` with ``epoch``, ``slot`` and ``place``; order by (slot, place) to read the mix.
@@ -95,14 +114,16 @@ def mix(
     Rows equal in ``by`` and source are interchangeable. An empty table gives no rows. Columns named as the new ones are
     replaced.
 
-    A hot source is no group anywhere: rows are numbered by one global order, and the schedule (``resolution`` rows)
-    and the sources (no more) are broadcast.
+    A hot source is no group anywhere: rows are numbered by one global order, and the schedule (``resolution`` rows;
+    by default as many as ``fitting_resolution`` says) and the sources (no more) are broadcast.
     """
     if until not in ("all", "first"):
         raise ValueError("until must be 'all' or 'first'")
     new = ("epoch", "slot", "place")
     numbered = saved(number_rows(docs.drop(*new), [source, *by], "__row"), "mix-rows")
     counts = numbered.groupBy(F.col(source).alias("source")).agg(F.count("*").alias("rows"), F.min("__row").alias("first"))
+    weights = saved(weights, "mix-weights")
+    resolution = resolution or fitting_resolution(weights)
     shared = saved(shares(weights, resolution), "mix-shares")
     period = saved(schedule(shared, resolution), "mix-schedule")
     blocks = F.expr(f"(rows + {block_rows} - 1) div {block_rows}")

@@ -55,3 +55,25 @@ def test_edges(spark):
         shares(weights, 1).count()
     with pytest.raises(ValueError):
         mix(docs, weights, ["doc_id"], until="never")
+
+
+def test_many_skewed_sources_each_have_slots(spark):
+    from panelcal.llm.mixing import fitting_resolution
+
+    for n in (900, 1500):
+        weights = spark.createDataFrame([(f"s{i:04d}", int((10_000 * n / (i + 1)) ** 0.7)) for i in range(n)], "source string, weight long")
+        for resolution in {max(1000, n), fitting_resolution(weights)}:
+            got = [r.share for r in shares(weights, resolution).collect()]
+            assert len(got) == n and sum(got) == resolution and min(got) >= 1
+    # A third of the rows in one of 999 sources: its share stays near its weight.
+    hot = spark.createDataFrame([(f"s{i:04d}", 499 if i == 0 else 1) for i in range(999)], "source string, weight long")
+    resolution = fitting_resolution(hot)
+    assert abs({r.source: r.share for r in shares(hot, resolution).collect()}["s0000"] / resolution - 1 / 3) < 0.01
+
+
+def test_mix_of_900_skewed_sources_leaves_no_row_out(spark):
+    rows = [(i, f"s{k:03d}") for i, k in enumerate(k for k in range(900) for _ in range(1 + 600 // (k + 1)))]
+    docs = spark.createDataFrame(rows, "doc_id long, source string").repartition(4)
+    got = mix(docs, tempered_weights(docs, 0.7), ["doc_id"], until="all").collect()
+    assert {r.doc_id for r in got} == {i for i, _ in rows}
+    assert Counter(r.doc_id for r in got if r.epoch == 0) == Counter(i for i, _ in rows)
