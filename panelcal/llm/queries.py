@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelcal.llm import fingerprints, langid, mixing, neighbours, packing, pii, quality, repeats
+from panelcal.llm import exact, fingerprints, langid, mixing, neighbours, packing, pii, quality, repeats, search, whitening
 from panelcal.llm.neardup import with_components
 from panelcal.llm.sharding import shard_rows
 
@@ -166,3 +166,65 @@ def op8_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the bytes that strings of 200 bytes which also start elsewhere cover."""
     left = repeats.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return left.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: The same scores as joins of exploded terms, in DuckDB.
+OP11_SQL = r"""
+WITH
+found AS (
+  SELECT doc_id, regexp_extract_all(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents),
+sizes AS (SELECT count(*) FILTER (len(terms) > 0) AS docs, sum(len(terms)) AS total FROM found),
+asked AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM benchmark),
+each AS (SELECT doc_id, len(terms) AS n, unnest(terms) AS term FROM found),
+counted AS (
+  SELECT doc_id, n, term, count(*) AS tf FROM each WHERE term IN (SELECT term FROM asked) GROUP BY doc_id, n, term),
+weights AS (
+  SELECT term, CAST(floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w
+  FROM counted CROSS JOIN sizes GROUP BY term),
+scored AS (
+  SELECT item_id, doc_id,
+         CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * docs) // total)))) AS BIGINT) AS score
+  FROM asked JOIN counted USING (term) JOIN weights USING (term) CROSS JOIN sizes
+  GROUP BY item_id, doc_id)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM scored WHERE score > 0
+QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 50
+"""
+
+
+@query
+def op11_blocked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 documents that score highest for each benchmark item, of all documents."""
+    return search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=50)
+
+
+ORACLES["op11_blocked_search"] = OP11_SQL
+
+OP12_SQL = r"""
+WITH whole AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
+SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
+       row_number() OVER (PARTITION BY t ORDER BY doc_id) = 1 AS kept, sha256(t) AS text_sha256
+FROM whole WINDOW g AS (PARTITION BY t)
+"""
+
+
+@query
+def op12_exact_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its group of equal texts and whether it is the one that stays."""
+    return exact.copy_groups(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op12_exact_copies"] = OP12_SQL
+
+
+@query
+def op13_chebyshev_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings, projected on the 8 leading components of their covariance and scaled to variance 1."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), k=8)
