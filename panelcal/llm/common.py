@@ -169,9 +169,18 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
+#: Rows of a stored side that a join may broadcast: some 30 MB at a hundred bytes a row.
+BROADCAST_ROWS = 250_000
+
+
+def few(df: DataFrame) -> DataFrame:
+    """A stored table with a broadcast hint if it has at most ``BROADCAST_ROWS`` rows, which are counted; else as it is, for Spark to shuffle."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """``stored`` under this subpackage's prefix."""
     return stored(df, f"llm-{name}")
 
 
-__all__ = ["Texts", "WordTable", "components", "mix64", "ngrams", "number_rows", "saved", "scratch_path", "slices", "with_text_columns"]
+__all__ = ["Texts", "WordTable", "components", "few", "mix64", "ngrams", "number_rows", "saved", "scratch_path", "slices", "with_text_columns"]

@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelcal.llm.common import saved
+from panelcal.llm.common import few, saved
 
 #: Runs of these characters are one space.
 BLANKS = r"[\x20\x09-\x0D]+"
@@ -46,10 +46,11 @@ def copy_groups(docs: DataFrame, text: str = "text", id_col: str = "doc_id", dig
     prints = saved(rows.select("id", "h", F.unhex(F.sha2(F.col("whole").cast("binary"), 256)).alias("sha"), F.monotonically_increasing_id().alias("row")), "prints")
     grouped = prints.groupBy("h").agg(F.count("*").alias("size"), first_row("row", "id").alias("first"))
     shared = saved(grouped.where("size > 1").select("h", "size", "first"), "shared-hashes")
-    texts = rows.join(shared.select("h"), "h", "left_semi").groupBy("h", "whole").agg(F.count("*").alias("copies"))
+    small = few(shared)
+    texts = rows.join(small.select("h"), "h", "left_semi").groupBy("h", "whole").agg(F.count("*").alias("copies"))
     mixed = saved(texts.groupBy("h").agg(F.count("*").alias("texts")).where("texts > 1").select("h"), "mixed-hashes")
     alone = F.struct(F.lit(False).alias("none"), F.col("id").alias("id"), F.col("row").alias("row"))
-    joined = prints.join(shared, "h", "left").select("h", "id", "sha", "row", F.coalesce("size", F.lit(1)).alias("size"), F.coalesce("first", alone).alias("first"))
+    joined = prints.join(small, "h", "left").select("h", "id", "sha", "row", F.coalesce("size", F.lit(1)).alias("size"), F.coalesce("first", alone).alias("first"))
     if mixed.isEmpty():
         return placed(joined, id_col)
     # Different texts of one hash: these rows are grouped by their bytes.
@@ -80,7 +81,7 @@ def without_copies(docs: DataFrame, text: str = "text", id_col: str = "doc_id")
     key = lambda rows: rows.select(F.col("id").alias("at"), F.col("sha").alias("of"))
     same = F.col("id").eqNullSafe(F.col("at")) & (F.col("sha") == F.col("of"))
     # The row that stays in a group is of its keep_id, null ids among them.
-    gone = saved(key(groups.where(~F.col("id").eqNullSafe(F.col("keep_id")))).distinct(), "gone-rows")
+    gone = few(saved(key(groups.where(~F.col("id").eqNullSafe(F.col("keep_id")))).distinct(), "gone-rows"))
     repeated = saved(key(groups.where(F.col("id").eqNullSafe(F.col("keep_id")))).groupBy("at", "of").count().where("count > 1").drop("count"), "repeated-rows")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole"), F.col(id_col).alias("id"), F.unhex(F.sha2(normalised(text).cast("binary"), 256)).alias("sha"))
     stays = rows.join(gone, same, "left_anti")
