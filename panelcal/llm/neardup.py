@@ -13,18 +13,20 @@ A cell returns links that span its classes, so that n close copies give n links
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from panelcal.llm.common import Texts, components, saved, with_text_columns
-from panelcal.llm.simhash import fingerprint, shingle_hashes, signed, vote
+from panelcal.llm.common import Texts, WordTable, components, few, mix64, saved, with_text_columns
+from panelcal.llm.simhash import fingerprint, signed, vote
 
 RADIUS = 4
 BLOCKS = 6
@@ -34,8 +36,8 @@ FANOUT = 8
 TILE = 1 << 16
 #: Pairs of nodes looked at in one vector step.
 STEP = 1 << 19
-#: Texts of at most so many distinct words are compared by their shingles, whatever their fingerprints.
-FEW = 128
+#: Least shingle hashes of a text's sketch, and how many of them a similar text shares at least.
+SKETCH, SHARED = 32, 9
 
 
 def with_fingerprints(docs: DataFrame, words: int = 4, text: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -234,44 +236,83 @@ def with_components(docs: DataFrame, words: int = 4, radius: int = RADIUS, text:
     return prints.join(classes, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def with_word_fingerprints(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
-    """``fp`` over the distinct words of a text (an edit of a few words in a hundred moves few bits), and how many those are."""
+class Shingler:
+    """Shingles of whole texts as 64-bit hashes; each different word of a task is hashed once."""
+
+    def __init__(self, words: int) -> None:
+        self.words = words
+        self.known = WordTable(lambda new: [np.fromiter(map(xxhash.xxh3_64_intdigest, new), np.uint64, len(new))])
+        self.factors = mix64(np.arange(1, words + 1, dtype=np.uint64)) | np.uint64(1)
+
+    def hashes(self, texts: Texts) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Word hashes of each text in order, and its distinct shingles, sorted.
+
+        A-Z are in lower case, words lie between blanks; fewer words than a shingle has make one of them all,
+        and no word makes none.
+        """
+        split = [(t or b"").lower().split() for t in texts]
+        at = self.known.lookup([w for found in split for w in found])
+        flat = self.known.arrays[0][at] if len(at) else np.zeros(0, np.uint64)
+        rolled = np.zeros(max(0, len(flat) - self.words + 1), np.uint64)
+        for i, factor in enumerate(self.factors):
+            rolled += flat[i : i + len(rolled)] * factor
+        rolled = mix64(rolled)
+        ends = np.cumsum([0, *map(len, split)])
+        each, sets = [], []
+        for start, end in zip(ends[:-1], ends[1:], strict=True):
+            own = flat[start:end]
+            each.append(own)
+            if len(own) >= self.words:
+                sets.append(np.unique(rolled[start : end - self.words + 1]))
+            else:
+                sets.append(mix64(np.array([len(own)], np.uint64) + (own * self.factors[: len(own)]).sum(dtype=np.uint64))[: len(own)])
+        return each, sets
+
+
+def lists(values: list[np.ndarray]) -> pa.Array:
+    """Arrays of 64-bit hashes as one Arrow list column of longs."""
+    ends = np.cumsum([0, *map(len, values)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*values, np.zeros(0, np.uint64)]).view(np.int64)))
+
+
+def with_sketches(rows: DataFrame, words: int, text: str, keep: list[str]) -> DataFrame:
+    """``n``, the number of distinct shingles of a text, and ``sketch``, the ``SKETCH`` least of their hashes."""
 
     def make():
+        shingler = Shingler(words)
+
         def run(texts: Texts) -> list:
-            hashes = [np.unique(shingle_hashes(t, 1)) for t in texts]
-            return [np.array([signed(vote(h)) if len(h) else 0 for h in hashes], np.int64), list(map(len, hashes))]
+            sets = shingler.hashes(texts)[1]
+            return [list(map(len, sets)), lists([s[:SKETCH] for s in sets])]
 
         return run
 
-    return with_text_columns(docs, make, "fp bigint, distinct int", text, keep)
-
+    return with_text_columns(rows, make, "n int, sketch array<bigint>", text, keep)
 
-def with_shingle_sets(docs: DataFrame, words: int, text: str, keep: list[str]) -> DataFrame:
-    """``shingles``: the distinct shingle hashes of a text, sorted, as packed 64-bit numbers; ``n``: how many.
 
-    ``items``: the same as an array, for texts of at most ``FEW`` distinct words alone.
-    """
+def with_shingle_sets(rows: DataFrame, words: int, text: str, keep: list[str]) -> DataFrame:
+    """``fp``, the fingerprint over a text's distinct words (an edit of a few in a hundred moves few bits), ``n`` and ``items``, its distinct shingles."""
 
     def make():
+        shingler = Shingler(words)
+
         def run(texts: Texts) -> list:
-            sets = [np.unique(shingle_hashes(t, words)) for t in texts]
-            items = [h.view(np.int64) if len(set((t or b"").lower().split())) <= FEW else None for t, h in zip(texts, sets, strict=True)]
-            return [[h.tobytes() for h in sets], list(map(len, sets)), items]
+            each, sets = shingler.hashes(texts)
+            prints = [signed(vote(np.unique(h))) if len(h) else 0 for h in each]
+            return [np.array(prints, np.int64), list(map(len, sets)), lists(sets)]
 
         return run
 
-    return with_text_columns(docs, make, "shingles binary, n int, items array<bigint>", text, keep)
+    return with_text_columns(rows, make, "fp bigint, n int, items array<bigint>", text, keep)
 
 
 def similarity(a: str, b: str) -> Column:
-    """Share of common shingles of two packed sets; 1 for two empty ones."""
+    """Share of common shingles of two sets of distinct ones; 1 for two empty ones."""
 
     @pandas_udf("double")
     def jaccard(x: pd.Series, y: pd.Series) -> pd.Series:
         out = []
-        for p, q in zip(x, y, strict=True):
-            u, v = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
+        for u, v in zip(x, y, strict=True):
             both = len(np.intersect1d(u, v, assume_unique=True))
             out.append(both / max(1, len(u) + len(v) - both) if len(u) or len(v) else 1.0)
         return pd.Series(out, dtype=float)
@@ -279,83 +320,111 @@ def similarity(a: str, b: str) -> Column:
     return jaccard(a, b)
 
 
-def shared_prefixes(sets: DataFrame, least: float) -> DataFrame:
-    """(item, text, n): shingles such that any two of these sets with a similarity of ``least`` or more share one.
+def with_partners(nodes: DataFrame, least: float) -> DataFrame:
+    """(key, low) of the texts whose sketch has enough items that sketches of other texts have too.
+
+    Of the ``SKETCH`` least shingles of two texts together a share of ``least`` is common on average, and all of these are in both sketches;
+    fewer than ``SHARED`` are so for one similar pair in 10^10. A text of fewer shingles is judged by all of them, exactly.
+    """
+    each = nodes.select("key", F.explode("sketch").alias("item"))
+    shared = each.groupBy("item").agg(F.count("*").alias("met")).where("met > 1").select("item")
+    held = each.join(shared, "item").groupBy("key").agg(F.count("*").alias("held"))
+    need = F.least(F.lit(SHARED), F.ceil(F.col("n") * least - 1e-9))
+    return nodes.select("key", "low", "n").join(held, "key").where(F.col("held") >= need).select("key", "low")
+
+
+def prefixes(sets: DataFrame, least: float) -> DataFrame:
+    """(item, key, n, at, own): shingles such that any two of these sets with a similarity of ``least`` or more share one.
 
-    Of the n shingles of a set, rarest first, the first n - ceil(least n) + 1. Those of one set alone are left out, so a common
-    line is met only in sets that are little else.
+    Of the n shingles of a set, rarest first, the first n - ceil(least n) + 1, with their place in that order. Those of one set alone,
+    a share ``own`` of it, are rarest and left out. So a text that differs enough from all others has none, and a common line
+    is met only in texts that are little else.
     """
-    each = sets.where("items is not null").select("__text", "n", F.explode("items").alias("item"))
+    each = sets.select("key", "n", F.explode("items").alias("item"))
     shared = each.groupBy("item").agg(F.count("*").alias("met")).where("met > 1")
-    some = each.join(shared, "item").groupBy("__text", "n").agg(F.array_sort(F.collect_list(F.struct("met", "item"))).alias("met"))
-    length = F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1 - (F.col("n") - F.size("met"))
-    first = some.withColumn("length", length.cast("int")).where("length > 0")
-    return first.select(F.explode(F.slice("met", 1, F.col("length"))).alias("m"), "__text", "n").select("m.item", "__text", "n")
+    some = each.join(shared, "item").groupBy("key", "n").agg(F.array_sort(F.collect_list(F.struct("met", "item"))).alias("met"))
+    alone = F.col("n") - F.size("met")
+    length = (F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1 - alone).cast("int")
+    first = some.withColumn("alone", alone).withColumn("length", length).where("length > 0")
+    placed = first.select("key", "n", "alone", F.posexplode(F.slice("met", 1, F.col("length"))).alias("p", "m"))
+    return placed.select("m.item", "key", "n", (F.col("p") + F.col("alone")).alias("at"), (F.col("alone") / F.col("n")).alias("own"))
 
 
-def hubs(near: DataFrame) -> DataFrame:
-    """(node, hub): of each component of links between fingerprints, the member nearest to the majority of all in each bit."""
-    member = saved(components(near, "a", "b"), "near-groups")
-    held = member.groupBy("root").agg(F.count("*").alias("size"), *[F.sum(F.shiftright("node", b).bitwiseAND(F.lit(1))).alias(f"b{b}") for b in range(64)])
-    bits = [F.when(2 * F.col(f"b{b}") > F.col("size"), F.lit(signed(1 << b))).otherwise(F.lit(0)) for b in range(64)]
-    middle = bits[0]
-    for bit in bits[1:]:
-        middle = middle.bitwiseOR(bit)
-    apart = F.bit_count(F.col("node").bitwiseXOR(F.col("middle")))
-    found = member.join(held.select("root", middle.alias("middle")), "root").groupBy("root").agg(F.min_by("node", F.struct(apart, F.col("node"))).alias("hub"))
-    return member.join(found, "root").where("node != hub").select("node", "hub")
+def may_link(least: float, n: str = "n", m: str = "m", i: str = "i", j: str = "j") -> Column:
+    """Whether sets of n and m shingles that first share one at the places i and j can reach a similarity of ``least``."""
+    size = F.least(n, m) >= F.greatest(n, m) * least - 1e-9
+    left = F.least(F.col(n) - F.col(i), F.col(m) - F.col(j))
+    return size & (left >= (F.col(n) + F.col(m)) * (least / (1 + least)) - 1e-9)
+
+
+def star_pairs(index: DataFrame, least: float) -> DataFrame:
+    """Of each item, its texts with the one that has the least of its own: a base with its edited copies, say."""
+    hub = index.groupBy("item").agg(F.min(F.struct("own", "key", "n", "at")).alias("h"))
+    met = index.join(hub, "item").select("key", "n", F.col("at").alias("i"), F.col("h.key").alias("y"), F.col("h.n").alias("m"), F.col("h.at").alias("j"))
+    return met.where((F.col("key") != F.col("y")) & may_link(least)).select(F.col("key").alias("x"), "y")
+
+
+def crossing_pairs(index: DataFrame, classes: DataFrame, least: float) -> DataFrame:
+    """Pairs of texts of different classes that share an item and can be similar.
+
+    A pair can only be so if their sizes are of the same or a neighbouring band, so items meet within bands.
+    """
+    band = F.floor(F.log("n") / F.lit(math.log(1 / least)) + 1e-9)
+    each = index.join(classes, "key").withColumn("band", band)
+    split = each.groupBy("item").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low != high").select("item")
+    mixed = saved(each.join(split, "item"), "mixed-items")
+    left = mixed.select("item", "band", F.col("key").alias("x"), F.col("class").alias("c"), "n", F.col("at").alias("i"))
+    right = mixed.select("item", F.explode(F.array(*[F.col("band") + d for d in (-1, 0, 1)])).alias("band"), F.col("key").alias("y"), F.col("class").alias("d"), F.col("n").alias("m"), F.col("at").alias("j"))
+    return left.join(right, ["item", "band"]).where((F.col("c") < F.col("d")) & may_link(least)).select("x", "y")
 
 
 def one_per_class(docs: DataFrame, words: int = 5, least: float = 0.8, radius: int = 6, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` less near copies: one row of each class of similar texts stays, that of the smallest id.
 
-    Candidates are texts whose fingerprints over distinct words differ in at most ``radius`` bits, and all similar texts
-    of at most ``FEW`` distinct words each (fingerprints of those move too far with a word); a candidate pair
-    is a link if its sets of ``words``-word shingles, over whole texts, have a similarity of ``least`` or more. A class is what links and
-    equal texts connect. Null and wordless texts are equal texts. Of rows equal in id and text one stays; rows of null id
-    stay only where their class has no other. Columns are those of ``docs``; an empty table gives no rows.
+    Two texts are linked if their sets of ``words``-word shingles, over whole texts, have a similarity of ``least`` or more, whatever
+    their length; a class is what links and equal texts connect. Null and wordless texts are equal texts. Of rows equal in id
+    and text one stays; rows of null id stay only where their class has no other. Columns are those of ``docs``,
+    whatever their names; an empty table gives no rows.
 
-    Pairs that span the candidates, and each group's pairs with its hub, are verified first. Of the classes that these
-    make, every candidate pair across two is verified then, so that no link is missed and close copies cost no square.
+    Texts without a partner by their sketches are done. Of the others, the Gray-order index gives pairs that span the groups of
+    fingerprints within ``radius`` bits, and an index of rare shingles the pairs of each item with its hub; these are verified
+    and make classes. What the index of rare shingles then still has across two classes is verified too, which loses no link.
     """
     blank = F.coalesce(F.col(text), F.lit(""))
     key = F.when(F.trim(F.translate(blank, "\t\n\x0b\x0c\r", "     ")) == "", F.lit(0)).otherwise(F.xxhash64(blank))
-    keyed = docs.withColumn("__text", key)
-    prints = with_word_fingerprints(keyed, text, [id_col, "__text"])
-    nodes = saved(prints.groupBy("__text", "fp", "distinct").agg(F.min(id_col).alias("low")), "texts")
-    # Each fingerprint stands for its smallest text first; the other texts of a fingerprint are candidates with that one.
-    heads = saved(nodes.groupBy("fp").agg(F.min("__text").alias("head")), "heads")
-    near = saved(links(heads.select("fp"), radius, radius + 2), "near")
-    ends = near.unionByName(hubs(near).toDF("a", "b"))
-    across = ends.join(heads.select(F.col("fp").alias("a"), F.col("head").alias("x")), "a").join(heads.select(F.col("fp").alias("b"), F.col("head").alias("y")), "b").select("x", "y")
-    same = nodes.join(heads, "fp").where("__text != head").select(F.col("__text").alias("x"), F.col("head").alias("y"))
-    pairs = saved(ordered(across.unionByName(same)), "pairs")
-    wanted = pairs.select(F.explode(F.array("x", "y")).alias("__text")).unionByName(nodes.where(F.col("distinct") <= FEW).select("__text")).distinct()
-    texts = keyed.join(nodes.groupBy("__text").agg(F.min("low").alias("low")).join(wanted, "__text"), "__text").where(F.col(id_col).eqNullSafe(F.col("low")))
-    sets = saved(with_shingle_sets(texts, words, text, ["__text"]).dropDuplicates(["__text"]), "shingle-sets")
-    prefixes = saved(shared_prefixes(sets, least), "prefixes")
-    stars = prefixes.join(prefixes.groupBy("item").agg(F.min("__text").alias("y")), "item").select(F.col("__text").alias("x"), "y").where("x != y")
-    first = saved(verified(ordered(pairs.unionByName(stars)), sets, least), "first-links")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(id_col).alias("id"), key.alias("key"))
+    body = rows.select("id", "key", F.col("doc").getField(text).alias("body"))
+    prints = with_sketches(body, words, "body", ["id", "key"])
+    nodes = saved(prints.groupBy("key").agg(F.min("id").alias("low"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "texts")
+    partners = few(saved(with_partners(nodes, least), "partners"))
+    wanted = body.join(partners, "key").where(F.col("id").eqNullSafe(F.col("low")))
+    sets = saved(with_shingle_sets(wanted, words, "body", ["key"]), "shingle-sets")
+    if sets.count() > partners.count():  # rows that repeat in id and text
+        sets = saved(sets.dropDuplicates(["key"]), "shingle-sets")
+    # Each fingerprint stands for its smallest text; its other texts are candidates with that one.
+    heads = saved(sets.groupBy("fp").agg(F.min("key").alias("head")), "heads")
+    near = links(heads.select("fp"), radius, radius + 2)
+    across = near.join(heads.select(F.col("fp").alias("a"), F.col("head").alias("x")), "a").join(heads.select(F.col("fp").alias("b"), F.col("head").alias("y")), "b").select("x", "y")
+    same = sets.select("key", "fp").join(heads, "fp").where("key != head").select(F.col("key").alias("x"), F.col("head").alias("y"))
+    index = saved(prefixes(sets.select("key", "n", "items"), least), "rare-shingles")
+    first = saved(verified(ordered(across.unionByName(same).unionByName(star_pairs(index, least))), sets, least), "first-links")
     roots = components(first, "x", "y")
-    classed = saved(nodes.join(roots, nodes["__text"] == roots.node, "left").select("__text", "fp", F.coalesce("root", "__text").alias("class")), "classes")
-    # A fingerprint of several classes is a class of its own for the search.
-    marked = classed.groupBy("fp").agg(F.min("class").alias("low"), F.max("class").alias("high"))
-    crossing = links(marked.select("fp", F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(F.xxhash64(F.lit("mixed"), "fp")).alias("class")), radius, radius + 2).distinct()
-    side = lambda end, name, kind: classed.select(F.col("fp").alias(end), F.col("__text").alias(name), F.col("class").alias(kind))
-    other = crossing.join(side("a", "x", "c"), "a").join(side("b", "y", "d"), "b").where("c != d").select("x", "y")
-    several = marked.where("low != high").select("fp")
-    inside = several.join(side("fp", "x", "c"), "fp").join(side("fp", "y", "d"), "fp").where("c < d").select("x", "y")
-    few = prefixes.join(classed.select("__text", "class"), "__text")
-    split = few.groupBy("item").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low != high").select("item")
-    mixed = saved(few.join(split, "item"), "mixed-prefixes")
-    part = lambda name, kind, size: mixed.select("item", F.col("__text").alias(name), F.col("class").alias(kind), F.col("n").alias(size))
-    met = part("x", "c", "k").join(part("y", "d", "m"), "item").where("c < d").where(F.least("k", "m") >= F.greatest("k", "m") * least - 1e-9).select("x", "y")
-    rest = ordered(other.unionByName(inside).unionByName(met)).join(pairs, ["x", "y"], "left_anti")
-    roots = components(first.unionByName(verified(rest, sets, least)), "x", "y")
-    rooted = nodes.join(roots, nodes["__text"] == roots.node, "left").select("__text", F.coalesce("root", "__text").alias("root"), "low")
-    stays = rooted.groupBy("root").agg(F.min_by("__text", F.struct(F.col("low").isNull(), "low", "__text")).alias("__text"), F.min("low").alias("low"))
-    kept = keyed.join(stays.select("__text", "low"), "__text").where(F.col(id_col).eqNullSafe(F.col("low")))
-    return kept.dropDuplicates(["__text"]).select(*docs.columns)
+    classes = sets.select("key").join(roots, F.col("key") == F.col("node"), "left").select("key", F.coalesce("root", "key").alias("class"))
+    rest = verified(ordered(crossing_pairs(index, saved(classes, "classes"), least)), sets, least)
+    roots = components(first.unionByName(rest), "x", "y")
+    rooted = nodes.join(roots, F.col("key") == F.col("node"), "left").select("key", F.coalesce("root", "key").alias("root"), "low")
+    stays = rooted.groupBy("root").agg(F.min_by("key", F.struct(F.col("low").isNull(), "low", "key")).alias("key"), F.min("low").alias("low"))
+    gone = few(saved(rooted.join(stays.select("key").withColumn("stays", F.lit(True)), "key", "left").where("stays is null").select("key"), "gone-texts"))
+    return first_rows(rows.join(gone, "key", "left_anti"), nodes).select("doc.*")
+
+
+def first_rows(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Of the rows of each text one of its smallest id, ``low`` in ``nodes``; texts of one row alone are not shuffled while the others are few."""
+    several = few(saved(nodes.where("copies > 1").select("key", "low"), "copied-texts"))
+    once = rows.join(several.select("key"), "key", "left_anti").select("doc")
+    of = rows.join(several, "key").where(F.col("id").eqNullSafe(F.col("low"))).select("key", "doc")
+    repeated = of.groupBy("key").agg(F.first("doc").alias("doc")).select("doc")
+    return once.unionByName(repeated)
 
 
 def ordered(pairs: DataFrame) -> DataFrame:
@@ -365,7 +434,7 @@ def ordered(pairs: DataFrame) -> DataFrame:
 
 def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """The pairs whose sets have a similarity of ``least`` or more; those whose sizes rule it out are not compared."""
-    size = lambda end, name: sets.select(F.col("__text").alias(end), F.col("n").alias(name))
+    size = lambda end, name: sets.select(F.col("key").alias(end), F.col("n").alias(name))
     fit = pairs.join(size("x", "k"), "x").join(size("y", "m"), "y").where(F.least("k", "m") >= F.greatest("k", "m") * least - 1e-9).select("x", "y")
-    met = fit.join(sets.select(F.col("__text").alias("x"), F.col("shingles").alias("p")), "x").join(sets.select(F.col("__text").alias("y"), F.col("shingles").alias("q")), "y")
+    met = fit.join(sets.select(F.col("key").alias("x"), F.col("items").alias("p")), "x").join(sets.select(F.col("key").alias("y"), F.col("items").alias("q")), "y")
     return met.where(similarity("p", "q") >= least).select("x", "y")

@@ -127,3 +127,44 @@ def test_short_copies_are_found(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
     got = {x.doc_id for x in one_per_class(docs).collect()}
     assert got == classes_left(texts) and len(got) <= 80
+
+
+def test_many_copies_of_one_base_at_all_similarities(spark):
+    """300 copies at similarities of 0.5 to 0.9 to their base, most of them unlike each other."""
+    r = random.Random(23)
+    base = prose(r, 400)
+    texts = [base] + [edited(r, base, r.randrange(4, 27)) for _ in range(300)]
+    found = [similar(base, t) for t in texts[1:]]
+    assert min(found) < 0.6 and max(found) > 0.85
+    r.shuffle(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    assert {x.doc_id for x in one_per_class(docs).collect()} == classes_left(texts)
+
+
+def test_every_pair_is_found_whatever_its_length(spark):
+    """Copies at a similarity just above 0.8, by scattered edits and by added passages, from ten to four thousand words."""
+    r = random.Random(29)
+    texts = []
+    for n in (10, 40, 130, 500, 4000):
+        for _ in range(12):
+            base = prose(r, n)
+            grown = base + " " + prose(r, max(1, int(0.24 * (n - 4)) - 1))
+            low = base
+            for k in range(n):
+                more = edited(random.Random(k), base, max(1, int(n * 0.021) - k))
+                if similar(base, more) >= 0.8:
+                    low = more
+                    break
+            texts += [base, grown if similar(base, grown) >= 0.8 else base + " end", low]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {x.doc_id for x in one_per_class(docs).collect()}
+    assert got == {i for i in range(0, len(texts), 3)}
+
+
+def test_columns_of_any_name_stay_as_they_are(spark):
+    names = ["low", "key", "fp", "distinct", "n", "items", "doc", "body", "id", "stays", "root", "copies", "class", "item", "at", "own"]
+    rows = [(i, t, *[f"{c}{i}" for c in names]) for i, t in enumerate(["one two", "one two", None, "three " * 300, "", "three " * 301])]
+    docs = spark.createDataFrame(rows, ["doc_id", "text", *names])
+    got = one_per_class(docs)
+    assert got.columns == docs.columns
+    assert sorted((tuple(r) for r in got.collect()), key=str) == sorted((rows[i] for i in (0, 2, 3)), key=str)
