@@ -40,14 +40,14 @@ class Index:
         norms = (vectors * vectors).sum(axis=1)
         lifted = np.column_stack([vectors, np.sqrt(np.maximum(largest**2 - norms, 0))])
         projected = lifted @ self.directions
-        order = np.argsort(projected, axis=0, kind="stable")
-        self.sorted = np.take_along_axis(projected, order, axis=0).T.copy()
-        # Where each vector stands in each sorted array: it is in a window if that lies between the window's ends.
-        self.rank = np.empty((PROJECTIONS, len(vectors)), np.uint16 if len(vectors) < 1 << 16 else np.uint32)
-        np.put_along_axis(self.rank, order.T, np.arange(len(vectors), dtype=self.rank.dtype)[None, :], axis=1)
+        self.order = np.argsort(projected, axis=0, kind="stable").T.copy()
+        self.sorted = np.take_along_axis(projected.T, self.order, axis=1)
 
     def search(self, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers and inner products of the k nearest found (all, if fewer), in no order."""
+        """Numbers and inner products of the k nearest found (all, if fewer), in no order.
+
+        As the radius grows, only the two new ends of each window are counted.
+        """
         n = len(self.vectors)
         norm = float(np.sqrt((query * query).sum()))
         centre = np.append(query * (self.largest / norm), 0.0) @ self.directions
@@ -55,16 +55,23 @@ class Index:
         found, products = np.zeros(0, np.int64), np.zeros(0)
         need = int(np.ceil(THRESHOLD * PROJECTIONS))
         radius = FIRST_RADIUS * self.largest
+        hits = np.zeros(n, np.int64)
+        low = high = np.array([s.searchsorted(c) for s, c in zip(self.sorted, centre, strict=True)])
+        waiting: list[np.ndarray] = []
         while True:
             reach = WIDTH / 2 * radius
+            before, after = low, high
             low = np.array([s.searchsorted(c - reach) for s, c in zip(self.sorted, centre, strict=True)])
             high = np.array([s.searchsorted(c + reach, "right") for s, c in zip(self.sorted, centre, strict=True)])
-            hits = np.zeros(n, np.uint8)
+            for order, a, b, c, d in zip(self.order, low.tolist(), before.tolist(), after.tolist(), high.tolist(), strict=True):
+                waiting += (order[a:b], order[c:d])
+            new = np.zeros(0, np.int64)
             if (high - low).sum() >= need * min(k, n):  # else the windows cannot hold k candidates
-                for rank, a, b in zip(self.rank, low.astype(self.rank.dtype), (high - low).astype(self.rank.dtype), strict=True):
-                    hits += (rank - a) < b
-            all_in = radius >= 2 * self.largest and len(found) < min(k, n)
-            new = np.flatnonzero(~seen if all_in else (hits >= need) & ~seen)
+                hits += np.bincount(np.concatenate(waiting), minlength=n)
+                waiting = []
+                new = np.flatnonzero((hits >= need) & ~seen)
+            if radius >= 2 * self.largest and len(found) + len(new) < min(k, n):
+                new = np.flatnonzero(~seen)
             if len(new):
                 seen[new] = True
                 found = np.concatenate([found, new])
