@@ -136,12 +136,12 @@ def fit_point_models(
 
 
 def predict_long(models: Sequence, rows: DataFrame, keep: Sequence[str]) -> DataFrame:
-    """One row per input row and model; the inputs are not changed."""
-    out = None
-    for m in models:
-        part = m.predict(rows).select(*keep, F.lit(m.name).alias("model"), "pred_raw")
-        out = part if out is None else out.unionByName(part)
-    return out
+    """One row per input row and model, from one pass over the rows, which may be a stream; the inputs are not changed."""
+    out = rows
+    for i, m in enumerate(models):
+        out = m.predict(out).withColumnRenamed("pred_raw", f"_pred_{i}")
+    found = F.explode(F.array(*[F.struct(F.lit(m.name).alias("model"), F.col(f"_pred_{i}").alias("pred_raw")) for i, m in enumerate(models)]))
+    return out.select(*keep, found.alias("_m")).select(*keep, "_m.model", "_m.pred_raw")
 
 
 class LeafQuantiles:

@@ -53,10 +53,10 @@ def _comparable(df, sensors):
     return df.select(*out)
 
 
-@register("event_window_features", _feature_sql("ev", sql.EVENTS, EVENT_SENSORS[:2]))
+@register("event_window_features", _feature_sql("ev", sql.EVENTS, EVENT_SENSORS))
 def event_window_features(spark, sf_dir):
     panel = base.events(spark, sf_dir)
-    return _comparable(temporal_features(panel, EVENT_SENSORS[:2], settings=EVENT_SETTINGS), EVENT_SENSORS)
+    return _comparable(temporal_features(panel, EVENT_SENSORS, settings=EVENT_SETTINGS), EVENT_SENSORS)
 
 
 @register("line_window_features", _feature_sql("li", sql.LINES, ("sensor_1", "sensor_3"), "domain, "))

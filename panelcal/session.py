@@ -22,6 +22,8 @@ SESSION_CONF = {
     # A union that reports its children's partitioning can meet a join whose other side was
     # re-planned to another partition count ("Can't zip RDDs"); a plain union cannot.
     "spark.sql.unionOutputPartitioning": "false",
+    # The state store that keyed state of several variables needs.
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
 

@@ -1,4 +1,9 @@
-"""Adaptive conformal intervals over a stream, equal to the batch trace."""
+"""Adaptive conformal intervals over a stream, equal to the batch trace.
+
+A step needs three numbers of its calibration cell: how many scores there are, how many would miss its
+outcome, and the score at the rank it asks for. The first two are joined to the rows before the stateful step, the third
+to its output (``lookup``), so the fold itself carries one level per key and holds no scores.
+"""
 
 from __future__ import annotations
 
@@ -13,153 +18,155 @@ from panelcal.operators.adaptive import (
     ALPHA_MIN,
     GAMMA,
     check_parameters,
+    covering_score,
     next_alpha,
     rank_of,
     regime_of,
 )
 from panelcal.operators.conformal import CLAMP, RAISE
-from panelcal.session import scratch_path
-from panelcal.streaming.ordered import OrderedProcessor, run_ordered
-
-OK, LATE, UNKNOWN, HELD = "ok", "late", "outcome_without_prediction", "held"
-PREDICT, OUTCOME = 0, 1
-TRACE = (
-    "seq bigint, center double, truth double, alpha_used double, alpha_next double, quantile double, lower double, "
-    "upper double, requested_rank bigint, effective_rank bigint, finite_rank_attainable boolean, quantile_regime string, "
-    "miss boolean, status string"
+from panelcal.streaming.lookup import ScoreIndex
+from panelcal.streaming.ordered import LATE, OK, OrderedProcessor, Run, run_behind, run_ordered
+
+UNKNOWN, HELD = "outcome_without_prediction", "held"
+PREDICT, OUTCOME, REPORT = 0, 1, 2
+STEP = (
+    "seq bigint, center double, truth double, alpha_used double, alpha_next double, requested_rank bigint, effective_rank bigint, "
+    "finite_rank_attainable boolean, quantile_regime string, miss boolean, status string"
 )
-TRACE_COLUMNS = [part.split()[0] for part in TRACE.split(", ")]
-
-
-def store_scores(scores: DataFrame, cell: Sequence[str], name: str = "stream-scores") -> str:
-    """Calibration scores as parquet in the shared folder, one ``cell`` text key per row."""
-    path = scratch_path(scores.sparkSession, name)
-    key = F.concat_ws("|", *[F.col(c).cast("string") for c in cell])
-    scores.select(key.alias("cell"), F.col("score").cast("double").alias("score")).write.parquet(path)
-    return path
-
-
-class ScoreTable:
-    """Sorted scores of a cell, read by a worker when it first meets the cell (8 bytes a score)."""
-
-    def __init__(self, path: str) -> None:
-        self.path = path
-        self._cells: dict[str, np.ndarray] = {}
-
-    def __getstate__(self) -> dict:
-        return {"path": self.path, "_cells": {}}
-
-    def of(self, cell: str) -> np.ndarray:
-        if cell not in self._cells:
-            import pyarrow.dataset as ds
-
-            local = self.path.removeprefix("file://").removeprefix("file:")
-            found = ds.dataset(local, format="parquet").to_table(columns=["score"], filter=ds.field("cell") == cell)
-            self._cells[cell] = np.sort(found["score"].to_numpy())
-        return self._cells[cell]
+STEP_COLUMNS = [part.split()[0] for part in STEP.split(", ")]
+#: State between the rows of a key: the level, the open prediction and the ends of the queue behind it.
+LEVEL = "alpha double, open boolean, seq bigint, center double, rank bigint, n bigint, head bigint, tail bigint"
 
 
 class _Adaptive(OrderedProcessor):
-    def __init__(self, keys, cell, payload, scores, gamma, low, high, policy) -> None:
-        super().__init__(payload, [*keys, *TRACE_COLUMNS])
-        self.keys, self.cell = list(keys), list(cell)
-        self.scores = ScoreTable(scores)
+    def __init__(self, keys, payload, gamma, low, high, policy) -> None:
+        super().__init__(payload, [*keys, *STEP_COLUMNS])
+        self.keys = list(keys)
         self.gamma, self.low, self.high, self.policy = gamma, low, high, policy
 
     def start(self, handle) -> None:
-        self.level = handle.getValueState("level", "alpha double, ts bigint, seq bigint")
+        self.level = handle.getValueState("level", LEVEL)
 
-    def _sorted(self, key: tuple) -> np.ndarray:
-        named = dict(zip(self.keys, key, strict=True))
-        return self.scores.of("|".join(str(named[c]) for c in self.cell))
+    def _nominal(self, key: tuple) -> float:
+        return float(dict(zip(self.keys, key, strict=True))["alpha"])
 
-    def _interval(self, key: tuple, alpha: float, center: float) -> tuple:
-        values = self._sorted(key)
-        n = len(values)
+    def _ranks(self, alpha: float, n: int) -> tuple:
         rank = rank_of(alpha, n)
-        effective = rank if rank <= n else (n if self.policy == CLAMP else None)
+        effective = rank if rank <= n else (n if self.policy == CLAMP and n else None)
         if effective is None and self.policy == RAISE:
             raise ValueError(f"requested conformal rank {rank} is unattainable with {n} scores")
-        q = float(values[effective - 1]) if effective is not None else float("inf")
-        return q, center - q, center + q, rank, effective, rank <= n, regime_of(rank, n)
+        return rank, effective, rank <= n, regime_of(rank, n)
 
-    def _nominal(self, key: tuple) -> float:
-        return float(dict(zip(self.keys, key, strict=True))["alpha"])
+    def _follow(self, alpha: float, nominal: float, effective: int | None, below: float) -> tuple[float, bool]:
+        """The next level, and whether the score at the rank misses: it does if it is among those below the covering score."""
+        missed = effective is not None and below >= effective
+        return next_alpha(alpha, nominal, missed, self.gamma, self.low, self.high), missed
+
+    def late(self, key, run, watermark):
+        return [(*key, int(s), *_known(v[:2]), *[None] * 7, LATE) for s, v in zip(run.seq, run.values, strict=True)]
+
+
+def _known(values) -> list[float | None]:
+    return [None if np.isnan(v) else float(v) for v in values]
 
 
 class AdaptiveStream(_Adaptive):
     """Each row carries its centre and, for the update after it, its outcome."""
 
-    def advance(self, key, rows):
+    def __init__(self, keys, *rest) -> None:
+        super().__init__(keys, ["center", "truth", "below", "n"], *rest)
+
+    def advance(self, key, run):
         nominal = self._nominal(key)
-        alpha, last = nominal, (-1, -1)
-        if self.level.exists():
-            a, ts, seq = self.level.get()
-            alpha, last = float(a), (int(ts), int(seq))
+        alpha = float(self.level.get()[0]) if self.level.exists() else nominal
         out = []
-        for row in rows:
-            at = (row["ts"], row["seq"])
-            if at <= last:
-                out.append((*key, row["seq"], row["center"], row["truth"], *[None] * 10, LATE))
-                continue
-            q, lower, upper, rank, effective, fits, regime = self._interval(key, alpha, row["center"])
-            missed = bool(row["truth"] < lower or row["truth"] > upper)
-            following = next_alpha(alpha, nominal, missed, self.gamma, self.low, self.high)
-            out.append(
-                (*key, row["seq"], row["center"], row["truth"], alpha, following, q, lower, upper, rank, effective, fits, regime, missed, OK)
-            )
-            alpha, last = following, at
-        self.level.update((alpha, last[0], last[1]))
+        for seq, (center, truth, below, n) in zip(run.seq.tolist(), run.values.tolist(), strict=True):
+            rank, effective, fits, regime = self._ranks(alpha, int(n))
+            following, missed = self._follow(alpha, nominal, effective, below)
+            out.append((*key, seq, center, truth, alpha, following, rank, effective, fits, regime, missed, OK))
+            alpha = following
+        self.level.update((alpha, False, 0, 0.0, 0, 0, 0, 0))
+        return out
+
+
+class PairOutcomes(OrderedProcessor):
+    """Gives each outcome the centre of its prediction, null if there was none before it.
+
+    Late rows go on as reports, with the time at which they are reported.
+    """
+
+    def __init__(self, keys) -> None:
+        super().__init__(["center", "truth"], [*keys, "ts", "seq", "kind", "center", "truth"])
+
+    def start(self, handle) -> None:
+        self.asked = handle.getMapState("asked", "seq bigint", "center double")
+
+    def advance(self, key, run):
+        out, asked = [], {}
+        for ts, seq, kind, (center, truth) in zip(run.ts.tolist(), run.seq.tolist(), run.kind.tolist(), run.values.tolist(), strict=True):
+            if kind == PREDICT:
+                asked[seq] = center
+            else:
+                center = asked.pop(seq, None)
+                if center is None and self.asked.containsKey((seq,)):
+                    center = float(self.asked.getValue((seq,))[0])
+                    self.asked.removeKey((seq,))
+            out.append((*key, np.datetime64(ts, "ms"), seq, kind, center, None if np.isnan(truth) else truth))
+        for seq, center in asked.items():
+            self.asked.updateValue((seq,), (center,))
         return out
 
+    def late(self, key, run, watermark):
+        at = np.datetime64(watermark + 1, "ms")
+        return [(*key, at, int(s), REPORT, *_known(v)) for s, v in zip(run.seq, run.values, strict=True)]
+
 
 class PrequentialStream(_Adaptive):
     """Predictions and outcomes as separate events.
 
-    A prediction is answered from the current level; the next one waits until the outcome of
-    the open one has arrived. An outcome nobody predicted is reported and changes nothing.
+    A prediction is answered from the current level; the next ones wait, in a queue with a head and a tail number, until
+    the outcome of the open one has arrived. An outcome that fits no open prediction is reported and changes nothing.
     """
 
+    at_once = REPORT
+
+    def __init__(self, keys, *rest) -> None:
+        super().__init__(keys, ["center", "truth", "below", "n"], *rest)
+
     def start(self, handle) -> None:
         super().start(handle)
-        self.open = handle.getValueState("open", "seq bigint, center double, lower double, upper double")
-        self.waiting = handle.getListState("waiting", "seq bigint, center double")
-
-    def _predict(self, key, alpha, seq, center, status, out) -> None:
-        q, lower, upper, rank, effective, fits, regime = self._interval(key, alpha, center)
-        self.open.update((seq, center, lower, upper))
-        out.append((*key, seq, center, None, alpha, None, q, lower, upper, rank, effective, fits, regime, None, status))
+        self.waiting = handle.getMapState("waiting", "at bigint", "seq bigint, center double, n bigint")
 
-    def advance(self, key, rows):
+    def advance(self, key, run: Run):
         nominal = self._nominal(key)
-        alpha = float(self.level.get()[0]) if self.level.exists() else nominal
+        alpha, is_open, open_seq, open_center, open_rank, open_n, head, tail = self.level.get() if self.level.exists() else (nominal, False, 0, 0.0, 0, 0, 0, 0)
         out: list[tuple] = []
-        for row in rows:
-            if row["kind"] == PREDICT:
-                if self.open.exists():
-                    self.waiting.appendValue((row["seq"], row["center"]))
+
+        def predict(seq: int, center: float, n: int, status: str) -> tuple:
+            rank, effective, fits, regime = self._ranks(alpha, n)
+            out.append((*key, seq, center, None, alpha, None, rank, effective, fits, regime, None, status))
+            return True, seq, center, effective or 0, n
+
+        for seq, kind, (center, truth, below, n) in zip(run.seq.tolist(), run.kind.tolist(), run.values.tolist(), strict=True):
+            if kind == PREDICT:
+                if is_open:
+                    self.waiting.updateValue((tail,), (seq, center, int(n)))
+                    tail += 1
                 else:
-                    self._predict(key, alpha, row["seq"], row["center"], OK, out)
-                continue
-            pending = self.open.get() if self.open.exists() else None
-            if pending is None or int(pending[0]) != row["seq"]:
-                out.append((*key, row["seq"], None, row["truth"], *[None] * 10, UNKNOWN))
-                continue
-            _, center, lower, upper = pending
-            missed = bool(row["truth"] < lower or row["truth"] > upper)
-            following = next_alpha(alpha, nominal, missed, self.gamma, self.low, self.high)
-            out.append(
-                (*key, row["seq"], center, row["truth"], alpha, following, None, lower, upper, None, None, None, None, missed, OK)
-            )
-            alpha = following
-            self.open.clear()
-            held = [tuple(v) for v in list(self.waiting.get())]
-            if held:
-                self.waiting.clear()
-                for rest in held[1:]:
-                    self.waiting.appendValue(rest)
-                self._predict(key, alpha, held[0][0], held[0][1], HELD, out)
-        self.level.update((alpha, -1, -1))
+                    is_open, open_seq, open_center, open_rank, open_n = predict(seq, center, int(n), OK)
+            elif not is_open or open_seq != seq:
+                out.append((*key, seq, None, truth, *[None] * 7, UNKNOWN))
+            else:
+                rank, _, fits, regime = self._ranks(alpha, open_n)
+                following, missed = self._follow(alpha, nominal, open_rank or None, below)
+                out.append((*key, seq, open_center, truth, alpha, following, rank, open_rank or None, fits, regime, missed, OK))
+                alpha, is_open = following, False
+                if head < tail:
+                    held = self.waiting.getValue((head,))
+                    self.waiting.removeKey((head,))
+                    head += 1
+                    is_open, open_seq, open_center, open_rank, open_n = predict(int(held[0]), float(held[1]), int(held[2]), HELD)
+        self.level.update((alpha, is_open, open_seq, open_center, open_rank, open_n, head, tail))
         return out
 
 
@@ -170,8 +177,7 @@ def _key_schema(stream: DataFrame, keys: Sequence[str]) -> str:
 
 def adaptive_stream(
     stream: DataFrame,
-    scores_path: str,
-    cell: Sequence[str],
+    scores: ScoreIndex,
     keys: Sequence[str],
     *,
     delay: str = "10 seconds",
@@ -183,11 +189,23 @@ def adaptive_stream(
 ) -> DataFrame:
     """Adaptive trace of a stream with columns ts, seq, center, truth, alpha and the keys.
 
-    ``keys`` include ``alpha``. With ``separate_outcomes`` rows also carry ``kind`` (0 predict,
-    1 outcome). Rows the watermark has passed are dropped by Spark and counted in the query
-    progress; emitted intervals never change.
+    ``keys`` include ``alpha`` and the cell columns of ``scores``. With ``separate_outcomes`` rows also carry ``kind`` (0 predict,
+    1 outcome). Rows behind what their key has answered come out with status ``late`` and no interval; emitted intervals
+    never change.
     """
     check_parameters([], gamma, alpha_min, alpha_max, policy)
-    kind = PrequentialStream if separate_outcomes else AdaptiveStream
-    processor = kind(keys, cell, [("center", "double"), ("truth", "double")], scores_path, gamma, alpha_min, alpha_max, policy)
-    return run_ordered(stream, keys, processor, f"{_key_schema(stream, keys)}, {TRACE}", delay=delay)
+    options = (gamma, alpha_min, alpha_max, policy)
+    schema = _key_schema(stream, keys)
+    need = covering_score(F.col("center"), F.col("truth"))
+    if separate_outcomes:
+        paired = run_ordered(stream, keys, PairOutcomes(keys), f"{schema}, ts timestamp, seq bigint, kind int, center double, truth double", delay=delay, event_time="ts")
+        counted = scores.with_counts(paired.withColumn("_need", need), F.col("_need")).drop("_need")
+        steps = run_behind(counted, keys, PrequentialStream(keys, *options), f"{schema}, {STEP}")
+    else:
+        counted = scores.with_counts(stream.withColumn("_need", need), F.col("_need")).drop("_need")
+        steps = run_ordered(counted, keys, AdaptiveStream(keys, *options), f"{schema}, {STEP}", delay=delay)
+    found = scores.with_score_at(steps, "effective_rank", "quantile")
+    answered = F.col("requested_rank").isNotNull()
+    quantile = F.when(answered, F.coalesce("quantile", F.lit(float("inf"))))
+    bounded = found.withColumn("quantile", quantile).withColumn("lower", F.col("center") - F.col("quantile")).withColumn("upper", F.col("center") + F.col("quantile"))
+    return bounded.select(*keys, *STEP_COLUMNS[:5], "quantile", "lower", "upper", *STEP_COLUMNS[5:])

@@ -8,55 +8,81 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from panelcal.operators.features import WINDOWS, feature_names
+from panelcal.plans.frozen import FrozenConformal
 from panelcal.schema import CYCLE, ENTITY, SETTINGS
-from panelcal.streaming.ordered import OrderedProcessor, run_ordered
+from panelcal.streaming.ordered import LATE, OK, OrderedProcessor, run_ordered
 
 
-def window_values(history: np.ndarray, windows: Sequence[int]) -> list[float]:
-    """Delta and per-window mean, population std and slope at the last element of ``history``."""
-    out = [float(history[-1] - history[-2]) if len(history) > 1 else 0.0]
+def window_values(history: np.ndarray, new: int, windows: Sequence[int]) -> list[np.ndarray]:
+    """Of the last ``new`` rows: delta, then mean, population std and slope of each window, as (new x sensors) arrays.
+
+    A window that reaches beyond the first row of ``history`` is as short as the rows there are.
+    """
+    n, width = history.shape
+    first = n - new
+    out = [np.diff(history, axis=0, prepend=history[:1])[first:]]
     for w in windows:
-        part = history[-w:]
-        x = np.arange(len(part), dtype="float64")
-        spread = x - x.mean()
-        below = float(spread @ spread)
-        out += [float(part.mean()), float(part.std()), float(spread @ (part - part.mean()) / below) if below else 0.0]
+        padded = np.concatenate([np.zeros((w - 1, width)), history])
+        part = np.lib.stride_tricks.sliding_window_view(padded, w, axis=0)[first:]  # new x sensors x w
+        count = np.minimum(np.arange(first, n) + 1, w)[:, None]
+        place = np.arange(w) - (w - count)  # position in the window, negative before the first row
+        held = place >= 0
+        part = np.where(held[:, None, :], part, 0.0)
+        mean = part.sum(axis=2) / count
+        off = np.where(held[:, None, :], part - mean[:, :, None], 0.0)
+        spread = np.where(held, place - (count - 1) / 2, 0.0)
+        below = np.square(spread).sum(axis=1)[:, None]
+        slope = (off * spread[:, None, :]).sum(axis=2) / np.where(below > 0, below, 1.0)
+        out += [mean, np.sqrt(np.square(off).mean(axis=2) * w / count), slope]
     return out
 
 
 class FeatureStream(OrderedProcessor):
     def __init__(self, settings: Sequence[str], sensors: Sequence[str], windows: Sequence[int]) -> None:
         self.settings, self.sensors, self.windows = list(settings), list(sensors), list(windows)
-        super().__init__(
-            [(c, "double") for c in (*settings, *sensors)], [ENTITY, CYCLE, *feature_names(sensors, settings, windows)]
-        )
+        self.names = feature_names(sensors, settings, windows)
+        super().__init__([*settings, *sensors], [ENTITY, CYCLE, *self.names, "status"])
 
     def start(self, handle) -> None:
-        self.recent = handle.getListState("recent", ", ".join(f"{s} double" for s in self.sensors))
-
-    def advance(self, key, rows):
-        depth = max(self.windows) - 1
-        kept = [tuple(v) for v in list(self.recent.get())] if self.recent.exists() else []
-        out = []
-        for row in rows:
-            kept.append(tuple(row[s] for s in self.sensors))
-            values = np.array(kept[-(depth + 1) :], dtype="float64")
-            derived = [v for i in range(len(self.sensors)) for v in window_values(values[:, i], self.windows)]
-            out.append(
-                (*key, row["seq"], *[row[c] for c in self.settings], *[row[s] for s in self.sensors], *derived, float(row["seq"]))
-            )
-            kept = kept[-depth:]
-        self.recent.put(kept)
-        return out
+        self.recent = handle.getValueState("recent", "v array<double>")
+
+    def _rows(self, key, run, derived: list[np.ndarray], status: str) -> pd.DataFrame:
+        given = {name: run.values[:, i] for i, name in enumerate(self.payload)}
+        # Per sensor, as the names go: delta, then three of each window.
+        made = dict(zip(self.names[len(given) : -1], [d[:, i] for i in range(len(self.sensors)) for d in derived], strict=False))
+        missing = {name: np.full(len(run), np.nan) for name in self.names[len(given) : -1] if name not in made}
+        columns = {ENTITY: key[0], CYCLE: run.seq, **given, **made, **missing, "cycle_index": run.seq.astype(float), "status": status}
+        return pd.DataFrame(columns, index=range(len(run)))[self.columns]
+
+    def advance(self, key, run):
+        depth, width = max(self.windows) - 1, len(self.sensors)
+        kept = np.array(self.recent.get()[0], np.float64).reshape(-1, width) if self.recent.exists() else np.zeros((0, width))
+        history = np.concatenate([kept, run.values[:, len(self.settings) :]])
+        self.recent.update((history[max(0, len(history) - depth) :].ravel().tolist(),))
+        return self._rows(key, run, window_values(history, len(run), self.windows), OK)
+
+    def late(self, key, run, watermark):
+        return self._rows(key, run, [], LATE)
 
 
 def feature_stream(
     stream: DataFrame, sensors: Sequence[str], *, settings: Sequence[str] = SETTINGS, windows: Sequence[int] = WINDOWS, delay: str = "10 seconds"
 ) -> DataFrame:
-    """Features of a panel stream with columns entity_id, ts, seq (the cycle), settings and sensors."""
+    """Features of a panel stream with columns entity_id, ts, seq (the cycle), settings and sensors.
+
+    Rows behind those their entity has drained come out with status ``late`` and no derived features.
+    """
     names = feature_names(sensors, settings, windows)
-    schema = ", ".join([f"{ENTITY} bigint", f"{CYCLE} bigint", *[f"{n} double" for n in names]])
+    schema = ", ".join([f"{ENTITY} bigint", f"{CYCLE} bigint", *[f"{n} double" for n in names], "status string"])
     return run_ordered(stream, [ENTITY], FeatureStream(settings, sensors, windows), schema, delay=delay)
+
+
+def scored_stream(features: DataFrame, frozen: FrozenConformal) -> DataFrame:
+    """(entity_id, cycle, model, pred_raw, pred) of every on-time row of ``feature_stream`` by each model of a frozen fit, in the same query."""
+    on_time = features.where(F.col("status") == OK)
+    return frozen.predict(on_time.select(ENTITY, CYCLE, *[f for f in frozen.features if f != CYCLE]), [ENTITY, CYCLE])

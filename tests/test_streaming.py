@@ -4,6 +4,9 @@ from pyspark.sql import functions as F
 from panelcal.operators.adaptive import adaptive_trace
 from panelcal.session import scratch_path
 from panelcal.streaming import adaptive as streaming
+from panelcal.streaming import lookup
+from panelcal.streaming.features import window_values
+from panelcal.streaming.lookup import index_scores
 from panelcal.streaming.ordered import finish, with_flush
 
 SCHEMA = "model string, alpha double, ts timestamp, seq bigint, center double, truth double"
@@ -28,7 +31,7 @@ def data(spark, n=30):
 def test_stream_equals_batch_when_files_arrive_out_of_order(spark):
     scores, rows = data(spark)
     stream = replay(spark, with_flush(rows, {"model": "flush", "alpha": 0.5, "seq": 0}, 3600))
-    out = streaming.adaptive_stream(stream, streaming.store_scores(scores, ["model"]), ["model"], ["model", "alpha"], delay="60 seconds")
+    out = streaming.adaptive_stream(stream, index_scores(scores, ["model"]), ["model", "alpha"], delay="60 seconds")
     got = finish(out, scratch_path(spark, "t-out"), scratch_path(spark, "t-cp")).filter("model = 'm'")
     batch = adaptive_trace(
         rows.drop("alpha").withColumnsRenamed({"center": "pred", "truth": "y_true"}), scores, ["model"], ["model"], [0.2], slices=8
@@ -46,9 +49,7 @@ def test_outcome_rules(spark):
         "model string, alpha double, kind int, seq bigint, t bigint, center double, truth double",
     ).select("model", "alpha", F.timestamp_seconds("t").alias("ts"), "seq", "kind", "center", "truth")
     stream = replay(spark, with_flush(rows, {"model": "flush", "alpha": 0.5, "seq": 0, "kind": 1}, 3600), 2)
-    out = streaming.adaptive_stream(
-        stream, streaming.store_scores(scores, ["model"]), ["model"], ["model", "alpha"], delay="60 seconds", separate_outcomes=True
-    )
+    out = streaming.adaptive_stream(stream, index_scores(scores, ["model"]), ["model", "alpha"], delay="60 seconds", separate_outcomes=True)
     got = finish(out, scratch_path(spark, "t-out"), scratch_path(spark, "t-cp")).filter("model = 'm'").collect()
     kinds = sorted((r.seq, r.status, r.miss is not None) for r in got)
     assert kinds == [
@@ -58,3 +59,90 @@ def test_outcome_rules(spark):
         (1, "ok", True),
         (7, "outcome_without_prediction", False),
     ]
+
+
+def test_pages_answer_counts_and_ranks_at_any_depth(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    held = {"a": np.round(rng.exponential(5, 700), 2), "b": np.array([3.0]), "c": np.full(300, 7.0), "d": np.arange(40.0)}
+    scores = spark.createDataFrame([(c, float(v)) for c, vs in held.items() for v in vs] + [("a", None)], "cell string, score double")
+    asked = [(c, float(v)) for c in (*held, "none") for v in [-1.0, 0.0, 3.0, 7.0, 1e9, *rng.choice(held["a"], 15), *rng.exponential(5, 15)]]
+    ranks = [(c, int(k)) for c in (*held, "none") for k in [0, 1, 2, 40, 41, 299, 300, 301, 700, 701]] + [("a", None)]
+    for page in (4, 1024):
+        monkeypatch.setattr(lookup, "PAGE", page)
+        index = index_scores(scores, ["cell"])
+        assert len(index.levels) == (5 if page == 4 else 1)
+        for level in index.levels:
+            assert level.selectExpr("max(size(v))").first()[0] <= page
+        points = spark.createDataFrame(asked, "cell string, x double")
+        for r in index.with_counts(points, F.col("x")).collect():
+            all_ = held.get(r.cell, np.zeros(0))
+            assert (r.below, r.n) == ((all_ < r.x).sum(), len(all_))
+        for r in index.with_score_at(spark.createDataFrame(ranks, "cell string, k bigint"), "k", "s").collect():
+            all_ = np.sort(held.get(r.cell, np.zeros(0)))
+            assert r.s == (all_[r.k - 1] if r.k and 1 <= r.k <= len(all_) else None)
+
+
+def test_no_scores_at_all(spark):
+    index = index_scores(spark.createDataFrame([], "cell string, score double"), ["cell"])
+    assert [tuple(r) for r in index.with_counts(spark.createDataFrame([("a", 1.0)], "cell string, x double"), F.col("x")).collect()] == [("a", 1.0, 0, 0)]
+
+
+def ordered_files(spark, parts):
+    """One file a batch, in the given order."""
+    path = scratch_path(spark, "t-in")
+    for part in parts:
+        part.coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def test_rows_behind_the_watermark_come_out_late_and_change_nothing(spark):
+    scores, rows = data(spark)
+    flush = with_flush(rows, {"model": "flush", "alpha": 0.5, "seq": 0}, 3600).filter("model = 'flush'")
+    behind = F.col("seq").isin(4, 11, 29)
+    only_late = rows.filter("seq = 7").withColumn("model", F.lit("idle"))
+    stream = ordered_files(spark, [rows.filter(~behind), flush, flush, rows.filter(behind).unionByName(only_late), flush])
+    out = streaming.adaptive_stream(stream, index_scores(scores, ["model"]), ["model", "alpha"], delay="10 seconds")
+    got = finish(out, scratch_path(spark, "t-out"), scratch_path(spark, "t-cp")).filter("model != 'flush'")
+    batch = adaptive_trace(
+        rows.filter(~behind).drop("alpha").withColumnsRenamed({"center": "pred", "truth": "y_true"}), scores, ["model"], ["model"], [0.2], slices=8
+    )
+    columns = ["seq", "alpha_used", "alpha_next", "quantile", "lower", "upper", "requested_rank", "miss"]
+    assert sorted(got.filter("status = 'ok' and model = 'm'").select(*columns).collect()) == sorted(batch.select(*columns).collect())
+    late = got.filter("status = 'late'").collect()
+    assert sorted(r.seq for r in late) == [4, 11, 29]
+    assert all(r.quantile is None and r.alpha_used is None and r.miss is None and r.center is not None for r in late)
+    # A key that has answered nothing yet is not behind anything.
+    assert [(r.seq, r.status) for r in got.filter("model = 'idle'").collect()] == [(7, "ok")]
+
+
+def test_late_outcomes_and_a_long_queue(spark):
+    scores, _ = data(spark)
+    events = [(0, s, 10 + s, 50.0 + s, None) for s in range(40)] + [(1, s, 100 + s, None, 50.0 + s) for s in range(40)]
+    schema = "model string, alpha double, kind int, seq bigint, t bigint, center double, truth double"
+    rows = spark.createDataFrame([("m", 0.2, *e) for e in events], schema)
+    rows = rows.select("model", "alpha", F.timestamp_seconds("t").alias("ts"), "seq", "kind", "center", "truth")
+    flush = with_flush(rows, {"model": "flush", "alpha": 0.5, "seq": 0, "kind": 1}, 3600).filter("model = 'flush'")
+    behind = (F.col("kind") == 1) & (F.col("seq") == 39)
+    stream = ordered_files(spark, [rows.filter(~behind), flush, flush, flush, rows.filter(behind), flush, flush])
+    out = streaming.adaptive_stream(stream, index_scores(scores, ["model"]), ["model", "alpha"], delay="10 seconds", separate_outcomes=True)
+    got = finish(out, scratch_path(spark, "t-out"), scratch_path(spark, "t-cp")).filter("model = 'm'").collect()
+    kinds = sorted((r.seq, r.status, r.miss is not None) for r in got)
+    assert kinds == sorted([(0, "ok", False)] + [(s, "held", False) for s in range(1, 40)] + [(s, "ok", True) for s in range(39)] + [(39, "late", False)])
+    first = next(r for r in got if r.seq == 0 and r.miss is None)
+    values = sorted(r.score for r in scores.collect())
+    assert first.quantile == values[first.effective_rank - 1] and first.lower == first.center - first.quantile
+
+
+def test_windows_of_a_run_equal_those_row_by_row():
+    rng = np.random.default_rng(2)
+    for n, new in ((1, 1), (3, 3), (30, 30), (30, 4), (19, 19)):
+        history = rng.normal(size=(n, 2)) * 3
+        got = np.stack(window_values(history, new, (5, 10, 20)))
+        for i in range(n - new, n):
+            for s in range(2):
+                want = [history[i, s] - history[i - 1, s] if i else 0.0]
+                for w in (5, 10, 20):
+                    part = history[max(0, i - w + 1) : i + 1, s]
+                    slope = np.polyfit(np.arange(len(part)), part, 1)[0] if len(part) > 1 else 0.0
+                    want += [part.mean(), part.std(), slope]
+                assert np.allclose(got[:, i - (n - new), s], want, atol=1e-9)
