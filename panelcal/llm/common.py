@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 from itertools import accumulate, repeat
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,6 +21,9 @@ SLICE_BYTES = 4_000_000
 
 Texts = list[bytes | None]
 
+#: The C library's call that returns freed pages, where there is one.
+TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
 #: What an operator remembers from task to task in a Python worker; the next operator's first task there frees it.
 RECALL: dict[str, tuple[dict, ...]] = {}
 
@@ -36,9 +41,36 @@ def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, Te
         yield start, column.slice(start).cast(pa.binary()).to_pylist()
 
 
+def wrapped(docs: DataFrame) -> Column:
+    """All columns of ``docs`` as one struct for a Python step or a stored table; ``doc.*`` gives them back. No helper column can bear the name of one."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
+
+
+def aside(docs: DataFrame) -> list[Column]:
+    """The columns of ``docs`` under numbers, so that no helper column can bear the name of one; ``restored`` gives the names back.
+
+    For joins and groups, where Spark would reason about each field of a struct.
+    """
+    return [F.col(f"`{c}`").alias(f"__{i}") for i, c in enumerate(docs.columns)]
+
+
+def restored(docs: DataFrame) -> list[Column]:
+    """The columns of ``docs`` in their order, from those that ``aside`` numbered."""
+    return [F.col(f"__{i}").alias(c) for i, c in enumerate(docs.columns)]
+
+
 def forget() -> None:
     """Free what the worker's last operator remembered."""
     RECALL.clear()
+    trim()
+
+
+def trim() -> None:
+    """Give memory that a task has freed back to the system: idle workers share an executor's memory with its JVM."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if TRIM:
+        TRIM(0)
 
 
 def with_text_columns(
@@ -72,6 +104,8 @@ def with_text_columns(
                 made = function(texts)
                 columns = [pa.array(x, type=t) if not isinstance(x, (pa.Array, pa.ChunkedArray)) else x.cast(t) for x, t in zip(made, arrow.types[len(stay) :], strict=True)]
                 yield pa.RecordBatch.from_arrays([x.cast(t) for x, t in zip(old, arrow.types, strict=False)] + columns, schema=arrow)
+        function = column = old = made = columns = None
+        trim()
 
     return df.select(*[F.col(f"`{c}`") for c in stay], F.col(text).alias("__whole text")).mapInArrow(run, schema)
 
@@ -183,4 +217,4 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return stored(df, f"llm-{name}")
 
 
-__all__ = ["Texts", "WordTable", "components", "few", "mix64", "ngrams", "number_rows", "saved", "scratch_path", "slices", "with_text_columns"]
+__all__ = ["Texts", "WordTable", "aside", "components", "few", "forget", "mix64", "ngrams", "number_rows", "restored", "saved", "scratch_path", "slices", "trim", "with_text_columns", "wrapped"]

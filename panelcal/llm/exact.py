@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelcal.llm.common import few, saved
+from panelcal.llm.common import aside, few, restored, saved
 
 #: Runs of these characters are one space.
 BLANKS = r"[\x20\x09-\x0D]+"
@@ -83,9 +83,9 @@ def without_copies(docs: DataFrame, text: str = "text", id_col: str = "doc_id")
     # The row that stays in a group is of its keep_id, null ids among them.
     gone = few(saved(key(groups.where(~F.col("id").eqNullSafe(F.col("keep_id")))).distinct(), "gone-rows"))
     repeated = saved(key(groups.where(F.col("id").eqNullSafe(F.col("keep_id")))).groupBy("at", "of").count().where("count > 1").drop("count"), "repeated-rows")
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole"), F.col(id_col).alias("id"), F.unhex(F.sha2(normalised(text).cast("binary"), 256)).alias("sha"))
+    rows = docs.select(*aside(docs), F.col(id_col).alias("id"), F.unhex(F.sha2(normalised(text).cast("binary"), 256)).alias("sha"))
     stays = rows.join(gone, same, "left_anti")
     if not repeated.isEmpty():
-        once = stays.join(repeated, same, "left_semi").groupBy("id", "sha").agg(F.first("whole").alias("whole")).select("whole", "id", "sha")
+        once = stays.join(repeated, same, "left_semi").dropDuplicates(["id", "sha"])
         stays = stays.join(repeated, same, "left_anti").unionByName(once)
-    return stays.select("whole.*")
+    return stays.select(*restored(docs))

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelcal.llm.common import number_rows, saved
+from panelcal.llm.common import number_rows, saved, wrapped
 
 #: Slots after which the schedule of few sources repeats; weights are whole multiples of 1 / RESOLUTION.
 RESOLUTION = 1000
@@ -120,8 +120,9 @@ def mix(
     if until not in ("all", "first"):
         raise ValueError("until must be 'all' or 'first'")
     new = ("epoch", "slot", "place")
-    numbered = saved(number_rows(docs.drop(*new), [source, *by], "__row"), "mix-rows")
-    counts = numbered.groupBy(F.col(source).alias("source")).agg(F.count("*").alias("rows"), F.min("__row").alias("first"))
+    keyed = docs.select(wrapped(docs), F.col(source).alias("source"), *[F.col(c).alias(f"by_{i}") for i, c in enumerate(by)])
+    numbered = saved(number_rows(keyed, ["source", *[f"by_{i}" for i in range(len(by))]], "__row").select("doc", "source", "__row"), "mix-rows")
+    counts = numbered.groupBy("source").agg(F.count("*").alias("rows"), F.min("__row").alias("first"))
     weights = saved(weights, "mix-weights")
     resolution = resolution or fitting_resolution(weights)
     shared = saved(shares(weights, resolution), "mix-shares")
@@ -138,13 +139,13 @@ def mix(
         known.crossJoin(F.broadcast(end)).join(F.broadcast(broken), "idx", "left")
         .select("__s", "idx", "share", "first", "blocks", F.expr(f"slots div {resolution} * share + coalesce(more, 0)").alias("served"))
     )
-    inside = numbered.join(F.broadcast(saved(served, "mix-sources")), F.col(source).eqNullSafe(F.col("__s")))
+    inside = numbered.join(F.broadcast(saved(served, "mix-sources")), F.col("source").eqNullSafe(F.col("__s")))
     block = F.expr(f"(__row - first) div {block_rows}")
     placed = inside.withColumn("__b", block).where("__b < served").withColumn("epoch", F.explode(F.expr("sequence(0L, (served - 1 - __b) div blocks)")))
     turn = placed.withColumn("__turn", F.expr("epoch * blocks + __b")).withColumn("k", F.expr("__turn % share"))
     at = turn.join(F.broadcast(period.withColumnRenamed("slot", "__slot")), ["idx", "k"])
     return at.select(
-        *[F.col(f"`{c}`") for c in docs.columns if c not in new],
+        *[F.col("doc").getField(c).alias(c) for c in docs.columns if c not in new],
         "epoch",
         F.expr(f"__turn div share * {resolution} + __slot").alias("slot"),
         F.expr(f"cast((__row - first) % {block_rows} as int)").alias("place"),

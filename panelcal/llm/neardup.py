@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from panelcal.llm.common import Texts, WordTable, components, few, mix64, saved, with_text_columns
+from panelcal.llm.common import Texts, WordTable, aside, components, few, mix64, restored, saved, with_text_columns
 from panelcal.llm.simhash import fingerprint, signed, vote
 
 RADIUS = 4
@@ -392,8 +392,8 @@ def one_per_class(docs: DataFrame, words: int = 5, least: float = 0.8, radius: i
     """
     blank = F.coalesce(F.col(text), F.lit(""))
     key = F.when(F.trim(F.translate(blank, "\t\n\x0b\x0c\r", "     ")) == "", F.lit(0)).otherwise(F.xxhash64(blank))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(id_col).alias("id"), key.alias("key"))
-    body = rows.select("id", "key", F.col("doc").getField(text).alias("body"))
+    rows = docs.select(*aside(docs), F.col(id_col).alias("id"), key.alias("key"))
+    body = docs.select(F.col(id_col).alias("id"), key.alias("key"), F.col(text).alias("body"))
     prints = with_sketches(body, words, "body", ["id", "key"])
     nodes = saved(prints.groupBy("key").agg(F.min("id").alias("low"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "texts")
     partners = few(saved(with_partners(nodes, least), "partners"))
@@ -415,16 +415,15 @@ def one_per_class(docs: DataFrame, words: int = 5, least: float = 0.8, radius: i
     rooted = nodes.join(roots, F.col("key") == F.col("node"), "left").select("key", F.coalesce("root", "key").alias("root"), "low")
     stays = rooted.groupBy("root").agg(F.min_by("key", F.struct(F.col("low").isNull(), "low", "key")).alias("key"), F.min("low").alias("low"))
     gone = few(saved(rooted.join(stays.select("key").withColumn("stays", F.lit(True)), "key", "left").where("stays is null").select("key"), "gone-texts"))
-    return first_rows(rows.join(gone, "key", "left_anti"), nodes).select("doc.*")
+    return first_rows(rows.join(gone, "key", "left_anti"), nodes).select(*restored(docs))
 
 
 def first_rows(rows: DataFrame, nodes: DataFrame) -> DataFrame:
     """Of the rows of each text one of its smallest id, ``low`` in ``nodes``; texts of one row alone are not shuffled while the others are few."""
     several = few(saved(nodes.where("copies > 1").select("key", "low"), "copied-texts"))
-    once = rows.join(several.select("key"), "key", "left_anti").select("doc")
-    of = rows.join(several, "key").where(F.col("id").eqNullSafe(F.col("low"))).select("key", "doc")
-    repeated = of.groupBy("key").agg(F.first("doc").alias("doc")).select("doc")
-    return once.unionByName(repeated)
+    once = rows.join(several.select("key"), "key", "left_anti")
+    of = rows.join(several, "key").where(F.col("id").eqNullSafe(F.col("low"))).dropDuplicates(["key"])
+    return once.unionByName(of.select(*once.columns))
 
 
 def ordered(pairs: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from panelcal.llm.common import RECALL, number_rows, saved, slices
+from panelcal.llm.common import RECALL, number_rows, saved, slices, trim
 
 CAPACITY = 4096
 END_ID = 1
@@ -254,6 +254,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, id_co
                 if with_ids:
                     columns.append(pa.array([np.frombuffer(r[5], "<u4").astype(np.int64) for r in rows], pa.list_(pa.int64())))
                 yield pa.RecordBatch.from_arrays(columns, names=[f.split()[0] for f in fields.split(", ")])
+        trim()
 
     return docs.select(F.col(id_col).cast("long"), F.xxhash64(text), F.col(text)).mapInArrow(run, fields).withColumnRenamed("id", id_col)
 

@@ -105,41 +105,51 @@ OP7_SQL = """
 WITH RECURSIVE
 counted AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
 weighted AS (SELECT source, n, CAST(round(pow(n, 0.7) * 1000) AS HUGEINT) AS weight FROM counted),
+length AS (
+  SELECT CAST(greatest(1000, least((sum(weight) + min(weight) - 1) // min(weight), 16 * count(*))) AS BIGINT) AS slots_all FROM weighted),
 raw AS (
-  SELECT source, n, row_number() OVER (ORDER BY source NULLS FIRST) AS idx,
-         CAST(weight * 1000 // sum(weight) OVER () AS BIGINT) AS whole, weight * 1000 % sum(weight) OVER () AS rest
-  FROM weighted),
-floored AS (SELECT source, n, idx, greatest(whole, 1) AS share, CASE WHEN whole > 0 THEN rest ELSE -1 END AS rest FROM raw),
+  SELECT source, n, row_number() OVER (ORDER BY source NULLS FIRST) AS idx, slots_all,
+         CAST(weight * slots_all // sum(weight) OVER () AS BIGINT) AS whole, weight * slots_all % sum(weight) OVER () AS rest
+  FROM weighted CROSS JOIN length),
+floored AS (SELECT source, n, idx, slots_all, greatest(whole, 1) AS share, CASE WHEN whole > 0 THEN rest ELSE -1 END AS rest FROM raw),
+lacking AS (
+  SELECT *, CAST(slots_all - sum(share) OVER () AS BIGINT) AS lack, CAST(sum(share - 1) OVER () AS BIGINT) AS beyond FROM floored),
+taken AS (
+  SELECT *, CASE WHEN lack < 0 THEN (share - 1) * -lack // beyond ELSE 0 END AS less,
+         CASE WHEN lack < 0 THEN (share - 1) * -lack % beyond ELSE 0 END AS over_
+  FROM lacking),
 ranked AS (
-  SELECT *, 1000 - sum(share) OVER () AS lack, row_number() OVER (ORDER BY rest DESC, idx) AS by_rest,
-         row_number() OVER (ORDER BY share DESC, idx) AS by_share FROM floored),
+  SELECT *, CAST(-lack - sum(less) OVER () AS BIGINT) AS more_, row_number() OVER (ORDER BY rest DESC, idx) AS by_rest,
+         row_number() OVER (ORDER BY over_ DESC, share DESC, idx) AS by_over
+  FROM taken),
 shared AS (
-  SELECT source, idx, (n + 15) // 16 AS blocks,
-         CAST(share + CASE WHEN lack >= 0 THEN CASE WHEN by_rest <= lack THEN 1 ELSE 0 END WHEN by_share = 1 THEN lack ELSE 0 END AS BIGINT) AS share
+  SELECT source, idx, slots_all, (n + 15) // 16 AS blocks,
+         CAST(share + CASE WHEN lack >= 0 THEN CASE WHEN by_rest <= lack THEN 1 ELSE 0 END
+                           ELSE -less - CASE WHEN by_over <= more_ THEN 1 ELSE 0 END END AS BIGINT) AS share
   FROM ranked),
-sizes AS (SELECT list(share ORDER BY idx) AS sizes FROM shared),
+sizes AS (SELECT list(share ORDER BY idx) AS sizes, any_value(slots_all) AS slots_all FROM shared),
 slots AS (
-  SELECT CAST(-1 AS BIGINT) AS t, CAST(0 AS BIGINT) AS i, [CAST(0 AS BIGINT) FOR s IN sizes] AS served, sizes FROM sizes
+  SELECT CAST(-1 AS BIGINT) AS t, CAST(0 AS BIGINT) AS i, [CAST(0 AS BIGINT) FOR s IN sizes] AS served, sizes, slots_all FROM sizes
   UNION ALL
-  SELECT t + 1, p.i, [CASE WHEN j = p.i THEN served[j] + 1 ELSE served[j] END FOR j IN range(1, len(sizes) + 1)], sizes
-  FROM (SELECT t, served, sizes,
-               list_min([{'due': (((served[j] + 1) * 1000 + sizes[j] - 1) // sizes[j]), 'i': j}
-                         FOR j IN range(1, len(sizes) + 1) IF served[j] * 1000 // sizes[j] <= t + 1]) AS p
-        FROM slots WHERE t < 999)),
+  SELECT t + 1, p.i, [CASE WHEN j = p.i THEN served[j] + 1 ELSE served[j] END FOR j IN range(1, len(sizes) + 1)], sizes, slots_all
+  FROM (SELECT t, served, sizes, slots_all,
+               list_min([{'due': (((served[j] + 1) * slots_all + sizes[j] - 1) // sizes[j]), 'i': j}
+                         FOR j IN range(1, len(sizes) + 1) IF served[j] * slots_all // sizes[j] <= t + 1]) AS p
+        FROM slots WHERE t < slots_all - 1)),
 period AS (SELECT i AS idx, row_number() OVER (PARTITION BY i ORDER BY t) - 1 AS k, t AS slot FROM slots WHERE t >= 0),
 horizon AS (
-  SELECT max((blocks - 1) // share * 1000 + slot + 1) AS slots
+  SELECT max((blocks - 1) // share * slots_all + slot + 1) AS slots
   FROM shared JOIN period ON period.idx = shared.idx AND period.k = (blocks - 1) % share),
-broken AS (SELECT idx, count(*) AS more FROM period, horizon WHERE slot < slots % 1000 GROUP BY idx),
+broken AS (SELECT idx, count(*) AS more FROM period, horizon, length WHERE slot < slots % slots_all GROUP BY idx),
 served AS (
-  SELECT source, shared.idx, share, blocks, slots // 1000 * share + coalesce(more, 0) AS served
+  SELECT source, shared.idx, share, blocks, slots_all, slots // slots_all * share + coalesce(more, 0) AS served
   FROM shared CROSS JOIN horizon LEFT JOIN broken ON broken.idx = shared.idx),
 numbered AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS r FROM documents),
 turns AS (
-  SELECT doc_id, numbered.source, idx, share, r, unnest(range(0, (served - 1 - r // 16) // blocks + 1)) AS epoch, blocks
+  SELECT doc_id, numbered.source, idx, share, slots_all, r, unnest(range(0, (served - 1 - r // 16) // blocks + 1)) AS epoch, blocks
   FROM numbered JOIN served ON numbered.source IS NOT DISTINCT FROM served.source WHERE r // 16 < served)
 SELECT doc_id, turns.source, CAST(epoch AS BIGINT) AS epoch,
-       CAST((epoch * blocks + r // 16) // share * 1000 + slot AS BIGINT) AS slot, CAST(r % 16 AS INTEGER) AS place
+       CAST((epoch * blocks + r // 16) // share * slots_all + slot AS BIGINT) AS slot, CAST(r % 16 AS INTEGER) AS place
 FROM turns JOIN period ON period.idx = turns.idx AND period.k = (epoch * blocks + r // 16) % share
 """
 

@@ -222,14 +222,14 @@ def repeated_windows(groups: np.ndarray, contexts: list[bytes], windows: np.ndar
     return out
 
 
-def packed_texts(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """``keep`` and ``packed``: whole texts, compressed, so that moving them costs a part of their size."""
+def packed_texts(docs: DataFrame, keep: list[str], text: str = "text", name: str = "packed") -> DataFrame:
+    """``keep`` and ``packed``, or another ``name``: whole texts, compressed, so that moving them costs a part of their size."""
 
     def make():
         press = zstandard.ZstdCompressor(level=3)
         return lambda texts: [[press.compress(t or b"") for t in texts]]
 
-    return with_text_columns(docs, make, "packed binary", "text", keep)
+    return with_text_columns(docs, make, f"`{name}` binary", text, keep)
 
 
 def repeats(keyed: DataFrame) -> DataFrame:
@@ -312,12 +312,13 @@ def without_repeats(docs: DataFrame, text: str = "text", keep: list[str] | None
     """
     new = ("n_bytes", "n_removed", "spans", "kept")
     stay = [c for c in (docs.columns if keep is None else keep) if c != text and c not in new]
+    # Helper columns bear names that no column has; the others keep theirs, as Spark reasons about renamed ones.
+    u, v, packed, found = (name + "_" * (1 + max(map(len, docs.columns))) for name in ("u", "v", "packed", "found"))
     others = [F.col(f"`{c}`") for c in stay]
-    keyed = docs.select(F.xxhash64(*others, F.col(text)).alias("u"), F.xxhash64(F.lit(1), F.col(text), *others).alias("v"), *[c.alias(f"k{i}") for i, c in enumerate(others)], F.col(text).alias("text"))
-    spans = repeats(keyed).groupBy("u", "v").agg(F.collect_list(F.struct("start", "end")).alias("found"))
-
-    whole = packed_texts(keyed, ["u", "v", *[f"k{i}" for i in range(len(stay))]])
-    joined = whole.join(spans, ["u", "v"], "left").select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(stay)], "packed", "found")
+    keyed = docs.select(*others, F.col(text).alias(packed), F.xxhash64(*others, F.col(text)).alias(u), F.xxhash64(F.lit(1), F.col(text), *others).alias(v))
+    spans = repeats(keyed.select(F.col(u).alias("u"), F.col(v).alias("v"), F.col(packed).alias("text"))).groupBy("u", "v").agg(F.collect_list(F.struct("start", "end")).alias(found))
+    whole = packed_texts(keyed, [*stay, u, v], packed, packed)
+    joined = whole.join(spans.withColumnsRenamed({"u": u, "v": v}), [u, v], "left").select(*others, packed, found)
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType, _parse_datatype_string
 

@@ -77,3 +77,19 @@ def test_mix_of_900_skewed_sources_leaves_no_row_out(spark):
     got = mix(docs, tempered_weights(docs, 0.7), ["doc_id"], until="all").collect()
     assert {r.doc_id for r in got} == {i for i, _ in rows}
     assert Counter(r.doc_id for r in got if r.epoch == 0) == Counter(i for i, _ in rows)
+
+
+def test_sql_gives_the_same_mix_for_skewed_sources(spark):
+    """100 sources of which one has very many rows and half have one: the period is longer than that of few sources."""
+    import duckdb
+
+    from panelcal.llm.queries import OP7_SQL
+
+    for sizes in ([6000] + [40] * 50 + [1] * 49, [50] * 30, [900, 3, 2]):
+        rows = [(i, f"s{k:03d}") for i, k in enumerate(k for k, n in enumerate(sizes) for _ in range(n))]
+        docs = spark.createDataFrame(rows, "doc_id long, source string").repartition(4)
+        got = sorted((r.doc_id, r.source, r.epoch, r.slot, r.place) for r in mix(docs, tempered_weights(docs, 0.7), ["doc_id"]).collect())
+        connection = duckdb.connect()
+        connection.execute("CREATE TABLE documents (doc_id BIGINT, source VARCHAR)")
+        connection.execute("INSERT INTO documents SELECT unnest($1), unnest($2)", [[i for i, _ in rows], [s for _, s in rows]])
+        assert got == sorted(connection.execute(OP7_SQL).fetchall())

@@ -168,3 +168,27 @@ def test_columns_of_any_name_stay_as_they_are(spark):
     got = one_per_class(docs)
     assert got.columns == docs.columns
     assert sorted((tuple(r) for r in got.collect()), key=str) == sorted((rows[i] for i in (0, 2, 3)), key=str)
+
+
+def test_stages_and_operators_keep_columns_of_any_name(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from panelcal.llm import mixing, repeats
+
+    names = ["share", "first", "k", "idx", "blocks", "served", "low", "fp", "distinct", "packed", "found", "slot", "place", "epoch", "pii", "score", "predicted", "doc", "h", "id", "of", "row", "__row", "at"]
+    rows, labels = corpus(60)
+    made = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").select("*", *[F.concat(F.lit(c), "doc_id").alias(c) for c in names])
+    made.write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    given = {r.doc_id: tuple(r[c] for c in names) for r in docs.collect()}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns, name
+        found = out.collect()
+        assert found and all(tuple(r[c] for c in names) == given[r.doc_id] for r in found), name
+    kept = [c for c in names if c not in ("slot", "place", "epoch")]
+    for r in mixing.mix(docs, mixing.tempered_weights(docs, 0.7), ["doc_id"]).collect():
+        assert [r[c] for c in kept] == [v for c, v in zip(names, given[r.doc_id]) if c in kept]
+    for r in repeats.without_repeats(docs).collect():
+        assert tuple(r[c] for c in names) == given[r.doc_id]
