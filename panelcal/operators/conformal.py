@@ -169,7 +169,7 @@ def bounded_weights(
     )
 
 
-def cumulative_weights(scores: DataFrame, by: Sequence[str], *, slices: int = 1024) -> DataFrame:
+def cumulative_weights(scores: DataFrame, by: Sequence[str], *, slices: int | None = None) -> DataFrame:
     """Running calibration weight in score order, one step per distinct score."""
     return running_totals(scores.select(*by, "score", "weight"), by, "score", {"weight": "cum_weight"}, slices=slices)
 
@@ -182,7 +182,7 @@ def weighted_quantiles(
     *,
     bounded: bool = False,
     require_finite: bool = True,
-    slices: int = 1024,
+    slices: int | None = None,
 ) -> DataFrame:
     """Pointwise weighted quantile: first score whose running weight reaches
     (1 - alpha)(total + own weight); +inf when none does.

@@ -188,7 +188,7 @@ def bootstrap_intervals(
         if len(entity) != 1:
             raise ContractError("multinomial draws need one entity column")
         base = stored(base, "bootstrap-rows")
-        ordered = distributed_rank(base, keys, entity[0], [], out="_at", slices=64)
+        ordered = distributed_rank(base, keys, entity[0], [], out="_at")
         sizes = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.first("_seed").alias("_seed"))
         picks = (
             sizes.withColumn("_b", draws)

@@ -6,8 +6,9 @@ keep every window bounded:
 * ``order_statistics`` brackets each wanted rank with a quantile sketch, whose rank error is
   guaranteed, counts what lies outside the bracket with a partial aggregate and sorts only
   the few rows inside it. The result is exact; nothing but candidates is shuffled.
-* ``running_totals`` cuts each group at sketch pivots, sums per slice, and runs the window
-  inside a slice. Equal values are merged before the shuffle, so heavy ties cost one row.
+* ``running_totals`` is a parallel prefix scan: equal values merge, range partitions hold the
+  values in order, their sums give each partition of a group its offset, and a window runs
+  inside a partition. ``distributed_rank`` does the same for rows.
 """
 
 from __future__ import annotations
@@ -17,11 +18,10 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelcal.session import cut
+from panelcal.session import stored
 
 GRID = 1000
 ACCURACY = 10000
-SLICES = 1024
 
 
 def _sketch(value: str, steps: range, whole: int, accuracy: int) -> Column:
@@ -108,18 +108,31 @@ def order_statistics(
     return left.join(found, join_keys, "left") if join_keys else left.crossJoin(found)
 
 
-def _slice_of(value: Column, pivots: Column, slices: int) -> Column:
-    """Number of pivots below ``value`` by binary search (pivots sorted, length slices - 1)."""
-    jumps = []
-    step = slices // 2
-    while step >= 1:
-        jumps.append(F.lit(step))
-        step //= 2
-    return F.aggregate(
-        F.array(*jumps),
-        F.lit(0),
-        lambda at, jump: F.when(value > F.element_at(pivots, at + jump), at + jump).otherwise(at),
-    )
+def _in_ranges(rows: DataFrame, order: Sequence[str], slices: int | None) -> DataFrame:
+    """The rows stored in range partitions of ``order``, with the number of each in ``_part``.
+
+    Stored, as every branch of a plan must see the same cuts. Spark sizes the partitions; ``slices`` sets their number.
+    """
+    ranged = rows.repartitionByRange(slices, *order) if slices else rows.repartitionByRange(*order)
+    return stored(ranged.withColumn("_part", F.spark_partition_id()), "ranges")
+
+
+def _with_offsets(placed: DataFrame, by: list[str], sums: dict[str, Column], first: Column | None = None) -> DataFrame:
+    """``placed`` with what each sum comes to in the earlier parts of its group, under the names of ``sums``.
+
+    A group has one row a part here, however many rows it has. ``first``, the least value of a part, gives ``_next_first``, that of the
+    group's next part.
+    """
+    found = placed.groupBy(*by, "_part").agg(*[c.alias(name) for name, c in sums.items()], *([first.alias("_first")] if first is not None else []))
+    along = Window.partitionBy(*by).orderBy("_part")
+    before = along.rowsBetween(Window.unboundedPreceding, -1)
+    ahead = [F.lead("_first").over(along).alias("_next_first")] if first is not None else []
+    keys = [F.col(c).alias(f"_k{i}") for i, c in enumerate([*by, "_part"])]
+    offsets = found.select(*keys, *[F.coalesce(F.sum(name).over(before), F.lit(0)).alias(name) for name in sums], *ahead)
+    same = F.lit(True)
+    for i, c in enumerate([*by, "_part"]):
+        same = same & F.col(c).eqNullSafe(F.col(f"_k{i}"))
+    return placed.join(offsets, same).drop(*[f"_k{i}" for i in range(len(by) + 1)])
 
 
 def running_totals(
@@ -128,35 +141,24 @@ def running_totals(
     value: str,
     totals: dict[str, str],
     *,
-    slices: int = SLICES,
+    slices: int | None = None,
     following: str | None = None,
 ) -> DataFrame:
     """Inclusive running sums per group in value order, one row per distinct value.
 
     ``totals`` maps an input column to its running column. Returns ``by``, ``value``, the
-    per-value sums under their input names, and the running columns. ``slices`` is a power of
-    two; pivots are checkpointed so that every branch of the plan cuts at the same places.
+    per-value sums under their input names, and the running columns. A parallel prefix scan: the merged values lie in
+    range partitions, whose sums give each its offset, so a group of nearly all rows is spread like any other.
     ``following`` names an extra column with the next distinct value of the group.
     """
     by = list(by)
-    if slices & (slices - 1) or slices < 2:
-        raise ValueError("slices must be a power of two, at least 2")
     merged = rows.groupBy(*by, value).agg(*[F.sum(c).alias(c) for c in totals])
-    pivots = cut(rows.groupBy(*by).agg(_sketch(value, range(1, slices), slices, slices * 10).alias("_pivots")))
-    joined = merged.join(pivots, by) if by else merged.crossJoin(pivots)
-    sliced = joined.withColumn("_slice", _slice_of(F.col(value), F.col("_pivots"), slices)).drop("_pivots")
-    per_slice = sliced.groupBy(*by, "_slice").agg(
-        F.min(value).alias("_first"), *[F.sum(c).alias(f"_s_{c}") for c in totals]
-    )
-    before = Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    along = Window.partitionBy(*by).orderBy("_slice")
-    offsets = per_slice.select(
-        *by, "_slice", F.lead("_first").over(along).alias("_next_first"), *[F.coalesce(F.sum(f"_s_{c}").over(before), F.lit(0)).alias(f"_o_{c}") for c in totals]
-    )
-    ordered = Window.partitionBy(*by, "_slice").orderBy(value)
+    placed = _in_ranges(merged, [*by, value], slices)
+    found = _with_offsets(placed, by, {f"_o_{c}": F.sum(c) for c in totals}, F.min(value) if following else None)
+    ordered = Window.partitionBy(*by, "_part").orderBy(value)
     within = ordered.rowsBetween(Window.unboundedPreceding, 0)
     extra = [F.coalesce(F.lead(value).over(ordered), F.col("_next_first")).alias(following)] if following else []
-    return sliced.join(offsets, [*by, "_slice"]).select(
+    return found.select(
         *by,
         value,
         *totals,
@@ -165,7 +167,7 @@ def running_totals(
     )
 
 
-def value_positions(rows: DataFrame, by: Sequence[str], value: str, *, slices: int = SLICES) -> DataFrame:
+def value_positions(rows: DataFrame, by: Sequence[str], value: str, *, slices: int | None = None) -> DataFrame:
     """First and last 1-based position of each distinct value in its sorted group."""
     found = running_totals(
         rows.select(*by, value, F.lit(1).cast("bigint").alias("ties")), by, value, {"ties": "position_max"}, slices=slices
@@ -182,29 +184,19 @@ def distributed_rank(
     tie: Sequence[str],
     *,
     out: str = "rank",
-    slices: int = SLICES,
+    slices: int | None = None,
 ) -> DataFrame:
     """1-based rank of every row, gap free, without a one-task sort.
 
-    Equal values are ordered by the hash of ``tie`` and then by ``tie`` itself, and split by
-    that hash, so a value held by a third of all rows is still spread over many windows.
+    Equal values are ordered by the hash of ``tie`` and then by ``tie`` itself, without tie columns in any order; the rows are
+    cut into ranges of value and hash, so a value held by a third of all rows is still spread over many tasks.
     """
     by = list(by)
-    hashed = F.xxhash64(*tie) if tie else F.lit(0).cast("bigint")
-    keyed = rows.withColumn("_h", F.shiftright(hashed, 52).cast("int"))
-    groups = keyed.groupBy(*by, value, "_h").agg(F.count(F.lit(1)).alias("_c"))
-    # At most 4096 hash parts per value, so this window is bounded.
-    part = Window.partitionBy(*by, value).orderBy("_h").rowsBetween(Window.unboundedPreceding, -1)
-    parts = groups.select(*by, value, "_h", F.coalesce(F.sum("_c").over(part), F.lit(0)).alias("_inside"))
-    positions = value_positions(rows, by, value, slices=slices).select(*by, value, "position_min")
-    inner = Window.partitionBy(*by, value, "_h").orderBy(*([hashed] if tie else []), *(tie or [F.lit(0)]))
-    # Positions meet the parts, of which a value has 4096 at most; the rows meet both by the part.
-    placed = parts.join(positions, [*by, value])
-    return (
-        keyed.join(placed, [*by, value, "_h"])
-        .withColumn(out, F.col("position_min") - 1 + F.col("_inside") + F.row_number().over(inner))
-        .drop("_h", "_inside", "position_min")
-    )
+    keyed = rows.withColumn("_h", F.xxhash64(*tie) if tie else F.monotonically_increasing_id())
+    placed = _in_ranges(keyed, [*by, value, "_h"], slices)
+    inner = Window.partitionBy(*by, "_part").orderBy(value, "_h", *tie)
+    ranked = _with_offsets(placed, by, {"_before": F.count(F.lit(1))}).withColumn(out, F.col("_before") + F.row_number().over(inner))
+    return ranked.drop("_h", "_part", "_before")
 
 
 def grouped_position(
@@ -230,7 +222,7 @@ def grouped_position(
 
 
 def count_and_sum_up_to(
-    points: DataFrame, rows: DataFrame, by: Sequence[str], value: str, *, strict: bool = False, slices: int = SLICES
+    points: DataFrame, rows: DataFrame, by: Sequence[str], value: str, *, strict: bool = False, slices: int | None = None
 ) -> DataFrame:
     """For each distinct (by, value) point: how many rows have ``value <= point`` and their sum.
 
@@ -266,7 +258,7 @@ def first_at_or_above(
     cumulative: str,
     payload: str,
     *,
-    slices: int = SLICES,
+    slices: int | None = None,
 ) -> DataFrame:
     """As-of join: for each threshold row the payload of the first step with cumulative >= threshold.
 

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from decimal import Decimal
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -126,7 +126,7 @@ def quantile_distribution(
     *,
     score: str = "score",
     tie: Sequence[str] = (ENTITY,),
-    slices: int = 1024,
+    slices: int | None = None,
 ) -> DataFrame:
     """Distribution of the calibration quantile; equal doubles merge, one ulp apart stays apart.
 
@@ -151,7 +151,7 @@ def quantile_distribution(
 
 
 def quantile_outcomes(
-    quantiles: DataFrame, evaluation: DataFrame, keys: Sequence[str], *, scale: float, score: str = "score", slices: int = 1024
+    quantiles: DataFrame, evaluation: DataFrame, keys: Sequence[str], *, scale: float, score: str = "score", slices: int | None = None
 ) -> DataFrame:
     """Coverage, width, normalised score and severe flag of each possible quantile.
 
@@ -222,18 +222,8 @@ def weighted_distribution(rows: DataFrame, keys: Sequence[str], *, value: str =
     return rows.groupBy(*keys, F.col(value).alias("value")).agg(F.sum(probability).alias("probability"))
 
 
-def _paired(
-    finite: DataFrame,
-    reference: DataFrame,
-    keys: Sequence[str],
-    ends: tuple[float, float] | None,
-    slices: int | None = None,
-) -> DataFrame:
-    """Union of both supports with the right- and left-limit of each CDF at every point.
-
-    Supports of audit cells are small. ``slices`` runs the running sums slice by slice, for
-    samples with very many distinct values.
-    """
+def _paired(finite: DataFrame, reference: DataFrame, keys: Sequence[str], ends: tuple[float, float] | None) -> DataFrame:
+    """Union of both supports with the right- and left-limit of each CDF at every point, by a parallel prefix scan."""
     keys = list(keys)
 
     def side(rows: DataFrame, f: Column, g: Column) -> DataFrame:
@@ -243,20 +233,8 @@ def _paired(
     if ends:
         marks = finite.select(*keys).distinct().withColumn("value", F.explode(F.array(*[F.lit(e) for e in ends])))
         both = both.unionByName(side(marks, F.lit(0.0), F.lit(0.0)))
-    if slices:
-        return running_totals(both, keys, "value", {"_f": "f", "_g": "g"}, slices=slices, following="following").select(
-            *keys, "value", "f", "g", (F.col("f") - F.col("_f")).alias("f_left"), (F.col("g") - F.col("_g")).alias("g_left"), "following"
-        )
-    points = both.groupBy(*keys, "value").agg(F.sum("_f").alias("_f"), F.sum("_g").alias("_g"))
-    w = Window.partitionBy(*keys).orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    return points.select(
-        *keys,
-        "value",
-        F.sum("_f").over(w).alias("f"),
-        F.sum("_g").over(w).alias("g"),
-        (F.sum("_f").over(w) - F.col("_f")).alias("f_left"),
-        (F.sum("_g").over(w) - F.col("_g")).alias("g_left"),
-        F.lead("value").over(Window.partitionBy(*keys).orderBy("value")).alias("following"),
+    return running_totals(both, keys, "value", {"_f": "f", "_g": "g"}, following="following").select(
+        *keys, "value", "f", "g", (F.col("f") - F.col("_f")).alias("f_left"), (F.col("g") - F.col("_g")).alias("g_left"), "following"
     )
 
 
@@ -273,18 +251,15 @@ def wasserstein_discrete(
     keys: Sequence[str],
     *,
     ends: tuple[float, float] | None = (0.0, 1.0),
-    slices: int | None = None,
 ) -> DataFrame:
     """Integral of the CDF gap; ``ends`` None for unbounded supports."""
-    steps = _paired(finite, reference, keys, ends, slices)
+    steps = _paired(finite, reference, keys, ends)
     area = (F.col("following") - F.col("value")) * F.abs(F.col("f") - F.col("g"))
     return steps.groupBy(*keys).agg(F.coalesce(F.sum(area), F.lit(0.0)).alias("wasserstein_1"))
 
 
 def _cdf_steps(finite: DataFrame, keys: Sequence[str]) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy("value")
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    return finite.withColumn("f", F.sum("probability").over(upto)).withColumn("following", F.lead("value").over(w))
+    return running_totals(finite, keys, "value", {"probability": "f"}, following="following")
 
 
 def beta_distances(finite: DataFrame, reference: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -382,9 +357,7 @@ def discrepancies(
     return declared.join(measured, cells, "left").withColumn("reference", F.coalesce("reference", F.lit("not_evaluated")))
 
 
-def empirical_wasserstein(
-    left: DataFrame, right: DataFrame, keys: Sequence[str], value: str, *, slices: int | None = 1024
-) -> DataFrame:
+def empirical_wasserstein(left: DataFrame, right: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Wasserstein-1 between two equally weighted samples."""
 
     def sample(rows: DataFrame) -> DataFrame:
@@ -393,7 +366,7 @@ def empirical_wasserstein(
         joined = counts.join(total, list(keys)) if keys else counts.crossJoin(total)
         return joined.select(*keys, "value", (F.col("_c") / F.col("_t")).alias("probability"))
 
-    return wasserstein_discrete(sample(left), sample(right), keys, ends=None, slices=slices)
+    return wasserstein_discrete(sample(left), sample(right), keys, ends=None)
 
 
 def tie_diagnostics(rows: DataFrame, keys: Sequence[str], *, score: str = "score") -> DataFrame:

@@ -101,7 +101,7 @@ def audit_quantile_distribution(spark, sf_dir):
     store = base.event_predictions(spark, sf_dir).filter(F.col("role") == split.CALIBRATION)
     sizes = store.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("reservoir_size"))
     grid = reservoir.cell_grid(reservoir.declared_cells(spark, CELLS), sizes)
-    found = reservoir.quantile_distribution(store, grid, KEYS, slices=64)
+    found = reservoir.quantile_distribution(store, grid, KEYS)
     return found.select(
         *KEYS, "cell_id", "role", "n_cal", "alpha", r("quantile"), "position_min", "position_max", "position_multiplicities",
         F.col("multiplicity").cast("string").alias("multiplicity"),
@@ -256,4 +256,4 @@ def cut_cycle_wasserstein(spark, sf_dir):
     """Observed-cycle gap between calibration prefixes and evaluation prefixes."""
     rows = base.event_predictions(spark, sf_dir).filter(F.col("model") == "mean").select("seed", "role", ENTITY, "cycle")
     left, right = rows.filter(F.col("role") == split.CALIBRATION), rows.filter(F.col("role") == split.VALIDATION)
-    return reservoir.empirical_wasserstein(left, right, ["seed"], "cycle", slices=64).select("seed", r("wasserstein_1"))
+    return reservoir.empirical_wasserstein(left, right, ["seed"], "cycle").select("seed", r("wasserstein_1"))

@@ -120,7 +120,7 @@ def _weighted_sides(spark, sf_dir):
 def _weighted(spark, sf_dir, bounded):
     scores, targets = _weighted_sides(spark, sf_dir)
     found = conformal.weighted_quantiles(
-        scores, targets.drop("score"), CELL, base.ALPHAS, bounded=bounded, require_finite=False, slices=64
+        scores, targets.drop("score"), CELL, base.ALPHAS, bounded=bounded, require_finite=False
     )
     return found.select(*CELL, "alpha", ENTITY, r("weight"), r("quantile"))
 
@@ -157,7 +157,7 @@ def weight_diagnostics(spark, sf_dir):
 )
 def cumulative_weights(spark, sf_dir):
     scores, _ = _weighted_sides(spark, sf_dir)
-    return conformal.cumulative_weights(scores, CELL, slices=64).select(*CELL, r("score"), r("cum_weight"))
+    return conformal.cumulative_weights(scores, CELL).select(*CELL, r("score"), r("cum_weight"))
 
 
 @register(

@@ -336,7 +336,7 @@ def audit_grid(predictions: DataFrame, cells: DataFrame, keys: Sequence[str]) ->
 
 
 def audit_outcomes(
-    predictions: DataFrame, grid: DataFrame, keys: Sequence[str], *, scale: float = RUL_CAP, slices: int = 64
+    predictions: DataFrame, grid: DataFrame, keys: Sequence[str], *, scale: float = RUL_CAP, slices: int | None = None
 ) -> DataFrame:
     """Every possible quantile with its probability and its outcome on the validation rows."""
     store = predictions.filter(F.col("role") == split.CALIBRATION)
@@ -348,7 +348,7 @@ def audit_outcomes(
 
 
 def reservoir_audit(
-    predictions: DataFrame, cells: DataFrame, keys: Sequence[str], *, scale: float = RUL_CAP, slices: int = 64
+    predictions: DataFrame, cells: DataFrame, keys: Sequence[str], *, scale: float = RUL_CAP, slices: int | None = None
 ) -> dict[str, DataFrame]:
     """All tables of the exact audit: the calibration rows are the reservoir, validation evaluates."""
     grid = audit_grid(predictions, cells, keys)

@@ -114,3 +114,35 @@ def test_a_value_of_nearly_all_rows_is_spread_over_tasks(spark):
         for k, v in saved.items():
             spark.conf.set(k, v)
     assert got == list(range(1, 40_001))
+
+
+def test_a_group_of_nearly_all_rows_is_spread_over_tasks(spark):
+    """Broadcasts and re-planning off: the running totals of a group of 99% of all distinct values lie in many tasks."""
+    rows = spark.range(40_000).select(F.when(F.col("id") % 100 == 0, F.col("id")).otherwise(7).alias("g"), F.col("id").alias("v"), F.lit(1).cast("bigint").alias("w"))
+    saved = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    try:
+        for k, v in {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "16"}.items():
+            spark.conf.set(k, v)
+        found = ranks.running_totals(rows, ["g"], "v", {"w": "upto"}, following="after")
+        sizes = [r[1] for r in found.groupBy(F.spark_partition_id()).count().collect()]
+        assert max(sizes) < 40_000 / 3
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        hot = found.where("g = 7").orderBy("v").collect()
+        untied = ranks.distributed_rank(rows.select("g"), [], "g", [])
+        assert max(r[1] for r in untied.groupBy(F.spark_partition_id()).count().collect()) < 40_000 / 3
+        assert sorted(r[0] for r in untied.select("rank").collect()) == list(range(1, 40_001))
+    finally:
+        for k, v in saved.items():
+            spark.conf.set(k, v)
+    assert [r.upto for r in hot] == list(range(1, len(hot) + 1)) and [r.after for r in hot] == [r.v for r in hot[1:]] + [None]
+    # What is exchanged on the group alone is one row a part: its sums.
+    exchanged = [line for line in plan.splitlines() if "Exchange hashpartitioning(g#" in line and "_part" not in line.split("hashpartitioning(")[1].split(")")[0]]
+    assert len(exchanged) == 1
+
+
+def test_null_groups_and_values_keep_their_place(spark):
+    rows = spark.createDataFrame([(None, 1.0, 1), (None, 2.0, 1), ("a", 1.0, 1), ("a", None, 1)], "g string, v double, w long")
+    got = {(r.g, r.v): r.upto for r in ranks.running_totals(rows, ["g"], "v", {"w": "upto"}).collect()}
+    assert got == {(None, 1.0): 1, (None, 2.0): 2, ("a", None): 1, ("a", 1.0): 2}
+    assert ranks.running_totals(rows.limit(0), ["g"], "v", {"w": "upto"}).count() == 0
+    assert ranks.distributed_rank(rows.limit(0), ["g"], "v", []).count() == 0
