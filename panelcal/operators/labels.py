@@ -51,13 +51,6 @@ def endpoints_at(panel: DataFrame, cuts: DataFrame, by: Sequence[str] = (ENTITY,
     return panel.join(cuts, list(by)).filter(hit)
 
 
-def attach_truth(
-    rows: DataFrame, labelled: DataFrame, by: Sequence[str] = (ENTITY,), *, how: str = "left"
-) -> DataFrame:
-    """Truth of the full trajectory onto prefix endpoints, on (entity, cycle)."""
-    return rows.join(labelled.select(*by, CYCLE, "rul_raw", "rul_capped"), [*by, CYCLE], how)
-
-
 def score_endpoints(rows: DataFrame, *, cap: int = RUL_CAP, prediction: str = "pred_raw") -> DataFrame:
     """Clipped centre and absolute residual of the capped truth from it."""
     return rows.withColumn("pred", clip(prediction, 0.0, float(cap))).withColumn(

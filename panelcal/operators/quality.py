@@ -122,24 +122,6 @@ def unmatched(left: DataFrame, right: DataFrame, keys: Sequence[str], rule: str)
     return both.groupBy("rule").agg(F.sum("n_bad").alias("n_bad"))
 
 
-def mass_rules(distribution: DataFrame, cell: Sequence[str], *, tolerance: float = 1e-12) -> DataFrame:
-    """Probabilities sum to one; integer multiplicities sum to the number of subsets where that is known."""
-    sums = distribution.groupBy(*cell).agg(
-        F.sum("probability").alias("p"),
-        F.sum("multiplicity").alias("m"),
-        F.max("combination_count").alias("c"),
-        F.count_if(F.col("probability") < 0).alias("negative"),
-    )
-    return check(
-        sums,
-        {
-            "mass sums to one": F.abs(F.col("p") - 1.0) > tolerance,
-            "no negative mass": F.col("negative") > 0,
-            "multiplicities sum to the subset count": F.coalesce(F.col("m") != F.col("c"), F.col("c").isNotNull()),
-        },
-    )
-
-
 def differs(stored: Column, again: Column, *, tolerance: float = 1e-11) -> Column:
     """Bad: a stored metric that its recomputation does not reproduce."""
     gap = F.greatest(tolerance * F.greatest(F.abs(stored), F.abs(again)), F.lit(tolerance))

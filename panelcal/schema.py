@@ -33,14 +33,6 @@ def require(df: DataFrame, columns: Iterable[str]) -> None:
         raise ContractError(f"missing columns: {sorted(missing)}")
 
 
-def check_raw_columns(df: DataFrame, keys: Sequence[str] = (ENTITY, CYCLE)) -> None:
-    """Raw panels hold keys, settings and sensors only."""
-    require(df, [*keys, *SETTINGS])
-    extra = set(df.columns) - {*keys, *SETTINGS, *SENSORS}
-    if extra:
-        raise ContractError(f"columns outside the panel contract: {sorted(extra)}")
-
-
 def check_feature_columns(df: DataFrame, features: Sequence[str]) -> None:
     """Model inputs: no identifier, only contract names, numeric types."""
     require(df, features)
@@ -62,4 +54,4 @@ def check_same_features(fitted: Sequence[str], given: Sequence[str]) -> None:
     """The columns at transform time are those of the fit."""
     missing, extra = set(fitted) - set(given), set(given) - set(fitted)
     if missing or extra:
-        raise ContractError(f"the fit has columns {sorted(missing)} that these rows lack, and lacks their {sorted(extra)}")
+        raise ContractError(f"columns of the fit that are missing here: {sorted(missing)}; columns here that the fit did not have: {sorted(extra)}")
