@@ -9,9 +9,10 @@ cells of all reservoirs go through one plan.
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Sequence
-from decimal import Decimal
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,9 +35,11 @@ from panelcal.session import local_rows, stored
 EVALUATED = "evaluate"
 EXCLUDED_UNATTAINABLE = "excluded_unattainable"
 EXCLUDED_DEGENERATE = "excluded_degenerate"
-DECIMAL_DIGITS = 38
-EXACT, BEYOND_DECIMAL = "exact", "beyond_decimal"
-LISTED = 120  # reservoirs of up to so many scores get their positions listed one by one
+#: Exact counts have up to so many digits: those of reservoirs of some ten thousand scores.
+MAX_DIGITS = 3000
+#: Digits of a limb; sums of limbs of 10^20 rows fit DECIMAL(38, 0).
+LIMB = 15
+EXACT, BEYOND_DIGITS = "exact", "beyond_digits"
 ENDPOINTS = 100  # fixed value: evaluation endpoints of the beta-binomial reference
 CELL_SCHEMA = "role string, n_cal bigint, alpha double"
 
@@ -73,28 +76,69 @@ def cell_grid(cells: DataFrame, sizes: DataFrame) -> DataFrame:
     )
     count = F.when(evaluated, exact_choose("reservoir_size", "n_cal"))
     return grid.withColumn("combination_count", count).withColumn(
-        "combination_status", F.when(evaluated, F.when(F.col("combination_count").isNull(), BEYOND_DECIMAL).otherwise(EXACT))
+        "combination_status", F.when(evaluated, F.when(F.col("combination_count").isNull(), BEYOND_DIGITS).otherwise(EXACT))
     )
 
 
-@F.pandas_udf(T.DecimalType(38, 0))
+def log10_choose(m: int, k: int) -> float:
+    return (math.lgamma(m + 1) - math.lgamma(k + 1) - math.lgamma(m - k + 1)) / math.log(10)
+
+
+@F.pandas_udf(T.StringType())
 def exact_choose(m: pd.Series, k: pd.Series) -> pd.Series:
-    """C(m, k) as DECIMAL(38, 0); null where it does not fit, whatever m is."""
+    """C(m, k) as decimal text; null where it has more than ``MAX_DIGITS`` digits, which its logarithm tells before it is made."""
+    sys.set_int_max_str_digits(0)
 
-    def choose(m: int, k: int) -> Decimal | None:
+    def choose(m: int, k: int) -> str | None:
         if not 0 <= k <= m:
-            return Decimal(0)
-        # Decided on logarithms first, so that no number of thousands of digits is made.
-        if math.lgamma(m + 1) - math.lgamma(k + 1) - math.lgamma(m - k + 1) > math.log(10) * DECIMAL_DIGITS + 1:
-            return None
-        found = math.comb(m, k)
-        return Decimal(found) if found < 10**DECIMAL_DIGITS else None
+            return "0"
+        return str(math.comb(m, k)) if log10_choose(m, k) <= MAX_DIGITS else None
 
     return pd.Series([None if pd.isna(a) or pd.isna(b) else choose(int(a), int(b)) for a, b in zip(m, k, strict=True)], dtype=object)
 
 
+@F.pandas_udf(T.StructType([T.StructField("limbs", T.ArrayType(T.LongType())), T.StructField("probability", T.DoubleType())]))
+def exact_mass(position: pd.Series, rank: pd.Series, n: pd.Series, size: pd.Series) -> pd.DataFrame:
+    """C(position - 1, rank - 1) C(size - position, n - rank) in limbs of ``LIMB`` digits, least first, and its exact share of C(size, n).
+
+    Along a cell's positions each number follows from the one before by one product and one exact division, so a batch
+    makes few of them anew. Null where the subset count has more than ``MAX_DIGITS`` digits.
+    """
+    limbs: list[list[int] | None] = [None] * len(position)
+    shares = np.full(len(position), np.nan)
+    columns = [c.to_numpy("int64") for c in (size, n, rank, position)]
+    cell, count, last, value = None, 0, 0, 0
+    base = 10**LIMB
+    for i in np.lexsort(columns[::-1]):
+        z, m, r, k = (int(c[i]) for c in columns)
+        if (z, m, r) != cell:
+            cell, last = (z, m, r), 0
+            count = math.comb(z, m) if log10_choose(z, m) <= MAX_DIGITS else 0
+        if not count:
+            continue
+        if last and k == last + 1:
+            value = value * (k - 1) * (z - k + 1 - m + r) // ((k - r) * (z - k + 1))
+        else:
+            value = math.comb(k - 1, r - 1) * math.comb(z - k, m - r)
+        last = k
+        shares[i] = value / count
+        parts, rest = [], value
+        while rest:
+            rest, low = divmod(rest, base)
+            parts.append(low)
+        limbs[i] = parts or [0]
+    return pd.DataFrame({"limbs": limbs, "probability": shares})
+
+
+@F.pandas_udf(T.StringType())
+def whole_text(limbs: pd.Series) -> pd.Series:
+    """Decimal text of numbers in limbs, each of which may be a sum beyond its base."""
+    sys.set_int_max_str_digits(0)
+    return pd.Series([None if x is None else str(sum(int(v) * 10 ** (LIMB * i) for i, v in enumerate(x))) for x in limbs], dtype=object)
+
+
 def position_masses(positions: DataFrame, grid: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Probability (and exact multiplicity wherever the number of subsets fits DECIMAL(38, 0)) of every support position.
+    """Probability and multiplicity (``limbs``) of every support position; both are exact where the number of subsets has up to ``MAX_DIGITS`` digits.
 
     ``positions`` holds the reservoir keys and ``position``; its rows meet the declared cells by
     broadcast, so the work is spread like the reservoir itself.
@@ -103,20 +147,16 @@ def position_masses(positions: DataFrame, grid: DataFrame, keys: Sequence[str])
     cells = [*keys, "cell_id"]
     evaluated = grid.filter(F.col("status") == EVALUATED)
     joined = positions.join(evaluated, list(keys)) if keys else positions.crossJoin(F.broadcast(evaluated))
-    logged = joined.filter(k.between(F.col("support_position_min"), F.col("support_position_max"))).withColumn(
-        "_l", ln_choose(k - 1, r - 1) + ln_choose(size - k, n - r)
-    )
-    # Normalising by the sum removes the common rounding of large factorials.
+    held = joined.filter(k.between(F.col("support_position_min"), F.col("support_position_max")))
+    exact = F.col("combination_count").isNotNull()
+    # Beyond that many digits: logarithms, and normalising by the sum removes the common rounding of large factorials.
+    logged = held.withColumn("_l", F.when(~exact, ln_choose(k - 1, r - 1) + ln_choose(size - k, n - r)))
     peak = logged.groupBy(*cells).agg(F.max("_l").alias("_peak"))
     raw = logged.join(peak, cells).withColumn("_w", F.exp(F.col("_l") - F.col("_peak")))
     mass = raw.groupBy(*cells).agg(F.sum("_w").alias("_sum"))
-    exact = F.col("combination_count").isNotNull()
-    out = raw.join(mass, cells).withColumn("_c1", exact_choose(k - 1, r - 1)).withColumn("_c2", exact_choose(size - k, n - r))
-    multiplicity = F.when(exact, (F.col("_c1") * F.col("_c2")).cast("decimal(38,0)"))
-    probability = F.when(
-        exact, multiplicity.cast("double") / F.col("combination_count").cast("double")
-    ).otherwise(F.col("_w") / F.col("_sum"))
-    return out.select(*joined.columns, multiplicity.alias("multiplicity"), probability.alias("probability"))
+    out = raw.join(mass, cells).withColumn("_e", exact_mass(k, r, n, size))
+    probability = F.when(exact, F.col("_e.probability")).otherwise(F.col("_w") / F.col("_sum"))
+    return out.select(*joined.columns, F.when(exact, F.col("_e.limbs")).alias("limbs"), probability.alias("probability"))
 
 
 def quantile_distribution(
@@ -130,24 +170,33 @@ def quantile_distribution(
 ) -> DataFrame:
     """Distribution of the calibration quantile; equal doubles merge, one ulp apart stays apart.
 
-    ``multiplicity`` is exact wherever the number of subsets fits DECIMAL(38, 0), whatever the reservoir's size.
-    ``position_multiplicities`` lists them by position for reservoirs of up to ``LISTED`` scores, so the list is bounded.
+    ``multiplicity`` and ``combination_count`` are decimal text, exact up to ``MAX_DIGITS`` digits (a reservoir of some ten thousand scores) and
+    null beyond; ``position_multiplicities`` lists the multiplicity of each position. Multiplicities of equal scores are
+    summed limb by limb, so they combine before the shuffle.
     """
     keys = list(keys)
     values = reservoir.select(*keys, *tie, F.col(score).cast("double").alias("quantile"))
     positions = distributed_rank(values, keys, "quantile", tie, out="position", slices=slices).drop(*tie)
-    masses = position_masses(positions, grid, keys)
-    entry = F.struct(F.col("position").cast("string").alias("key"), F.col("multiplicity").alias("value"))
-    return masses.groupBy(*keys, "cell_id", "role", "n_cal", "alpha", "quantile").agg(
+    masses = stored(position_masses(positions, grid, keys), "position-masses")
+    group = [*keys, "cell_id", "role", "n_cal", "alpha", "quantile"]
+    found = masses.groupBy(*group).agg(
         F.min("position").alias("position_min"),
         F.max("position").alias("position_max"),
-        F.to_json(
-            F.map_from_entries(F.sort_array(F.collect_list(F.when(F.col("multiplicity").isNotNull() & (F.col("reservoir_size") <= LISTED), entry))))
-        ).alias("position_multiplicities"),
-        F.sum("multiplicity").cast("decimal(38,0)").alias("multiplicity"),
         F.max("combination_count").alias("combination_count"),
         F.sum("probability").alias("probability"),
     )
+    each = masses.where("limbs is not null").select(*group, F.posexplode("limbs").alias("_i", "_v"))
+    sums = each.groupBy(*group, "_i").agg(F.sum(F.col("_v").cast("decimal(38,0)")).cast("decimal(38,0)").alias("_v"))
+    whole = sums.groupBy(*group).agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_v"))), lambda x: x["_v"]).alias("_limbs"))
+    # Positions without a number in exact limbs have no list.
+    entry = F.struct(F.col("position").cast("string").alias("p"), whole_text("limbs").alias("t"))
+    listed = masses.where("limbs is not null").select(*group, entry.alias("e")).groupBy(*group).agg(F.array_sort(F.collect_list("e")).alias("e"))
+    # Numbers of any length, so the text of the list is put together here.
+    members = F.transform("e", lambda x: F.concat(F.lit('"'), x["p"], F.lit('":'), x["t"]))
+    texts = listed.select(*group, F.concat(F.lit("{"), F.array_join(members, ","), F.lit("}")).alias("position_multiplicities"))
+    summed = whole.select(*group, whole_text("_limbs").alias("multiplicity"))
+    joined = found.join(summed, group, "left").join(texts, group, "left")
+    return joined.select(*group, "position_min", "position_max", F.coalesce("position_multiplicities", F.lit("{}")).alias("position_multiplicities"), "multiplicity", "combination_count", "probability")
 
 
 def quantile_outcomes(

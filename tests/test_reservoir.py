@@ -54,14 +54,14 @@ def test_supports_and_exclusions(spark):
         assert abs(r.p - 1) <= 1e-12
 
 
-def test_log_space_beyond_the_decimal_limit(spark):
+def test_exact_counts_beyond_the_digits_of_a_decimal(spark):
     _, dist = audit(spark, range(400), [("p", 100, 0.1)])
     rows = dist.collect()
     rank = math.ceil(101 * 0.9)
     for r in rows[::25]:
         k = r.position_min
         exact = math.comb(k - 1, rank - 1) * math.comb(400 - k, 100 - rank) / math.comb(400, 100)
-        assert r.probability == pytest.approx(exact, rel=1e-9) and r.multiplicity is None
+        assert r.probability == pytest.approx(exact, rel=1e-15) and int(r.multiplicity) == math.comb(k - 1, rank - 1) * math.comb(400 - k, 100 - rank)
     assert abs(sum(r.probability for r in rows) - 1) <= 1e-12
 
 
@@ -134,12 +134,13 @@ def test_empirical_wasserstein(spark):
     left = spark.createDataFrame([(1.0,), (3.0,)], "v double")
     right = spark.createDataFrame([(2.0,), (2.0,), (6.0,)], "v double")
     x, y = np.repeat([1.0, 3.0], 3), np.repeat([2.0, 2.0, 6.0], 2)
-    got = res.empirical_wasserstein(left, right, [], "v", slices=4).first().wasserstein_1
+    got = res.empirical_wasserstein(left, right, [], "v").first().wasserstein_1
     assert got == pytest.approx(np.mean(np.abs(np.sort(x) - np.sort(y))))
 
 
 def test_exact_multiplicities_of_a_large_reservoir(spark):
-    """C(1000, 5) fits DECIMAL(38, 0), C(1000, 400) does not: the first is exact, the second says so."""
+    """C(1000, 5) has 12 digits, C(1000, 400) has 291: both are exact, and so is each position's number."""
+    import json
     from math import comb
 
     store = spark.createDataFrame([(i, float(i // 2)) for i in range(1000)], "entity_id long, score double")
@@ -147,7 +148,7 @@ def test_exact_multiplicities_of_a_large_reservoir(spark):
     sizes = spark.createDataFrame([(1000,)], "reservoir_size long")
     grid = res.cell_grid(cells, sizes)
     status = {r.n_cal: (r.combination_count, r.combination_status) for r in grid.collect()}
-    assert int(status[5][0]) == comb(1000, 5) and status[5][1] == "exact" and status[400] == (None, "beyond_decimal")
+    assert int(status[5][0]) == comb(1000, 5) and status[5][1] == "exact" and status[400] == (str(comb(1000, 400)), "exact")
     found = res.quantile_distribution(store, grid, []).collect()
     small = {r["quantile"]: r for r in found if r.n_cal == 5}
     rank = 4
@@ -155,4 +156,22 @@ def test_exact_multiplicities_of_a_large_reservoir(spark):
         positions = [p for p in (2 * int(q) + 1, 2 * int(q) + 2) if rank <= p <= 1000 - 5 + rank]
         assert int(row.multiplicity) == sum(comb(p - 1, rank - 1) * comb(1000 - p, 5 - rank) for p in positions)
     assert sum(int(r.multiplicity) for r in small.values()) == comb(1000, 5)
-    assert abs(sum(r.probability for r in found if r.n_cal == 400) - 1) < 1e-9
+    large = {r["quantile"]: r for r in found if r.n_cal == 400}
+    rank = math.ceil(401 * 0.9)
+    for q, row in large.items():
+        want = {p: comb(p - 1, rank - 1) * comb(1000 - p, 400 - rank) for p in (2 * int(q) + 1, 2 * int(q) + 2) if rank <= p <= 600 + rank}
+        assert int(row.multiplicity) == sum(want.values()) and {int(k): int(v) for k, v in json.loads(row.position_multiplicities).items()} == want
+        assert row.probability == pytest.approx(sum(want.values()) / comb(1000, 400), rel=1e-14)
+    assert sum(int(r.multiplicity) for r in large.values()) == comb(1000, 400)
+    assert all(r.multiplicity is not None and r.combination_count is not None for r in found)
+
+
+def test_counts_of_more_digits_than_are_held(spark, monkeypatch):
+    """Beyond MAX_DIGITS the subset count says so, and probabilities come from logarithms."""
+    sizes = spark.createDataFrame([(20_000,)], "reservoir_size long")
+    grid = res.cell_grid(res.declared_cells(spark, [("p", 9_000, 0.1)]), sizes)
+    row = grid.first()
+    assert row.combination_count is None and row.combination_status == "beyond_digits"
+    store = spark.range(20_000).select(F.col("id").alias("entity_id"), F.floor(F.col("id") / 500).cast("double").alias("score"))
+    found = res.quantile_distribution(store, grid, []).collect()
+    assert abs(sum(r.probability for r in found) - 1) < 1e-9 and all(r.multiplicity is None and r.position_multiplicities == "{}" for r in found)
