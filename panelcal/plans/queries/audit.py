@@ -137,20 +137,34 @@ def audit_beta_binomial(spark, sf_dir):
     return found.select(*KEYS, "cell_id", "covered_endpoints", r("coverage"), r("probability", 9))
 
 
+#: Quantiles of the Beta reference by halving its binomial tail.
+_HALVED = """
+halved AS (
+  SELECT seed, model, cell_id, CAST(rk AS BIGINT) AS r, CAST(n_cal AS BIGINT) AS n, CAST(p AS DOUBLE) AS target, CAST(0 AS DOUBLE) AS lo, CAST(1 AS DOUBLE) AS hi, 0 AS i
+  FROM cellgrid CROSS JOIN (VALUES (0.05), (0.1)) t(p) WHERE status = 'evaluate'
+  UNION ALL
+  SELECT seed, model, cell_id, r, n, target, CASE WHEN tail < target THEN mid ELSE lo END, CASE WHEN tail < target THEN hi ELSE mid END, i + 1
+  FROM (SELECT *, (lo + hi) / 2 AS mid, list_sum([exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1)
+      + j * ln((lo + hi) / 2) + (n - j) * ln(1 - (lo + hi) / 2)) FOR j IN range(r, n + 1)]) AS tail FROM halved WHERE i < 50))
+"""
+
+
 @register(
     "audit_beta_reference",
     sql.query(
-        _AUDIT,
+        [*_AUDIT, _HALVED],
         f"""SELECT g.seed, g.model, g.cell_id, rk AS a, n_cal + 1 - rk AS b, {sql.r('rk / CAST(n_cal + 1 AS DOUBLE)', 9)} AS mean,
         {sql.r('sqrt(rk * (n_cal + 1 - rk) / ((n_cal + CAST(1 AS DOUBLE)) * (n_cal + 1) * (n_cal + 2)))', 9)} AS population_sd,
         {sql.r('''(SELECT sum(exp(lgamma(n_cal + 1) - lgamma(j + 1) - lgamma(n_cal - j + 1) + j * ln(1 - alpha - 0.1) + (n_cal - j) * ln(1 - (1 - alpha - 0.1))))
-          FROM (SELECT range AS j FROM range(101)) WHERE j BETWEEN rk AND n_cal)''', 9)} AS severe_probability
+          FROM (SELECT range AS j FROM range(101)) WHERE j BETWEEN rk AND n_cal)''', 9)} AS severe_probability,
+        {sql.r("(SELECT (lo + hi) / 2 FROM halved h WHERE h.i = 50 AND h.target = 0.05 AND h.seed = g.seed AND h.model = g.model AND h.cell_id = g.cell_id)", 9)} AS quantile_05,
+        {sql.r("(SELECT (lo + hi) / 2 FROM halved h WHERE h.i = 50 AND h.target = 0.1 AND h.seed = g.seed AND h.model = g.model AND h.cell_id = g.cell_id)", 9)} AS quantile_10
         FROM cellgrid g WHERE status = 'evaluate'""",
-    ),
+    ).replace("WITH ", "WITH RECURSIVE ", 1),
 )
 def audit_beta_reference(spark, sf_dir):
     found = reservoir.beta_reference(_grid(spark, sf_dir), KEYS)
-    return found.select(*KEYS, "cell_id", "a", "b", r("mean", 9), r("population_sd", 9), r("severe_probability", 9))
+    return found.select(*KEYS, "cell_id", "a", "b", r("mean", 9), r("population_sd", 9), r("severe_probability", 9), r("quantile_05", 9), r("quantile_10", 9))
 
 
 _DISTANCES = """
