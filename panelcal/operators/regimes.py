@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 
+from pyspark.ml import Estimator, Model
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.param import Param, Params, TypeConverters
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -87,6 +91,19 @@ class RegimeScaler:
         check_same_features([*self.features, *keep], rows.columns)
         return scale_by_regime(self.assign(rows), self.statistics, self.features)
 
+    def to_text(self) -> str:
+        """The fit as text that ``from_text`` reads back bit for bit."""
+        return json.dumps(asdict(self))
+
+    @staticmethod
+    def from_text(text: str) -> RegimeScaler:
+        held = json.loads(text)
+        pairs = lambda table: {k: tuple(v) for k, v in table.items()}
+        held["setting_scaling"] = pairs(held["setting_scaling"])
+        held["statistics"] = {int(k): pairs(v) for k, v in held["statistics"].items()}
+        held["silhouettes"] = {int(k): v for k, v in held["silhouettes"].items()}
+        return RegimeScaler(**held)
+
 
 def _statistics(rows: DataFrame, features: Sequence[str]) -> dict[int, dict[str, tuple[float, float]]]:
     out: dict[int, dict[str, tuple[float, float]]] = {}
@@ -150,3 +167,47 @@ def fit_regime_scaler(
     fitted = RegimeScaler(features, settings, setting_scaling, centres, {}, None, scores)
     fitted.statistics = _statistics(fitted.assign(rows), features)
     return fitted
+
+
+class _RegimeParams(Params):
+    featureCols = Param(Params._dummy(), "featureCols", "columns to scale", TypeConverters.toListString)
+    settingCols = Param(Params._dummy(), "settingCols", "operating settings", TypeConverters.toListString)
+    keepCols = Param(Params._dummy(), "keepCols", "columns that are carried along", TypeConverters.toListString)
+    nRegimes = Param(Params._dummy(), "nRegimes", "number of regimes, 0 to search", TypeConverters.toInt)
+    seed = Param(Params._dummy(), "seed", "seed of the clustering", TypeConverters.toInt)
+    fitted = Param(Params._dummy(), "fitted", "centres and statistics of the fit", TypeConverters.toString)
+
+    def _defaults(self) -> None:
+        self._setDefault(settingCols=list(SETTINGS), keepCols=[], nRegimes=0, seed=13)
+
+
+class RegimeScaling(Estimator, _RegimeParams, DefaultParamsReadable, DefaultParamsWritable):
+    """``fit_regime_scaler`` as an estimator, so that the scaler has its place in a pipeline and on disk."""
+
+    def __init__(self, **params) -> None:
+        super().__init__()
+        self._defaults()
+        self._set(**params)
+
+    def _fit(self, dataset: DataFrame) -> RegimeScalingModel:
+        get = self.getOrDefault
+        scaler = fit_regime_scaler(dataset, get("featureCols"), settings=get("settingCols"), n_regimes=get("nRegimes") or None, seed=get("seed"))
+        model = RegimeScalingModel()
+        self._copyValues(model)
+        model._set(fitted=scaler.to_text())
+        return model
+
+
+class RegimeScalingModel(Model, _RegimeParams, DefaultParamsReadable, DefaultParamsWritable):
+    """Scales with the centres and statistics of the fit, which are written and read with it."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self._defaults()
+
+    @property
+    def scaler(self) -> RegimeScaler:
+        return RegimeScaler.from_text(self.getOrDefault("fitted"))
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        return self.scaler.transform(dataset, [*self.getOrDefault("keepCols"), *[c for c in self.getOrDefault("settingCols") if c not in self.getOrDefault("featureCols")]])

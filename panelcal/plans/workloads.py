@@ -16,9 +16,9 @@ from panelcal.functions.expressions import RUL_CAP, clip
 from panelcal.operators import adaptive, conformal, models, reporting, reservoir, split, weights
 from panelcal.operators.features import feature_names, kept_sensors, sensor_variances, temporal_features
 from panelcal.operators.labels import endpoints_at, last_cycles, score_endpoints
-from panelcal.operators.regimes import RegimeScaler, fit_regime_scaler, scale_by_regime
+from panelcal.operators.regimes import RegimeScaler, RegimeScaling, RegimeScalingModel, scale_by_regime
 from panelcal.schema import CYCLE, ENTITY, SETTINGS
-from panelcal.session import stored
+from panelcal.session import scratch_path, stored
 
 CELL = ["seed", "condition", "model"]
 
@@ -306,13 +306,15 @@ def quantile_band_conformal(
 def regime_models(
     features: DataFrame, names: Sequence[str], design: Design, *, boosting: dict | None = None, name: str = "regimes"
 ) -> tuple[DataFrame, dict[int, RegimeScaler]]:
-    """Point models on regime-scaled features; scaler and models see training entities only."""
+    """Point models on regime-scaled features; scaler and models see training entities only. Scalers are applied as read back."""
     ends = prepare_endpoints(features, design, name=name)
     train = training_rows(features.drop("next_cycle"), ends.roles, entity_lives(features), grid_table(features, design))
     out, scalers = None, {}
     for seed in design.seeds:
         fit_on = stored(train.filter(F.col("seed") == seed).select(*names, "rul_capped"), f"{name}-training")
-        scalers[seed] = fit_regime_scaler(fit_on, names, seed=int(seed))
+        path = scratch_path(features.sparkSession, f"{name}-scaler")
+        RegimeScaling(featureCols=list(names), seed=int(seed)).fit(fit_on).write().save(path)
+        scalers[seed] = RegimeScalingModel.load(path).scaler
         scaled = scalers[seed].transform(fit_on, keep=["rul_capped"])
         fitted = models.fit_point_models(stored(scaled.drop("regime"), f"{name}-scaled"), names, boosting=boosting)
         rows = ends.rows.filter(F.col("seed") == seed)

@@ -109,3 +109,22 @@ def test_regimes_and_fallbacks(spark):
     with pytest.raises(ContractError):
         fitted.transform(df.drop("sensor_1"))
     assert regimes.choose_regimes({2: 0.5, 3: 0.7, 4: 0.7}) == 3 and regimes.choose_regimes({}) is None
+
+
+def test_a_written_regime_scaler_reads_back_bit_for_bit(spark, tmp_path):
+    from panelcal.operators.regimes import RegimeScaling, RegimeScalingModel, fit_regime_scaler
+
+    rows = spark.createDataFrame(
+        [(10.0 * (i % 3) + (i * 37 % 11) / 11, float(i % 2), 1.0, (i * 53 % 17) / 17 * (1 + i % 3), 4.0, i) for i in range(300)],
+        "op_setting_1 double, op_setting_2 double, op_setting_3 double, sensor_1 double, sensor_2 double, entity_id long",
+    )
+    features = ["sensor_1", "sensor_2"]
+    fitted = RegimeScaling(featureCols=features, keepCols=["entity_id"], nRegimes=3).fit(rows)
+    fitted.write().save(f"{tmp_path}/scaler")
+    read = RegimeScalingModel.load(f"{tmp_path}/scaler")
+    assert read.scaler == fitted.scaler == fit_regime_scaler(rows, features, n_regimes=3) and read.scaler.n_regimes == 3
+    before, after = (m.transform(rows).orderBy("entity_id").collect() for m in (fitted, read))
+    assert before == after and len({r.regime for r in after}) == 3
+    one = RegimeScaling(featureCols=features).fit(rows.withColumn("op_setting_1", F.lit(1.0)).withColumn("op_setting_2", F.lit(1.0)))
+    one.write().save(f"{tmp_path}/one")
+    assert RegimeScalingModel.load(f"{tmp_path}/one").scaler.fallback_reason == "single_distinct_setting"
