@@ -128,3 +128,22 @@ def test_a_written_regime_scaler_reads_back_bit_for_bit(spark, tmp_path):
     one = RegimeScaling(featureCols=features).fit(rows.withColumn("op_setting_1", F.lit(1.0)).withColumn("op_setting_2", F.lit(1.0)))
     one.write().save(f"{tmp_path}/one")
     assert RegimeScalingModel.load(f"{tmp_path}/one").scaler.fallback_reason == "single_distinct_setting"
+
+
+def test_density_ratios_run_in_a_session_with_tags_and_observations(spark):
+    """The plan must not carry the fitted model: its training summary holds the session, which these make unserialisable."""
+    from pyspark.sql import Observation
+
+    rows = spark.range(60).selectExpr("id AS entity_id", "cast(id % 7 AS double) AS op_setting_1", "cast(id % 3 AS double) AS op_setting_2", "1.0D AS op_setting_3")
+    seen = Observation()
+    rows.observe(seen, F.count(F.lit(1)).alias("n")).count()
+    spark.addTag("rated")
+    try:
+        source, target, fit = weights.density_ratios(rows.where("entity_id % 4 > 0"), rows.where("entity_id % 4 = 0"))
+        found = source.unionByName(target).collect()
+    finally:
+        spark.removeTag("rated")
+    z = [[(r[f"op_setting_{i + 1}"] - m) / s for i, (m, s) in enumerate(fit["scaling"].values())] for r in found]
+    odds = np.exp(np.array(z) @ fit["coefficients"] + fit["intercept"]) * 45 / 15
+    assert seen.get["n"] == len(found) == 60
+    np.testing.assert_allclose([r.ratio for r in found], odds, rtol=1e-12)
