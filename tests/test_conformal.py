@@ -137,3 +137,19 @@ def test_bootstrap_modes_agree_and_are_deterministic(spark):
         assert cover.bootstrap_ci_lower < point < cover.bootstrap_ci_upper
     for a, b in zip(found["multinomial"], found["poisson"], strict=True):
         assert a.bootstrap_ci_lower == pytest.approx(b.bootstrap_ci_lower, abs=0.05)
+
+
+def test_multinomial_draws_are_never_broadcast(spark, monkeypatch):
+    """Cells look small to Spark, their draws are not: only the rows may be broadcast, and both ways of the join agree."""
+    rows = [("a" if i % 3 else "b", i, float(i % 7), 2.0, 4.0 + i % 2, 0.25, 13) for i in range(90)]
+    df = spark.createDataFrame(rows, "cell string, entity_id long, y_true double, lower double, upper double, alpha double, seed int")
+    found = {}
+    for limit, join in ((250_000, "BroadcastHashJoin"), (10, "SortMergeJoin")):
+        monkeypatch.setattr(metrics, "BROADCAST_ROWS", limit)
+        monkeypatch.setattr(metrics, "DRAW_BLOCK", 16)
+        out = metrics.bootstrap_intervals(df, ["cell"], scale=125, resamples=50, mode="multinomial")
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        line = next(x for x in plan.splitlines() if "Join" in x and "_at#" in x)
+        assert join in line and ("BuildLeft" not in line), line
+        found[limit] = sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in out.collect())
+    assert found[10] == found[250_000] and len(found[10]) == 6
