@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from panelcal.llm.common import RECALL, number_rows, saved, slices, trim
+from panelcal.llm.common import RECALL, number_rows, saved, short_batches, slices, trim
 
 CAPACITY = 4096
 END_ID = 1
@@ -186,7 +186,7 @@ def token_bytes(tokenizer_path: str):
     mark, mark_id = MARK
     if tokenizer.token_to_id(mark) != mark_id:
         raise ValueError(f"the vocabulary lacks {mark} as {mark_id}")
-    known, bases = RECALL.setdefault(tokenizer_path, ({}, {}))  # ids of runs and of their words
+    known = RECALL.setdefault(tokenizer_path, ({},))[0]  # ids of runs, and of the words and marks they are made of
     model = tokenizer.model
     letters = {b: chr(c) for b, c in byte_letters().items()}
 
@@ -197,16 +197,16 @@ def token_bytes(tokenizer_path: str):
         """Plain words by the model alone; others many in one call, with the special token, which is split off first, between them."""
         words = [c for c in chunks if c.isalpha() and c == c.lower() and not UNFOLDED.search(c)]
         for c in words:  # the normalizer and the splitter leave such a word as it is
-            bases[c] = np.array([t.id for t in model.tokenize("".join(map(letters.__getitem__, c.encode())))], "<u4").tobytes()
-        bases.update((c, ids(c).tobytes()) for c in chunks if mark in c)
-        plain = [c for c in chunks if c not in bases]
+            known[c] = np.array([t.id for t in model.tokenize("".join(map(letters.__getitem__, c.encode())))], "<u4").tobytes()
+        known.update((c, ids(c).tobytes()) for c in chunks if mark in c)
+        plain = [c for c in chunks if c not in known]
         for i in range(0, len(plain), 2000):
             part = plain[i : i + 2000]
             found = ids(mark.join(part))
             ends = np.append(np.flatnonzero(found == mark_id), len(found)).tolist()
             data, start = found.tobytes(), 0
             for c, end in zip(part, ends, strict=True):
-                bases[c] = data[4 * start : 4 * end]
+                known[c] = data[4 * start : 4 * end]
                 start = end + 1
 
     def learn(chunks: list[str]) -> None:
@@ -215,14 +215,12 @@ def token_bytes(tokenizer_path: str):
         for c in chunks:
             word = c.rstrip(MARKS)
             parts.append((word, c[len(word) :]) if word and word[-1].isalpha() else (c, ""))
-        encode_all([c for c in {x for pair in parts for x in pair} if c not in bases])
-        known.update((c, bases[word] + bases[rest]) for c, (word, rest) in zip(chunks, parts, strict=True))
+        encode_all([c for c in {x for pair in parts for x in pair} if c not in known])
+        known.update((c, known[word] + known[rest]) for c, (word, rest) in zip(chunks, parts, strict=True) if rest)
 
     def run(texts: list[str]) -> list[bytes]:
         if len(known) > KNOWN_CHUNKS:
             known.clear()
-        if len(bases) > KNOWN_CHUNKS:
-            bases.clear()
         split = [[t] if ODD_SPACE.search(t) else t.split() if UNFOLDED.search(t) else t.lower().split() for t in texts]
         learn(list({c for chunks in split for c in chunks if c not in known}))
         return [b"".join(map(known.__getitem__, chunks)) for chunks in split]
@@ -254,8 +252,11 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, id_co
                 if with_ids:
                     columns.append(pa.array([np.frombuffer(r[5], "<u4").astype(np.int64) for r in rows], pa.list_(pa.int64())))
                 yield pa.RecordBatch.from_arrays(columns, names=[f.split()[0] for f in fields.split(", ")])
+                rows = columns = at = data = part = texts = None
+        tokens = batch = ids = hashes = None
         trim()
 
+    short_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long"), F.xxhash64(text), F.col(text)).mapInArrow(run, fields).withColumnRenamed("id", id_col)
 
 

@@ -121,3 +121,20 @@ def test_hot_length(spark):
     for x in got:
         total[x.sequence_id] += x.length
     assert max(total.values()) <= 4096
+
+
+def test_texts_reach_python_in_short_batches_and_are_remembered_once(spark):
+    """Ten thousand whole texts at once, and two tables of runs and words, took an executor beyond its memory."""
+    import pyarrow as pa
+
+    from panelcal.llm import common
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    docs = spark.range(0, 3000, 1, 1).selectExpr("id AS doc_id", "concat('word, ', id % 5) AS text")
+    made = pieces(docs, tokenizer_path())
+    seen = docs.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.num_rows])], names=["n"]) for b in batches), "n long")
+    assert max(r.n for r in seen.collect()) <= common.BATCH_ROWS and made.count() == 3000
+    encode = token_bytes(tokenizer_path())
+    first = encode(["word, other"])
+    (known,) = common.RECALL[tokenizer_path()]
+    assert {"word", ",", "word,", "other"} <= set(known) and encode(["word, other"]) == first
