@@ -18,11 +18,14 @@ from panelcal.schema import CYCLE, ENTITY, SETTINGS
 from panelcal.streaming.ordered import LATE, OK, OrderedProcessor, run_ordered
 
 
-def window_values(history: np.ndarray, new: int, windows: Sequence[int]) -> list[np.ndarray]:
+def window_values(history: np.ndarray, new: int | Sequence[int], windows: Sequence[int] | None = None) -> list[np.ndarray]:
     """Of the last ``new`` rows: delta, then mean, population std and slope of each window, as (new x sensors) arrays.
 
-    A window that reaches beyond the first row of ``history`` is as short as the rows there are.
+    A window that reaches beyond the first row of ``history`` is as short as the rows there are. ``window_values(series, windows)``
+    gives the values of the last row of one series.
     """
+    if windows is None:
+        return [v[0, 0] for v in window_values(np.reshape(history, (-1, 1)), 1, new)]
     n, width = history.shape
     first = n - new
     out = [np.diff(history, axis=0, prepend=history[:1])[first:]]

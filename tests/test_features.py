@@ -86,3 +86,29 @@ def test_stream_values_equal_batch_formula(spark):
     row = temporal_features(df, ["sensor_1"], windows=(3, 5)).filter("cycle = 5").first()
     want = [row.sensor_1_delta_1] + [row[f"sensor_1_rolling_{s}_{w}"] for w in (3, 5) for s in ("mean", "std", "slope")]
     np.testing.assert_allclose(window_values(history, (3, 5)), want, atol=1e-12)
+
+
+def test_windows_are_not_added_up_by_spark_and_nulls_take_no_part(spark):
+    """Twenty rows were added up anew for each row and statistic; small batches must not show either."""
+    values = [None if i % 4 == 1 else float(i * i % 11) for i in range(25)]
+    df = panel(spark, [(e, i + 1, -1.0 if v is None else v) for e in (1, 2) for i, v in enumerate(values)]).withColumn("sensor_1", F.when(F.col("sensor_1") >= 0, F.col("sensor_1")))
+    saved = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        out = temporal_features(df, ["sensor_1"], windows=(3, 5), with_next=True)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        rows = out.collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", saved)
+    assert "regr_slope" not in plan and plan.count("Sort [") == 1
+    assert len(rows) == 50
+    for r in rows:
+        now, before = values[r.cycle - 1], values[r.cycle - 2] if r.cycle > 1 else None
+        assert r.sensor_1_delta_1 == (now - before if None not in (now, before) else 0.0)
+        assert r.next_cycle == (r.cycle + 1 if r.cycle < 25 else None)
+        for w in (3, 5):
+            seen = [(i, v) for i, v in enumerate(values[: r.cycle]) if i > r.cycle - 1 - w and v is not None]
+            x, y = np.array([p[0] for p in seen], float), np.array([p[1] for p in seen])
+            want = [y.mean(), y.std(), np.polyfit(x, y, 1)[0] if len(x) > 1 else 0.0]
+            got = [r[f"sensor_1_rolling_{s}_{w}"] for s in ("mean", "std", "slope")]
+            np.testing.assert_allclose(got, want, atol=1e-9)
