@@ -99,7 +99,7 @@ def _panel_stream(spark, panel):
 
 @register("feature_stream", _feature_sql("ev", sql.EVENTS, EVENT_SENSORS))
 def stream_features(spark, sf_dir):
-    out = _panel_stream(spark, base.events(spark, sf_dir))
+    out = _panel_stream(spark, stored(base.events(spark, sf_dir), "events"))
     done = finish(out, scratch_path(spark, "stream-out"), scratch_path(spark, "stream-checkpoint"))
     return _comparable(done.filter(f"{ENTITY} > 0").drop("status"), ())
 
@@ -187,7 +187,9 @@ def frozen_model_stream(spark, sf_dir):
     """A saved and loaded fit scores the features that the same streaming query computes; every row of the panel is scored."""
     panel = stored(base.events(spark, sf_dir), "events")
     featured = temporal_features(labels.add_labels(panel), EVENT_SENSORS, settings=EVENT_SETTINGS, carry=("rul_capped",))
-    roles = split.assign_roles(panel, base.SEEDS[:1])
+    # Computed once: the fit and each pass of the calibration read what they need of it.
+    featured = stored(featured.select(ENTITY, CYCLE, _FROZEN, "rul_capped"), "featured")
+    roles = stored(split.assign_roles(panel, base.SEEDS[:1]), "roles")
     train = stored(split.with_role(featured, roles, split.TRAIN), "train")
     last = labels.last_cycles(panel)
     calibration = split.with_role(featured, roles, split.CALIBRATION).join(last, ENTITY).where(F.col(CYCLE) == F.col("last_cycle"))

@@ -76,7 +76,7 @@ class AdaptiveStream(_Adaptive):
     def __init__(self, keys, *rest) -> None:
         super().__init__(keys, ["center", "truth", "below", "n"], *rest)
 
-    def advance(self, key, run):
+    def advance(self, key, run, passed):
         nominal = self._nominal(key)
         alpha = float(self.level.get()[0]) if self.level.exists() else nominal
         out = []
@@ -101,7 +101,7 @@ class PairOutcomes(OrderedProcessor):
     def start(self, handle) -> None:
         self.asked = handle.getMapState("asked", "seq bigint", "center double")
 
-    def advance(self, key, run):
+    def advance(self, key, run, passed):
         out, asked = [], {}
         for ts, seq, kind, (center, truth) in zip(run.ts.tolist(), run.seq.tolist(), run.kind.tolist(), run.values.tolist(), strict=True):
             if kind == PREDICT:
@@ -137,7 +137,7 @@ class PrequentialStream(_Adaptive):
         super().start(handle)
         self.waiting = handle.getMapState("waiting", "at bigint", "seq bigint, center double, n bigint")
 
-    def advance(self, key, run: Run):
+    def advance(self, key, run: Run, passed):
         nominal = self._nominal(key)
         alpha, is_open, open_seq, open_center, open_rank, open_n, head, tail = self.level.get() if self.level.exists() else (nominal, False, 0, 0.0, 0, 0, 0, 0)
         out: list[tuple] = []

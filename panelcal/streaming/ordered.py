@@ -26,7 +26,10 @@ OK, LATE = "ok", "late"
 
 @dataclass(frozen=True)
 class Run:
-    """Rows of one key as arrays; ``values`` has a column per payload name, null as NaN."""
+    """Rows of one key as arrays; ``values`` has a column per payload name, null as NaN.
+
+    ``kind`` tells rows of one time and number apart: predictions and outcomes, or entities where a key holds many.
+    """
 
     ts: np.ndarray
     seq: np.ndarray
@@ -58,12 +61,14 @@ class Run:
 class OrderedProcessor(StatefulProcessor):
     """Buffers rows and drains those at or before the watermark, in order.
 
-    ``payload`` names the buffered columns, which are doubles. ``advance`` receives the key and the
-    drained rows, ``late`` those behind the rows that the key has drained; both return output rows in
+    ``payload`` names the buffered columns, which are doubles. ``advance`` receives the key, the
+    drained rows and the watermark, ``late`` those behind the rows that the key has drained; both return output rows in
     the order of ``columns``, as tuples or as a frame. Rows of the kind ``at_once`` count as late, whatever their time.
+    ``kind_column`` names the column of the kinds, if there is one.
     """
 
-    at_once = -1
+    at_once: int | None = None
+    kind_column = "kind"
 
     def __init__(self, payload: Sequence[str], columns: Sequence[str]) -> None:
         self.payload = list(payload)
@@ -78,23 +83,28 @@ class OrderedProcessor(StatefulProcessor):
     def start(self, handle: StatefulProcessorHandle) -> None:
         """Open further state."""
 
-    def advance(self, key: tuple, run: Run) -> list[tuple] | pd.DataFrame:
+    def advance(self, key: tuple, run: Run, passed: int) -> list[tuple] | pd.DataFrame:
         raise NotImplementedError
 
     def late(self, key: tuple, run: Run, watermark: int) -> list[tuple] | pd.DataFrame:
         raise NotImplementedError
 
+    def answered(self, run: Run) -> int | np.ndarray:
+        """The time up to which rows like these have been answered, -1 for none."""
+        return int(self.passed.get()[0]) if self.passed.exists() else -1
+
     def _frame(self, rows: list[tuple] | pd.DataFrame) -> pd.DataFrame:
         return rows if isinstance(rows, pd.DataFrame) else pd.DataFrame(rows, columns=self.columns)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        passed = int(self.passed.get()[0]) if self.passed.exists() else -1
         first = None
         for batch in rows:
             millis = batch["ts"].astype("int64").to_numpy() // (1_000_000 if batch["ts"].dtype.str.endswith("[ns]") else 1_000)
-            kinds = batch["kind"].to_numpy("int64") if "kind" in batch else np.zeros(len(batch), np.int64)
+            kinds = batch[self.kind_column].to_numpy("int64") if self.kind_column in batch else np.zeros(len(batch), np.int64)
             run = Run(millis, batch["seq"].to_numpy("int64"), kinds, batch[self.payload].to_numpy("float64", na_value=np.nan))
-            behind = (run.ts <= passed) | (run.kind == self.at_once)
+            behind = run.ts <= self.answered(run)
+            if self.at_once is not None:
+                behind |= run.kind == self.at_once
             if behind.any():
                 yield self._frame(self.late(tuple(key), run[behind].in_order(), timerValues.getCurrentWatermarkInMs()))
             if not behind.all():
@@ -120,7 +130,7 @@ class OrderedProcessor(StatefulProcessor):
             self.buffer.put([rest.packed()])
             self.handle.registerTimer(int(rest.ts.min()))
         self.passed.update((passed,))
-        yield self._frame(self.advance(tuple(key), run[due].in_order()))
+        yield self._frame(self.advance(tuple(key), run[due].in_order(), passed))
 
     def close(self) -> None:
         pass

@@ -2,9 +2,10 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from panelcal.operators.adaptive import adaptive_trace
+from panelcal.operators.features import temporal_features
 from panelcal.session import scratch_path
 from panelcal.streaming import adaptive as streaming
-from panelcal.streaming import lookup
+from panelcal.streaming import features, lookup
 from panelcal.streaming.features import window_values
 from panelcal.streaming.lookup import index_scores
 from panelcal.streaming.ordered import finish, with_flush
@@ -146,3 +147,32 @@ def test_windows_of_a_run_equal_those_row_by_row():
                     slope = np.polyfit(np.arange(len(part)), part, 1)[0] if len(part) > 1 else 0.0
                     want += [part.mean(), part.std(), slope]
                 assert np.allclose(got[:, i - (n - new), s], want, atol=1e-9)
+
+
+def test_entities_share_keys_of_state_and_equal_the_batch(spark, monkeypatch):
+    """A key of state for every entity made the calls and frames of each key the cost of a stream of many short entities."""
+    monkeypatch.setattr(features, "KEYS", 8)
+    rng = np.random.default_rng(5)
+    cells = [(e, c, 1.0, float(rng.normal()), None if (e + c) % 9 == 0 else float(c % 4)) for e in range(1, 41) for c in range(1 if e % 2 else 15, 31)]
+    panel = spark.createDataFrame(cells, "entity_id long, cycle long, op_setting_1 double, sensor_1 double, sensor_2 double")
+    sensors, settings = ["sensor_1", "sensor_2"], ["op_setting_1"]
+    rows = panel.select("entity_id", F.timestamp_seconds("cycle").alias("ts"), F.col("cycle").alias("seq"), *settings, *sensors)
+    flush = with_flush(rows, {"entity_id": -1, "seq": 0}, 3600).filter("entity_id < 0")
+    behind = (F.col("entity_id") == 3) & (F.col("seq") == 5)
+    first = rows.filter("entity_id = 1 and seq = 7").withColumn("entity_id", F.lit(99).cast("long"))
+    parts = [rows.filter(~behind & (F.col("seq") > low) & (F.col("seq") <= low + 10)) for low in (0, 10, 20)]
+    stream = ordered_files(spark, [*parts, flush, flush, rows.filter(behind).unionByName(first), flush])
+    checkpoint = scratch_path(spark, "t-cp")
+    out = features.feature_stream(stream, sensors, settings=settings, delay="2 seconds")
+    got = finish(out, scratch_path(spark, "t-out"), checkpoint).filter("entity_id > 0").collect()
+    want = temporal_features(panel.filter(~((F.col("entity_id") == 3) & (F.col("cycle") == 5))), sensors, settings=settings).collect()
+    found = {(r.entity_id, r.cycle): r for r in got}
+    assert len(found) == len(got) == len(want) + 2
+    assert found[3, 5].status == "late" and found[3, 5].sensor_1_delta_1 is None
+    assert (found[99, 7].status, found[99, 7].sensor_1_rolling_mean_20) == ("ok", found[99, 7].sensor_1)
+    for r in want:
+        twin = found[r.entity_id, r.cycle]
+        assert twin.status == "ok"
+        np.testing.assert_allclose(*[np.array([x[n] for n in r.__fields__], float) for x in (twin, r)], atol=1e-9)
+    kept = spark.read.format("statestore").option("stateVarName", "recent").load(checkpoint)
+    assert kept.count() <= 9
