@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from panelcal.operators.adaptive import adaptive_trace
 from panelcal.operators.features import temporal_features
-from panelcal.session import scratch_path
+from panelcal.session import configure, scratch_path
 from panelcal.streaming import adaptive as streaming
 from panelcal.streaming import features, lookup
 from panelcal.streaming.features import window_values
@@ -176,3 +176,8 @@ def test_entities_share_keys_of_state_and_equal_the_batch(spark, monkeypatch):
         np.testing.assert_allclose(*[np.array([x[n] for n in r.__fields__], float) for x in (twin, r)], atol=1e-9)
     kept = spark.read.format("statestore").option("stateVarName", "recent").load(checkpoint)
     assert kept.count() <= 9
+
+
+def test_wide_stages_are_not_left_to_the_interpreter(spark):
+    """Rounding 27 columns was slowed by one method of more than the 8,000 bytes that the JVM compiles."""
+    assert int(configure(spark).conf.get("spark.sql.codegen.hugeMethodLimit")) <= 8000
