@@ -147,3 +147,31 @@ def test_density_ratios_run_in_a_session_with_tags_and_observations(spark):
     odds = np.exp(np.array(z) @ fit["coefficients"] + fit["intercept"]) * 45 / 15
     assert seen.get["n"] == len(found) == 60
     np.testing.assert_allclose([r.ratio for r in found], odds, rtol=1e-12)
+
+
+def test_regimes_are_searched_over_distinct_settings_whatever_the_order(spark):
+    """Each k passed over every row, and the fit followed the order in which the rows were read."""
+    cells = [(float(i % 4) * 3 + (i % 4 > 1), float(i % 3), 1.0, float(i * 31 % 17)) for i in range(1200)]
+    schema = "op_setting_1 double, op_setting_2 double, op_setting_3 double, sensor_1 double"
+    one, other = spark.createDataFrame(cells, schema).coalesce(1), spark.createDataFrame(cells[::-1], schema).repartition(7)
+    seen = []
+    real = regimes.cut
+    regimes.cut = lambda df: seen.append(real(df)) or seen[-1]
+    try:
+        a, b = (regimes.fit_regime_scaler(rows, ["sensor_1"]) for rows in (one, other))
+    finally:
+        regimes.cut = real
+    assert [v.count() for v in seen] == [12, 12] and seen[0].agg(F.sum("_w")).first()[0] == 1200.0
+    assert a.n_regimes == b.n_regimes
+    np.testing.assert_allclose(a.centres, b.centres, atol=1e-9)
+    # The weighted silhouette is that of all rows.
+    for k, s in a.silhouettes.items():
+        assert -1 <= s <= 1 and s == pytest.approx(b.silhouettes[k], abs=1e-9)
+    from pyspark.ml.evaluation import ClusteringEvaluator
+    from pyspark.ml.feature import VectorAssembler
+
+    z = one.withColumns({c: (F.col(c) - m) / s for c, (m, s) in a.setting_scaling.items()})
+    placed = regimes.assign_nearest(z, a.centres, a.settings)
+    labelled = VectorAssembler(inputCols=list(a.settings), outputCol="_x").transform(placed)
+    whole = ClusteringEvaluator(featuresCol="_x", predictionCol="regime", metricName="silhouette").evaluate(labelled)
+    assert whole == pytest.approx(a.silhouettes[a.n_regimes], abs=1e-9)
