@@ -175,3 +175,30 @@ def test_regimes_are_searched_over_distinct_settings_whatever_the_order(spark):
     labelled = VectorAssembler(inputCols=list(a.settings), outputCol="_x").transform(placed)
     whole = ClusteringEvaluator(featuresCol="_x", predictionCol="regime", metricName="silhouette").evaluate(labelled)
     assert whole == pytest.approx(a.silhouettes[a.n_regimes], abs=1e-9)
+
+
+def test_features_are_derived_for_rows_in_reach_only_and_change_nothing(spark):
+    """The shift matrix made the features of every row, of which it reads a sixth; an entity with gaps keeps its rows up to the cut."""
+    from panelcal.operators.features import temporal_features
+    from panelcal.plans.workloads import Design, model_predictor, shift_matrix
+
+    cells = [(e, c + (c > 25 and e % 5 == 0), float((e * 31 + c * c * 17) % 23)) for e in range(1, 61) for c in range(1, 91)]
+    panel = spark.createDataFrame(cells, "entity_id long, cycle long, sensor_1 double").withColumn(
+        "domain", F.when(F.col("entity_id") % 3 == 0, "A").otherwise("B")
+    )
+    panel = panel.withColumns({f"op_setting_{i}": F.col("cycle") % (i + 1) * 1.0 for i in (1, 2, 3)})
+    design = Design(seeds=(13, 37), alphas=(0.4,), policy="infinite", domains=("A", "B"))
+    names, seen = ["sensor_1", "sensor_1_delta_1", "sensor_1_rolling_mean_20", "sensor_1_rolling_slope_20", "cycle_index"], []
+    predictor, source = model_predictor(names, only=("mean", "ridge")), F.col("domain") == "A"
+
+    def derive(rows):
+        seen.append(rows.count())
+        return temporal_features(rows, ["sensor_1"], carry=("domain",), with_next=True)
+
+    whole = shift_matrix(temporal_features(panel, ["sensor_1"], carry=("domain",), with_next=True), design, predictor, source)
+    near = shift_matrix(panel, design, predictor, source, derive=derive)
+    keys = ["seed", "domain", "model", "entity_id", "cycle", "lower", "upper"]
+    a, b = (sorted(map(tuple, x.select(*keys).collect())) for x in (whole, near))
+    assert len(a) == len(b) > 100 and [x[:5] for x in a] == [x[:5] for x in b]
+    np.testing.assert_allclose([x[5:] for x in a], [x[5:] for x in b], atol=1e-6)
+    assert 0 < seen[0] < 0.7 * panel.count()
