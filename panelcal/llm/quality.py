@@ -26,6 +26,8 @@ BUCKETS = 1 << 17
 DIMENSION = 8
 AGAIN = 0  # bucket of "the word before again"
 THRESHOLD = 0.7
+#: Words that a task remembers, some 200 bytes each; most words are rare, so that fewer cost no time.
+KNOWN_WORDS = 200_000
 
 
 def bucket(hashes: np.ndarray) -> np.ndarray:
@@ -153,7 +155,7 @@ def scorer(model: Model):
         return [own, np.bincount(owner, logits[buckets], len(words)), np.bincount(owner, minlength=len(words))]
 
     def make():
-        known = WordTable(features)
+        known = WordTable(features, KNOWN_WORDS)
 
         def run(texts: Texts) -> list:
             split = [(t or b"").split() for t in texts]

@@ -82,3 +82,45 @@ def test_mixture_shares_against_a_plain_loop():
         shares = (part / part.sum(axis=1, keepdims=True)).mean(axis=0)
     got = langid.expectation_maximisation(full, np.zeros(50, int), np.full((1, 3), 1 / 3), np.array([0]), langid.FULL_STEPS)
     assert np.allclose(got[0], shares)
+
+
+def test_long_texts_reach_python_a_few_megabytes_at_a_time(spark):
+    """A thousand rows whatever their length, in slices of 4 MB, took an executor beyond its memory."""
+    import pyarrow as pa
+
+    from panelcal.llm.common import with_text_columns
+
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "64m")
+    docs = spark.range(0, 900, 1, 1).selectExpr("id AS doc_id", "repeat(concat('word', id, ' '), 2500) AS text")
+    made = with_text_columns(docs, lambda: lambda texts: [[sum(map(len, texts))] * len(texts), list(map(len, texts))], "together long, alone long")
+    got = made.collect()
+    assert max(r.together for r in got) <= 1_000_000 and {r.doc_id: r.alone for r in got} == {i: 2500 * len(f"word{i} ") for i in range(900)}
+    seen = docs.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"]) for b in batches), "n long")
+    assert max(r.n for r in seen.collect()) <= 5_000_000
+
+
+def test_a_batch_is_scored_in_bounded_memory_and_slices_change_no_score():
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from panelcal.llm.common import slices
+
+    r = np.random.default_rng(5)
+    model = quality.Model(r.random((quality.BUCKETS, 8)).astype(np.float32), r.random((8, 2)).astype(np.float32), np.zeros(2, np.float32))
+    texts = pa.array([" ".join(f"w{n}" for n in r.integers(0, 20_000, 800)) for _ in range(900)], pa.string())
+
+    def scores(**limit):
+        run = quality.scorer(model)()
+        return np.concatenate([run(part)[0] for _, part in slices(texts, **limit)])
+
+    whole = scores(limit=1 << 30)
+    tracemalloc.start()
+    try:
+        got = scores()
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert np.array_equal(got, whole)
+    assert most < 60_000_000
